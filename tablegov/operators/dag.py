@@ -9,25 +9,33 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.session import cut
+from tablegov.session import cut, held
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:
-    """``(id, level)`` in topological order: each round takes the nodes no
-    remaining edge points to.  Nodes on or behind a cycle get no level; the
-    loop ends when a round takes nothing."""
-    left = cut(nodes.select(F.col(id).alias("id")).distinct())
-    arcs = cut(edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct())
-    rounds = []
-    while True:
-        free = cut(left.join(arcs.select(F.col("target").alias("id")), "id", "left_anti"))
-        if free.isEmpty():
-            break
-        rounds.append(free.withColumn("level", F.lit(len(rounds))))
-        left = cut(left.join(free, "id", "left_anti"))
-        arcs = cut(arcs.join(free.select(F.col("id").alias("source")), "source", "left_anti"))
+    """``(id, level)`` in topological order.  A round sends one count along the
+    edges of the nodes freed last; a node is free once as many counts have
+    arrived as edges point to it.  Nodes on or behind a cycle never are, so the
+    loop ends and they get no level."""
+    arcs = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct()
+    known = nodes.select(F.col(id).alias("id")).distinct()
+    with held(arcs) as arcs:
+        due = arcs.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("due"))
+        state = cut(known.join(due, "id", "left").select(
+            "id", F.coalesce("due", F.lit(0)).alias("due"), F.lit(0).cast("long").alias("got")))
+        rounds = []
+        while True:
+            free = state.filter("got = due").select("id")
+            if free.isEmpty():
+                break
+            rounds.append(free.withColumn("level", F.lit(len(rounds))))
+            sent = free.join(arcs, free.id == arcs.source).groupBy(F.col("target").alias("id")).agg(
+                F.count(F.lit(1)).alias("sent"))
+            waiting = state.filter("got < due")
+            state = cut(waiting.join(sent, "id", "left").select(
+                "id", "due", (F.col("got") + F.coalesce("sent", F.lit(0))).alias("got")))
     if not rounds:
-        return left.limit(0).withColumn("level", F.lit(0))
+        return state.limit(0).select("id", F.lit(0).alias("level"))
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 

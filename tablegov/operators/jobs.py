@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.operators.ordering import number_rows, running_depth
+from tablegov.operators.ordering import number_in_ranges, range_id, running_depth
 from tablegov.session import cut
 
 # Event kind to the status it leaves behind.
@@ -25,12 +25,14 @@ def match_latest(events: DataFrame, key: str, order: list[str], id: str, opens:
     ``(open_id, close_id)``, and the ids of closing rows that found none."""
     step = F.when(opens, 1).when(closes, -1)
     used = events.select(key, *order, *([] if id in order else [id]), step.alias("_step")).filter("_step is not null")
+    bucket = range_id(used, order, **ranges)
+    used = used if bucket is None else used.withColumn("_range", bucket)
     # Read three times below, and costly to repeat.
-    deep = cut(running_depth(used, key, order, "_step", **ranges))
+    deep = cut(running_depth(used, key, order, "_step"))
     level = F.when(F.col("_step") == 1, F.col("depth")).otherwise(F.col("depth_before"))
     matched = deep.withColumn("_level", level).filter("_level > 0")
-    starts = number_rows(matched.filter("_step = 1"), order, "_k", keys=[key, "_level"], **ranges)
-    ends = number_rows(matched.filter("_step = -1"), order, "_k", keys=[key, "_level"], **ranges)
+    starts = number_in_ranges(matched.filter("_step = 1"), order, "_k", keys=[key, "_level"])
+    ends = number_in_ranges(matched.filter("_step = -1"), order, "_k", keys=[key, "_level"])
     pairs = starts.select(key, "_level", "_k", F.col(id).alias("open_id")).join(
         ends.select(key, "_level", "_k", F.col(id).alias("close_id")), [key, "_level", "_k"])
     unmatched = deep.filter("_step = -1 and depth_before = 0").select(F.col(id).alias("close_id"))
@@ -47,7 +49,7 @@ def job_runs(events: DataFrame, job="job_id", kind="kind", ts="ts", id="event_id
     ends = list(OUTCOME)
     is_start, is_end = F.col("kind") == "submitted", F.col("kind").isin(ends)
     pairs, loose = match_latest(rows, "job_id", ["ts", "event_id"], "event_id", is_start, is_end, **ranges)
-    pairs, loose = cut(pairs), cut(loose)
+    pairs = cut(pairs)
     removed = rows.filter("kind = 'removed'").select(F.col("event_id").alias("close_id"))
     cancelled = pairs.join(removed, "close_id", "left_semi").select(F.col("open_id").alias("event_id"))
     late = rows.filter(is_end & (F.col("kind") != "removed")).join(

@@ -92,51 +92,52 @@ def number_rows(df: DataFrame, order, name: str = "row_no", keys: list[str] | No
                 ranges: int | None = None, small_rows: int | None = None) -> DataFrame:
     """1-based position of each row in ``order`` (within ``keys``, which must
     not be null).  ``order`` has to end in a unique column for a stable result."""
+    bucket = range_id(df, order, ranges, small_rows)
+    cut = df if bucket is None else df.withColumn("_range", bucket)
+    return number_in_ranges(cut, order, name, keys).select(*df.columns, name)
+
+
+def number_in_ranges(df: DataFrame, order, name: str, keys: list[str] | None = None) -> DataFrame:
+    """``number_rows`` on a frame whose ``_range`` column already follows the
+    order; without that column one task per key does it all."""
     keys = keys or []
     by = sort_columns(order)
-    bucket = range_id(df, order, ranges, small_rows)
-    if bucket is None:
+    if "_range" not in df.columns:
         window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         return df.withColumn(name, F.row_number().over(window.orderBy(*by)).cast("long"))
-    cut = df.withColumn("_range", bucket)
-    local = cut.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by)))
+    local = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by)))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = cut.groupBy(*keys, "_range").count().withColumn(
+    offsets = df.groupBy(*keys, "_range").count().withColumn(
         "_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
-    return (
-        local.join(offsets, [*keys, "_range"])
-        .withColumn(name, (F.col("_pos") + F.col("_before")).cast("long"))
-        .select(*df.columns, name)
-    )
+    return local.join(offsets, [*keys, "_range"]).withColumn(
+        name, (F.col("_pos") + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
-def running_depth(df: DataFrame, key: str, order, step: str, ranges: int | None = None,
-                  small_rows: int | None = None) -> DataFrame:
+def running_depth(df: DataFrame, key: str, order, step: str) -> DataFrame:
     """Per ``key``, the running sum of ``step`` that never falls below zero,
-    before and after each row (``depth_before``, ``depth``)."""
-    bucket = range_id(df, order, ranges, small_rows)
-    cut = df.withColumn("_range", F.lit(0) if bucket is None else bucket)
+    before and after each row (``depth_before``, ``depth``).  With a ``_range``
+    column that follows the order, ranges are summed apart and then joined with
+    their offsets."""
     by = sort_columns(order)
-    part = Window.partitionBy(key, "_range").orderBy(*by)
-    to_here = part.rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("_s", F.sum(step).over(to_here))
-    local = local.withColumn("_m", F.min("_s").over(to_here))
-    totals = local.groupBy(key, "_range").agg(F.sum(step).alias("_t"), F.min("_s").alias("_low"))
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
-    totals = totals.withColumn("_floor", F.min(F.col("_base") + F.col("_low")).over(earlier))
-    joined = local.join(totals.select(key, "_range", "_base", "_floor"), [key, "_range"])
     zero = F.lit(0)
+    split = "_range" in df.columns
+    groups = [key, "_range"] if split else [key]
+    part = Window.partitionBy(*groups).orderBy(*by)
+    to_here = part.rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn("_s", F.sum(step).over(to_here)).withColumn("_m", F.min("_s").over(to_here))
+    local = local.withColumn("_m_before", F.lag("_m").over(part))
+    if split:
+        totals = df.groupBy(*groups).agg(F.sum(step).alias("_t")).join(
+            local.groupBy(*groups).agg(F.min("_s").alias("_low")), groups)
+        earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumn("_base", F.coalesce(F.sum("_t").over(earlier), zero))
+        totals = totals.withColumn("_floor", F.coalesce(F.min(F.col("_base") + F.col("_low")).over(earlier), zero))
+        local = local.join(totals.select(*groups, "_base", "_floor"), groups)
+    else:
+        local = local.withColumn("_base", zero).withColumn("_floor", zero)
     total = F.col("_base") + F.col("_s")
-    low = F.least(zero, F.coalesce(F.col("_floor"), zero), F.col("_base") + F.col("_m"))
-    # The floor before this row: the row's own sum is left out of the minimum.
-    before_total = total - F.col(step)
-    low_before = F.least(
-        zero, F.coalesce(F.col("_floor"), zero),
-        F.coalesce(F.col("_base") + F.lag("_m").over(part), zero))
-    return (
-        joined.withColumn("depth", (total - low).cast("long"))
-        .withColumn("depth_before", (before_total - low_before).cast("long"))
-        .select(*df.columns, "depth_before", "depth")
-    )
+    low = F.least(zero, F.col("_floor"), F.col("_base") + F.col("_m"))
+    low_before = F.least(zero, F.col("_floor"), F.coalesce(F.col("_base") + F.col("_m_before"), zero))
+    return local.withColumn("depth", (total - low).cast("long")).withColumn(
+        "depth_before", (total - F.col(step) - low_before).cast("long")).select(*df.columns, "depth_before", "depth")

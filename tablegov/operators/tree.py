@@ -1,11 +1,12 @@
-"""Hierarchies given as ``(id, parent_id)`` rows.
+"""Hierarchies given as ``(id, parent_id)`` rows, one row per id.
 
 Closures advance one level per round: a join of the frontier with the edges,
-cut by a checkpoint, stopped when nothing new appears.  Visited pairs are
-anti-joined, so a cycle ends the walk instead of looping.  The frontier is
-unique per node while children may pile up under one parent; Spark splits that
-side of the join (adaptive skew handling) or broadcasts the frontier when its
-measured size allows.
+cut by a checkpoint, stopped when nothing new appears.  A cycle ends a walk
+instead of looping: downwards a walk can only come back through its own root,
+upwards the short path so far is kept and tested.  The frontier is unique per
+node while children may pile up under one parent; Spark splits that side of the
+join (adaptive skew handling) or broadcasts the frontier when its measured size
+allows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.session import cut
+from tablegov.session import cut, held
 from tablegov.spec import DISABLED, ENABLED
 
 
@@ -23,46 +24,47 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
-    """``edges(src, dst)``, ``seeds(root_id, id)`` to ``(root_id, id, depth)``."""
-    level = cut(seeds.distinct().withColumn("depth", F.lit(0)))
-    levels = [level]
-    while max_depth is None or len(levels) <= max_depth:
-        step = level.join(edges, level.id == edges.src).select(
-            "root_id", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"))
-        seen = _union(levels).select("root_id", "id")
-        level = cut(step.distinct().join(seen, ["root_id", "id"], "left_anti"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return _union(levels)
-
+def _links(nodes: DataFrame, id: str, parent: str) -> DataFrame:
+    return nodes.select(F.col(id).alias("child"), F.col(parent).alias("above")).filter("above is not null")
 
-def _edges(nodes: DataFrame, id: str, parent: str, up: bool) -> DataFrame:
-    rows = nodes.filter(F.col(parent).isNotNull())
-    child, above = F.col(id), F.col(parent)
-    return rows.select((child if up else above).alias("src"), (above if up else child).alias("dst"))
 
-
-def _seeds(roots: DataFrame) -> DataFrame:
+def _start(roots: DataFrame) -> DataFrame:
     col = F.col(roots.columns[0])
-    return roots.select(col.alias("root_id"), col.alias("id"))
+    return roots.select(col.alias("root_id"), col.alias("id")).distinct().withColumn("depth", F.lit(0))
 
 
 def descendants(nodes: DataFrame, roots: DataFrame, id="id", parent="parent_id",
                 max_depth: int | None = None) -> DataFrame:
     """Each root with everything below it: ``(root_id, id, depth)``.  ``roots``
     is a one-column frame."""
-    return _walk(_edges(nodes, id, parent, up=False), _seeds(roots), max_depth)
+    with held(_links(nodes, id, parent)) as links:
+        level = cut(_start(roots))
+        levels = [level]
+        while max_depth is None or len(levels) <= max_depth:
+            level = cut(level.join(links, level.id == links.above).filter("child <> root_id").select(
+                "root_id", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")))
+            if level.isEmpty():
+                break
+            levels.append(level)
+    return _union(levels)
 
 
 def ancestors(nodes: DataFrame, starts: DataFrame, id="id", parent="parent_id",
               max_depth: int | None = None) -> DataFrame:
     """Each start node with everything above it.  Parent ids that are not
     nodes themselves are left out."""
-    walked = _walk(_edges(nodes, id, parent, up=True), _seeds(starts), max_depth)
-    known = nodes.select(F.col(id).alias("id")).distinct()
-    return walked.join(known, "id", "left_semi").select("root_id", "id", "depth")
+    known = nodes.select(F.col(id).alias("id"), F.col(parent).alias("above"))
+    with held(known) as rows:
+        level = cut(_start(starts).join(rows, "id").withColumn("path", F.array("id")))
+        levels = [level]
+        while max_depth is None or len(levels) <= max_depth:
+            step = level.filter(~F.array_contains("path", F.col("above"))).select(
+                "root_id", F.col("above").alias("id"), (F.col("depth") + 1).alias("depth"), "path")
+            level = cut(step.join(rows, "id").withColumn("path", F.concat("path", F.array("id"))))
+            if level.isEmpty():
+                break
+            levels.append(level)
+    return _union(levels).select("root_id", "id", "depth")
 
 
 def self_references(nodes: DataFrame, id="id", parent="parent_id") -> DataFrame:
@@ -86,17 +88,19 @@ def tree_paths(nodes: DataFrame, id="id", parent="parent_id", orphans: str = "pr
 
 
 def _paths_from(rows: DataFrame, tops: DataFrame) -> DataFrame:
-    level = cut(tops.select("id", "parent_id", F.col("id").alias("root_id"), F.lit(0).alias("level"),
-                            F.array("id").alias("path")))
-    levels = [level]
-    while True:
-        above = level.select(F.col("id").alias("parent_id"), "root_id", "level", "path")
-        level = cut(rows.join(above, "parent_id").select(
-            "id", "parent_id", "root_id", (F.col("level") + 1).alias("level"),
-            F.concat("path", F.array("id")).alias("path")))
-        if level.isEmpty():
-            break
-        levels.append(level)
+    below = rows.select("id", "parent_id").filter("parent_id is not null")
+    with held(below) as links:
+        level = cut(tops.select("id", "parent_id", F.col("id").alias("root_id"), F.lit(0).alias("level"),
+                                F.array("id").alias("path")))
+        levels = [level]
+        while True:
+            above = level.select(F.col("id").alias("parent_id"), "root_id", "level", "path")
+            level = cut(links.join(above, "parent_id").select(
+                "id", "parent_id", "root_id", (F.col("level") + 1).alias("level"),
+                F.concat("path", F.array("id")).alias("path")))
+            if level.isEmpty():
+                break
+            levels.append(level)
     parents = rows.select(F.col("parent_id").alias("id")).filter("id is not null").distinct()
     return (
         _union(levels).join(parents.withColumn("_inner", F.lit(True)), "id", "left")

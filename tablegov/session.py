@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 
 def get_spark(app: str = "tablegov", cpus: str = "*", **conf: str) -> SparkSession:
@@ -44,3 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     lost executor re-reads instead of replaying an iterative plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a frame that every round of a loop reads.  Blocks that do not fit
+    in memory go to disk, and lost ones are computed again from ``df``; nothing
+    built inside may be used lazily after the block."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
