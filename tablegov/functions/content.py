@@ -67,7 +67,7 @@ def strip_tags(html: Column) -> Column:
 
 def args_list(s: Column) -> Column:
     """Trimmed, non-empty parts of a comma list."""
-    parts = F.transform(F.split(F.coalesce(s, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(s, F.lit("")), ","), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -19,12 +19,34 @@ FILE_SIZE_SYMBOLS = ["B", "KB", "MB", "GB", "TB"]
 
 # --- sizes --------------------------------------------------------------------
 
+def fixed(x: Column, digits: int, ties: str = "even") -> Column:
+    """Text of a non-negative double with ``digits`` decimals, rounded by its
+    exact binary value.  ``format_string`` rounds the printed digits instead,
+    which differs on ties and near them.  ``ties`` is "even" or "up"."""
+    scale = float(10 ** digits)
+    # Rounded product and its exact error, from the halves of the factor.
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    side = (product - whole.cast("double") - 0.5) + error
+    up = (side > 0) | ((side == 0) & (F.lit(True) if ties == "up" else whole % 2 == 1))
+    n = whole + up.cast("long")
+    if not digits:
+        return n.cast("string")
+    unit = 10 ** digits
+    return F.concat_ws(".", F.floor(n / unit).cast("string"), F.lpad((n % unit).cast("string"), digits, "0"))
+
+
 def bytes_human(n: Column) -> Column:
     """One decimal in the largest fitting unit (``9.8KB``); the fraction is kept."""
-    out = F.format_string("%.1f%s", n.cast("double"), F.lit(BYTE_SYMBOLS[0]))
+    def text(unit: float, symbol: str) -> Column:
+        return F.concat(fixed(n / unit, 1), F.lit(symbol))
+
+    out = text(1.0, BYTE_SYMBOLS[0])
     for power, symbol in enumerate(BYTE_SYMBOLS[1:], start=1):
         unit = float(1 << 10 * power)
-        out = F.when(n >= unit, F.format_string("%.1f%s", n / unit, F.lit(symbol))).otherwise(out)
+        out = F.when(n >= unit, text(unit, symbol)).otherwise(out)
     return out
 
 
@@ -50,7 +72,7 @@ def to_pascal(s: Column) -> Column:
 
 def to_lower_camel(s: Column) -> Column:
     parts = F.split(s, "_")
-    rest = F.transform(F.slice(parts, 2, 2_147_483_647), _capital)
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _capital)
     return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
 
@@ -201,7 +223,7 @@ def truncate_payload(s: Column, limit: int = PAYLOAD_LIMIT, marker: str = PAYLOA
 
 def growth_text(r: Column) -> Column:
     """``-`` for zero, else the absolute percentage without trailing zeros."""
-    digits = F.regexp_replace(F.format_string("%.2f", F.abs(r * 100)), r"\.?0+$", "")
+    digits = F.regexp_replace(fixed(F.abs(r * 100.0), 2, ties="up"), r"\.?0+$", "")
     return F.when(r == 0, "-").otherwise(F.concat(digits, F.lit("%")))
 
 

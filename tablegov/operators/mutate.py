@@ -101,9 +101,11 @@ def toggle(df: DataFrame, column: str, ids, spec: TableSpec, ctx: Ctx) -> DataFr
 
 
 def _deletion(df: DataFrame, spec: TableSpec, hit: Column, deleted, when: Column, by: Column) -> DataFrame:
-    out = df.withColumn(spec.deleted, F.when(hit, F.lit(deleted)).otherwise(F.col(spec.deleted)))
-    out = out.withColumn(spec.deleted_time, F.when(hit, when).otherwise(F.col(spec.deleted_time)))
-    return out.withColumn(spec.deleted_id, F.when(hit, by).otherwise(F.col(spec.deleted_id)))
+    # ``hit`` may look at the flag itself, so it is fixed before the flag moves.
+    out = df.withColumn("_hit", hit)
+    out = out.withColumn(spec.deleted, F.when(F.col("_hit"), F.lit(deleted)).otherwise(F.col(spec.deleted)))
+    out = out.withColumn(spec.deleted_time, F.when(F.col("_hit"), when).otherwise(F.col(spec.deleted_time)))
+    return out.withColumn(spec.deleted_id, F.when(F.col("_hit"), by).otherwise(F.col(spec.deleted_id))).drop("_hit")
 
 
 def soft_delete(df: DataFrame, ids, spec: TableSpec, ctx: Ctx, now: str | None = None) -> DataFrame:
@@ -127,12 +129,13 @@ def restore(df: DataFrame, ids, spec: TableSpec, ctx: Ctx) -> DataFrame:
 
 
 def clear(df: DataFrame, spec: TableSpec, ctx: Ctx, now: str | None = None) -> DataFrame:
-    """Delete every row of the tenant, softly where the table can."""
+    """Delete every row of the tenant, softly where the table can; rows deleted
+    before get the new time and actor."""
     hit = writable(spec, ctx)
     if not spec.soft_deletes:
         return df.filter(~hit)
     by = F.lit(ctx.user_id).cast(df.schema[spec.deleted_id].dataType)
-    return _deletion(df, spec, hit & ~F.col(spec.deleted), True, _now(now, df, spec.deleted_time), by)
+    return _deletion(df, spec, hit, True, _now(now, df, spec.deleted_time), by)
 
 
 def upsert(df: DataFrame, rows: DataFrame, keys: list[str], defaults: dict | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """Registered queries over the driver's tables."""
 
-from tablegov.plans import q_conditions, q_joins, q_metrics, q_trees  # noqa: F401
+from tablegov.plans import (  # noqa: F401
+    q_conditions, q_functions, q_joins, q_metrics, q_mutate, q_trees,
+)
 from tablegov.plans.q_conditions import page_orders
 from tablegov.plans.registry import ORACLE, QUERIES
 from tablegov.plans.views import Views
