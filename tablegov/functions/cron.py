@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablegov.functions.text import let
+
 # Per field the range bounds, the step bounds (largest start,
 # largest step, largest sum), plain words and the pattern of other forms.
 _MINUTE = dict(low=0, high=59, start=(0, 58), step=(1, 59), total=59, words=["*"],
@@ -21,18 +23,21 @@ LAST_YEAR = 2099
 YEARS_AHEAD = 8
 
 
-def _pair(field: Column, sign: str) -> tuple[Column, Column]:
-    pattern = rf"^(\d+){sign}(\d+)$"
-    return (F.regexp_extract(field, pattern, 1).try_cast("long"), F.regexp_extract(field, pattern, 2).try_cast("long"))
+def _pair(field: Column, sign: str) -> tuple[Column, Column, Column]:
+    """Does the field read ``number sign number``, and the two numbers."""
+    first, second = (F.split_part(field, F.lit(sign), F.lit(i)).try_cast("long") for i in (1, 2))
+    return field.rlike(rf"^\d+{sign}\d+$"), first, second
 
 
 def _field(field: Column, rule: dict) -> Column:
-    first, last = _pair(field, "-")
+    # The cheap tests come first; the others are only reached when they fail.
     ok = field.isin(rule["words"]) | field.rlike(rule["pattern"])
-    ok = ok | ((first >= rule["low"]) & (first < last) & (last <= rule["high"]))
+    fits, first, last = _pair(field, "-")
+    ok = ok | (fits & (first >= rule["low"]) & (first < last) & (last <= rule["high"]))
     if rule["start"]:
-        start, step = _pair(field, "/")
-        ok = ok | (start.between(*rule["start"]) & step.between(*rule["step"]) & (start + step <= rule["total"]))
+        fits, start, step = _pair(field, "/")
+        ok = ok | (fits & start.between(*rule["start"]) & step.between(*rule["step"])
+                   & (start + step <= rule["total"]))
     return F.coalesce(ok, F.lit(False))
 
 
@@ -46,8 +51,12 @@ def _year(field: Column, year: int) -> Column:
 
 def valid_cron(s: Column, year: int) -> Column:
     """``year`` is the current year; year fields look at most eight years ahead."""
-    parts = F.filter(F.split(s, r"\s+"), lambda p: p != "")
-    ok = F.size(parts).isin(6, 7)
-    for i, rule in enumerate([_MINUTE, _MINUTE, _HOUR, _DAY, _MONTH, _WEEK]):
-        ok = ok & _field(F.get(parts, i), rule)
-    return F.coalesce(ok & ((F.size(parts) == 6) | _year(F.get(parts, 6), year)), F.lit(False))
+    def check(parts: Column) -> Column:
+        ok = F.size(parts).isin(6, 7)
+        for i, rule in enumerate([_MINUTE, _MINUTE, _HOUR, _DAY, _MONTH, _WEEK]):
+            ok = ok & _field(F.get(parts, i), rule)
+        return ok & ((F.size(parts) == 6) | _year(F.get(parts, 6), year))
+
+    # The parts are named once: repeated in the text they would be split for
+    # every test of every field.
+    return F.coalesce(let(F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+"), check), F.lit(False))

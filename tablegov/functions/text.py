@@ -19,6 +19,11 @@ FILE_SIZE_SYMBOLS = ["B", "KB", "MB", "GB", "TB"]
 
 # --- sizes --------------------------------------------------------------------
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fixed(x: Column, digits: int, ties: str = "even") -> Column:
     """Text of a non-negative double with ``digits`` decimals, rounded by its
     exact binary value.  ``format_string`` rounds the printed digits instead,
@@ -40,24 +45,20 @@ def fixed(x: Column, digits: int, ties: str = "even") -> Column:
 
 def bytes_human(n: Column) -> Column:
     """One decimal in the largest fitting unit (``9.8KB``); the fraction is kept."""
-    def text(unit: float, symbol: str) -> Column:
-        return F.concat(fixed(n / unit, 1), F.lit(symbol))
-
-    out = text(1.0, BYTE_SYMBOLS[0])
-    for power, symbol in enumerate(BYTE_SYMBOLS[1:], start=1):
-        unit = float(1 << 10 * power)
-        out = F.when(n >= unit, text(unit, symbol)).otherwise(out)
-    return out
+    unit, symbol = F.lit(1.0), F.lit(BYTE_SYMBOLS[0])
+    for power, name in enumerate(BYTE_SYMBOLS[1:], start=1):
+        size = float(1 << 10 * power)
+        unit, symbol = F.when(n >= size, size).otherwise(unit), F.when(n >= size, name).otherwise(symbol)
+    return F.concat(fixed(n / unit, 1), symbol)
 
 
 def file_size(n: Column) -> Column:
     """Two decimals, but every step down a unit floors (1536 is ``1.00KB``)."""
-    out = F.format_string("%.2f%s", n.cast("double"), F.lit(FILE_SIZE_SYMBOLS[0]))
-    for power, symbol in enumerate(FILE_SIZE_SYMBOLS[1:], start=1):
-        unit = float(1 << 10 * power)
-        text = F.format_string("%.2f%s", F.floor(n / unit).cast("double"), F.lit(symbol))
-        out = F.when(n >= unit, text).otherwise(out)
-    return F.when(n == 0, "0B").otherwise(out)
+    unit, symbol = F.lit(1.0), F.lit(FILE_SIZE_SYMBOLS[0])
+    for power, name in enumerate(FILE_SIZE_SYMBOLS[1:], start=1):
+        size = float(1 << 10 * power)
+        unit, symbol = F.when(n >= size, size).otherwise(unit), F.when(n >= size, name).otherwise(symbol)
+    return F.when(n == 0, "0B").otherwise(F.concat(F.floor(n / unit).cast("string"), F.lit(".00"), symbol))
 
 
 # --- identifier case ----------------------------------------------------------

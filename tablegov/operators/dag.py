@@ -9,7 +9,33 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.session import cut, held
+from tablegov.session import cut, held, sized
+
+
+def _levels(known: DataFrame, arcs: DataFrame) -> DataFrame:
+    due = arcs.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("due"))
+    state = cut(known.join(due, "id", "left").select(
+        "id", F.coalesce("due", F.lit(0)).alias("due"), F.lit(0).cast("long").alias("got")))
+    rounds = []
+    while True:
+        free = state.filter("got = due").select("id")
+        n = free.count()
+        if not n:
+            break
+        rounds.append(free.withColumn("level", F.lit(len(rounds))))
+        sent = sized(free, n).join(arcs, F.col("id") == F.col("source")).groupBy(F.col("target").alias("_t")).agg(
+            F.count(F.lit(1)).alias("sent"))
+        waiting = state.filter("got < due")
+        state = cut(waiting.join(sent, F.col("id") == F.col("_t"), "left").select(
+            "id", "due", (F.col("got") + F.coalesce("sent", F.lit(0))).alias("got")))
+    if not rounds:
+        return state.limit(0).select("id", F.lit(0).alias("level"))
+    return reduce(lambda a, b: a.unionByName(b), rounds)
+
+
+def _graph(nodes: DataFrame, edges: DataFrame, id: str, source: str, target: str) -> tuple[DataFrame, DataFrame]:
+    return (nodes.select(F.col(id).alias("id")).distinct(),
+            edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct())
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:
@@ -17,41 +43,25 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, id="id", source="source", tar
     edges of the nodes freed last; a node is free once as many counts have
     arrived as edges point to it.  Nodes on or behind a cycle never are, so the
     loop ends and they get no level."""
-    arcs = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct()
-    known = nodes.select(F.col(id).alias("id")).distinct()
+    known, arcs = _graph(nodes, edges, id, source, target)
     with held(arcs) as arcs:
-        due = arcs.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("due"))
-        state = cut(known.join(due, "id", "left").select(
-            "id", F.coalesce("due", F.lit(0)).alias("due"), F.lit(0).cast("long").alias("got")))
-        rounds = []
-        while True:
-            free = state.filter("got = due").select("id")
-            if free.isEmpty():
-                break
-            rounds.append(free.withColumn("level", F.lit(len(rounds))))
-            sent = free.join(arcs, free.id == arcs.source).groupBy(F.col("target").alias("id")).agg(
-                F.count(F.lit(1)).alias("sent"))
-            waiting = state.filter("got < due")
-            state = cut(waiting.join(sent, "id", "left").select(
-                "id", "due", (F.col("got") + F.coalesce("sent", F.lit(0))).alias("got")))
-    if not rounds:
-        return state.limit(0).select("id", F.lit(0).alias("level"))
-    return reduce(lambda a, b: a.unionByName(b), rounds)
+        return _levels(known, arcs)
 
 
 def dag_violations(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:
     """``(reason, item)``: edges with an unknown end, nodes on or behind a cycle,
     or one row for a graph without nodes."""
-    known = nodes.select(F.col(id).alias("_id")).distinct()
-    ends = edges.select(F.explode(F.array(F.col(source), F.col(target))).alias("_id"))
-    unknown = ends.join(known, "_id", "left_anti").distinct().select(
-        F.lit("unknown_node").alias("reason"), F.col("_id").cast("string").alias("item"))
-    levels = dag_levels(nodes, edges, id, source, target)
-    cyclic = known.join(levels.select(F.col("id").alias("_id")), "_id", "left_anti").select(
-        F.lit("cycle").alias("reason"), F.col("_id").cast("string").alias("item"))
-    empty = nodes.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
-        F.lit("no_nodes").alias("reason"), F.lit(None).cast("string").alias("item"))
-    return unknown.unionByName(cyclic).unionByName(empty)
+    known, arcs = _graph(nodes, edges, id, source, target)
+    with held(arcs) as arcs, held(known) as known:
+        ends = arcs.select("source").distinct().unionByName(
+            arcs.select(F.col("target").alias("source")).distinct())
+        unknown = ends.join(known, F.col("source") == F.col("id"), "left_anti").distinct().select(
+            F.lit("unknown_node").alias("reason"), F.col("source").cast("string").alias("item"))
+        cyclic = known.join(_levels(known, arcs).select("id"), "id", "left_anti").select(
+            F.lit("cycle").alias("reason"), F.col("id").cast("string").alias("item"))
+        empty = known.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+            F.lit("no_nodes").alias("reason"), F.lit(None).cast("string").alias("item"))
+        return cut(unknown.unionByName(cyclic).unionByName(empty))
 
 
 def upstream(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:

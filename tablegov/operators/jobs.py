@@ -25,7 +25,7 @@ def match_latest(events: DataFrame, key: str, order: list[str], id: str, opens:
     ``(open_id, close_id)``, and the ids of closing rows that found none."""
     step = F.when(opens, 1).when(closes, -1)
     used = events.select(key, *order, *([] if id in order else [id]), step.alias("_step")).filter("_step is not null")
-    bucket = range_id(used, order, **ranges)
+    bucket = range_id(used, order, keys=[key], **ranges)
     used = used if bucket is None else used.withColumn("_range", bucket)
     # Read three times below, and costly to repeat.
     deep = cut(running_depth(used, key, order, "_step"))

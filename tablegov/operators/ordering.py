@@ -53,13 +53,20 @@ def _range_key(df: DataFrame, order: Order) -> Column:
     return F.struct(*fields)
 
 
-def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int | None = None) -> Column | None:
+def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int | None = None,
+             keys: list[str] | None = None) -> Column | None:
     """Number of the range a row falls in, rising in sort order; ``None`` when
-    the input is small enough for one task."""
+    no task would have to sort more than ``small_rows`` rows: of the whole
+    input, or of the largest key."""
     order = normalise(order)
+    limit = SMALL_ROWS if small_rows is None else small_rows
     rows = df.count()
-    if rows <= (SMALL_ROWS if small_rows is None else small_rows):
+    if rows <= limit:
         return None
+    if keys:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if largest <= limit:
+            return None
     spark = df.sparkSession
     ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = _range_key(df, order)
@@ -92,7 +99,7 @@ def number_rows(df: DataFrame, order, name: str = "row_no", keys: list[str] | No
                 ranges: int | None = None, small_rows: int | None = None) -> DataFrame:
     """1-based position of each row in ``order`` (within ``keys``, which must
     not be null).  ``order`` has to end in a unique column for a stable result."""
-    bucket = range_id(df, order, ranges, small_rows)
+    bucket = range_id(df, order, ranges, small_rows, keys)
     cut = df if bucket is None else df.withColumn("_range", bucket)
     return number_in_ranges(cut, order, name, keys).select(*df.columns, name)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablegov.operators.conditions import not_deleted, where
 from tablegov.operators.tree import descendants
+from tablegov.session import sized
 from tablegov.spec import (
     ENABLED, PLATFORM_TENANT, SCOPE_ALL, SCOPE_CUSTOM, SCOPE_DEPT, SCOPE_DEPT_AND_CHILDREN,
     Ctx, TableSpec,
@@ -44,14 +45,15 @@ def visible_depts(ctx: Ctx, depts: DataFrame, id="id", parent="parent_id") -> Da
         return listed
     start = depts.sparkSession.createDataFrame([(ctx.dept_id,)], f"id {dtype}")
     subtree = descendants(depts, start, id, parent).select(F.col("id").alias("dept_id"))
-    return subtree.distinct() if listed is None else subtree.unionByName(listed).distinct()
+    return sized(subtree if listed is None else subtree.unionByName(listed).distinct())
 
 
 def creator_in(df: DataFrame, users: DataFrame, depts: DataFrame, creator="created_id",
                user_id="id", user_dept="dept_id") -> DataFrame:
     """Rows whose creator works in one of ``depts`` (one-column frame)."""
+    wanted = depts.select(F.col(depts.columns[0]).alias("_dept"))
     members = users.select(F.col(user_id).alias(creator), F.col(user_dept).alias("_dept")).join(
-        depts.select(F.col(depts.columns[0]).alias("_dept")), "_dept", "left_semi")
+        wanted, "_dept", "left_semi")
     return df.join(members.select(creator), creator, "left_semi").select(*df.columns)
 
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.session import cut, held
+from tablegov.session import cut, held, sized
 from tablegov.spec import DISABLED, ENABLED
 
 
@@ -39,11 +39,13 @@ def descendants(nodes: DataFrame, roots: DataFrame, id="id", parent="parent_id",
     is a one-column frame."""
     with held(_links(nodes, id, parent)) as links:
         level = cut(_start(roots))
-        levels = [level]
+        levels, rows = [level], level.count()
         while max_depth is None or len(levels) <= max_depth:
-            level = cut(level.join(links, level.id == links.above).filter("child <> root_id").select(
+            front = sized(level, rows)
+            level = cut(front.join(links, F.col("id") == F.col("above")).filter("child <> root_id").select(
                 "root_id", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")))
-            if level.isEmpty():
+            rows = level.count()
+            if not rows:
                 break
             levels.append(level)
     return _union(levels)
@@ -56,12 +58,13 @@ def ancestors(nodes: DataFrame, starts: DataFrame, id="id", parent="parent_id",
     known = nodes.select(F.col(id).alias("id"), F.col(parent).alias("above"))
     with held(known) as rows:
         level = cut(_start(starts).join(rows, "id").withColumn("path", F.array("id")))
-        levels = [level]
+        levels, n = [level], level.count()
         while max_depth is None or len(levels) <= max_depth:
             step = level.filter(~F.array_contains("path", F.col("above"))).select(
                 "root_id", F.col("above").alias("id"), (F.col("depth") + 1).alias("depth"), "path")
-            level = cut(step.join(rows, "id").withColumn("path", F.concat("path", F.array("id"))))
-            if level.isEmpty():
+            level = cut(sized(step, n).join(rows, "id").withColumn("path", F.concat("path", F.array("id"))))
+            n = level.count()
+            if not n:
                 break
             levels.append(level)
     return _union(levels).select("root_id", "id", "depth")
@@ -92,13 +95,14 @@ def _paths_from(rows: DataFrame, tops: DataFrame) -> DataFrame:
     with held(below) as links:
         level = cut(tops.select("id", "parent_id", F.col("id").alias("root_id"), F.lit(0).alias("level"),
                                 F.array("id").alias("path")))
-        levels = [level]
+        levels, n = [level], level.count()
         while True:
             above = level.select(F.col("id").alias("parent_id"), "root_id", "level", "path")
-            level = cut(links.join(above, "parent_id").select(
+            level = cut(links.join(sized(above, n), "parent_id").select(
                 "id", "parent_id", "root_id", (F.col("level") + 1).alias("level"),
                 F.concat("path", F.array("id")).alias("path")))
-            if level.isEmpty():
+            n = level.count()
+            if not n:
                 break
             levels.append(level)
     parents = rows.select(F.col("parent_id").alias("id")).filter("id is not null").distinct()

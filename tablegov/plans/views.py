@@ -86,7 +86,7 @@ _BOTH = {
              "CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '0' END FROM orders",
     "v_node": "SELECT id FROM v_org UNION ALL SELECT 'P' || CAST(p_partkey AS STRING) FROM part",
     "v_edge": "SELECT parent_id AS source, id AS target FROM v_org WHERE parent_id IS NOT NULL UNION ALL "
-              "SELECT DISTINCT 'O' || CAST(l_orderkey AS STRING), 'P' || CAST(l_partkey AS STRING) FROM lineitem",
+              "SELECT 'O' || CAST(l_orderkey AS STRING), 'P' || CAST(l_partkey AS STRING) FROM lineitem",
 }
 
 _SQL_ONLY = {

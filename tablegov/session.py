@@ -7,8 +7,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+# Most rows of a narrow frame that may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
+
 
 def get_spark(app: str = "tablegov", cpus: str = "*", **conf: str) -> SparkSession:
     """A session with the settings the library expects.  On a cluster pass the
@@ -59,3 +63,12 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         yield kept
     finally:
         kept.unpersist()
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``BROADCAST_ROWS`` rows,
+    else as it is.  Spark cannot estimate a checkpointed frame, so the rows are
+    counted; pass ``rows`` where the count is known."""
+    if rows is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
