@@ -102,9 +102,9 @@ class _Sessions(StatefulProcessor):
             self.login.clear()
             yield self._row(key, at, "ended")
 
-    def handleExpiredTimer(self, key, timerValues, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.login.clear()
-        yield self._row(key, expired.getExpiryTimeInMs(), "expired")
+        yield self._row(key, expiredTimerInfo.getExpiryTimeInMs(), "expired")
 
     def close(self) -> None:
         pass
@@ -135,8 +135,8 @@ class _JobRuns(StatefulProcessor):
             self.waiting.appendList(fresh)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expired) -> Iterator[pd.DataFrame]:
-        limit = expired.getExpiryTimeInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
         waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
         due = sorted(w for w in waiting if w[0] < limit)
         if not due:
