@@ -18,6 +18,9 @@ SMALL_ROWS = 200_000
 
 _SAMPLES_PER_RANGE = 20
 
+# The bounds are part of the plan, so their number is kept moderate.
+_MOST_RANGES = 2048
+
 Order = list[tuple[str, str]]
 
 
@@ -68,7 +71,7 @@ def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int |
         if largest <= limit:
             return None
     spark = df.sparkSession
-    ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or min(_MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key = _range_key(df, order)
     keys = df.select(key.alias("k")).select("k.*")
     sample = keys.sample(min(1.0, ranges * _SAMPLES_PER_RANGE / rows), seed=7)

@@ -18,6 +18,10 @@ DEFAULT_PAGE_SIZE = 10
 DEFAULT_ORDER = [("updated_time", "desc")]
 LISTING_CAP = 1000
 
+# Up to this offset a page is a top-n: every task keeps its best rows and they
+# meet in one place.  Beyond it rows are found by position instead.
+DEEP_OFFSET = 10_000
+
 
 def ordering(df: DataFrame, order, key: str | None = None) -> list[tuple[str, str]]:
     """Checked sort list with the key appended, so that pages never overlap."""
@@ -77,11 +81,21 @@ def _window(page_no: int, page_size: int) -> int:
     return (page_no - 1) * page_size
 
 
+def rows_at(df: DataFrame, offset: int, size: int, by, key: str = "id") -> DataFrame:
+    """``size`` rows from ``offset`` on, in the given order."""
+    if offset <= DEEP_OFFSET:
+        return order(df, by, key).offset(offset).limit(size)
+    spec = ordering(df, by, key)
+    numbered = number_rows(df, spec, "_row_no")
+    part = numbered.filter(F.col("_row_no").between(offset + 1, offset + size)).drop("_row_no")
+    return part.orderBy(*sort_columns(spec))
+
+
 def page(df: DataFrame, page_no: int = 1, page_size: int = DEFAULT_PAGE_SIZE, by=None,
          search: dict | None = None, key: str = "id") -> Page:
     offset = _window(page_no, page_size)
     rows = where(df, search)
-    items = order(rows, by or [(key, "asc")], key).offset(offset).limit(page_size)
+    items = rows_at(rows, offset, page_size, by or [(key, "asc")], key)
     return Page(items, count_rows(rows, key).first()[0], page_no, page_size)
 
 
@@ -92,7 +106,7 @@ def page_frame(df: DataFrame, page_no: int = 1, page_size: int = DEFAULT_PAGE_SI
     window over everything would pull the table into one task."""
     offset = _window(page_no, page_size)
     rows = where(df, search)
-    items = order(rows, by or [(key, "asc")], key).offset(offset).limit(page_size)
+    items = rows_at(rows, offset, page_size, by or [(key, "asc")], key)
     total = count_rows(rows, key).scalar()
     return (
         items.withColumn("total", total)
@@ -123,13 +137,6 @@ def keyset_page(df: DataFrame, by, after: dict | None, page_size: int, key: str
     return out.orderBy(*sort_columns(spec)).limit(page_size)
 
 
-def deep_page(df: DataFrame, page_no: int, page_size: int, by, key: str = "id") -> DataFrame:
-    """A page far into the order by row position; no task keeps the skipped rows."""
-    offset = _window(page_no, page_size)
-    numbered = number_rows(df, ordering(df, by, key), "_row_no")
-    return numbered.filter(F.col("_row_no").between(offset + 1, offset + page_size)).drop("_row_no")
-
-
 def latest(df: DataFrame, n: int, ts: str = "created_time", key: str = "id") -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
 

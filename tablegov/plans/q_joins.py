@@ -215,9 +215,9 @@ def _(v):
     return P.keyset_page(orders, [("updated_time", "desc")], last, 40).select("id", "amount")
 
 
-@query("deep_page", "SELECT id, amount FROM v_order ORDER BY amount, id LIMIT 100 OFFSET 9900")
+@query("deep_page", "SELECT id, amount FROM v_order ORDER BY amount, id LIMIT 100 OFFSET 12000")
 def _(v):
-    return P.deep_page(v.order, 100, 100, ["amount"]).select("id", "amount")
+    return P.page(v.order, 121, 100, ["amount"]).items.select("id", "amount")
 
 
 @query("top_orders", "SELECT id, amount FROM v_order ORDER BY created_time DESC, id DESC LIMIT 5")

@@ -60,7 +60,7 @@ _BOTH = {
     "v_user_role": "SELECT DISTINCT o_custkey AS user_id, l_suppkey AS role_id FROM lineitem "
                    "JOIN orders ON o_orderkey = l_orderkey",
     "v_link": "SELECT o_custkey AS user_id, n_regionkey AS tenant_id, min(l_orderkey) AS id, "
-              "max(l_returnflag) = 'R' AND min(l_linestatus) = 'O' AS is_default, max(l_discount) >= 0.1 AS is_owner "
+              "bool_or(l_returnflag = 'R') AND bool_and(l_linestatus = 'O') AS is_default, max(l_discount) >= 0.1 AS is_owner "
               "FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey "
               "JOIN nation ON n_nationkey = s_nationkey GROUP BY o_custkey, n_regionkey",
     "v_job_event": "SELECT event_id, user_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'submitted' "

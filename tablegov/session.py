@@ -23,6 +23,8 @@ def get_spark(app: str = "tablegov", cpus: str = "*", **conf: str) -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Checkpoints of iterative operators go away with the frames that use them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if SparkSession.getActiveSession() is None:
         builder = builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false")

@@ -126,10 +126,10 @@ def export_rows(df: DataFrame, mode: str, search: dict | None = None, ids: list
                 page_no: int = 1, page_size: int = 10, key: str = "id", max_rows: int = EXPORT_CAP) -> DataFrame:
     """Rows of the current page, the selected ids, or the whole filtered set.
     More than ``max_rows`` is refused, never cut off."""
-    from tablegov.operators.page import order
+    from tablegov.operators.page import order, rows_at
 
     if mode == "current":
-        return order(where(df, search), by or [key], key).offset((page_no - 1) * page_size).limit(page_size)
+        return rows_at(where(df, search), (page_no - 1) * page_size, page_size, by or [key], key)
     if mode == "selected":
         rows = where(df, {key: ("in", list(ids or []))})
     elif mode == "remote":

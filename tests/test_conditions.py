@@ -82,8 +82,14 @@ def test_pages_partition_the_sorted_set(spark):
         keyset += [r.id for r in part]
         after = part[-1].asDict()
     assert keyset == want
-    deep = [r.id for r in P.deep_page(df, 3, 10, [("g", "desc")]).collect()]
-    assert sorted(deep) == sorted(want[20:30])
+
+
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+    df = spark.range(57).select("id", (F.col("id") % 5).alias("g"))
+    shallow = [r.id for r in P.page(df, 3, 10, [("g", "desc")]).items.collect()]
+    monkeypatch.setattr(P, "DEEP_OFFSET", 0)
+    assert [r.id for r in P.page(df, 3, 10, [("g", "desc")]).items.collect()] == shallow
+    assert P.page(df, 9, 10).items.collect() == []
 
 
 def test_page_bounds(spark):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegov.operators import jobs as J
+from tablegov.operators.metrics import exact_percentile
 from tablegov.operators.ordering import number_rows, running_depth, range_id
 from tablegov.streaming.streams import apply_event
 
@@ -109,3 +110,12 @@ def test_active_sessions(spark):
         "ts", F.timestamp_seconds("s"))
     live = J.active_sessions(df, 8, "1970-01-01 00:00:10")
     assert sorted(r.session_id for r in live.collect()) == ["c"]
+
+
+@pytest.mark.parametrize("ranges", [{}, {"ranges": 6, "small_rows": 0}])
+def test_exact_percentile(df, ranges):
+    for by in ([], ["key"]):
+        want = df.groupBy(*by).agg(F.percentile("v", 0.9).alias("p"))
+        got = exact_percentile(df, "v", 0.9, by, "p", **ranges)
+        pick = lambda d: {tuple(r[c] for c in by): round(r.p, 9) for r in d.collect()}
+        assert pick(got) == pick(want)
