@@ -35,13 +35,13 @@ def _levels(known: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def _graph(nodes: DataFrame, edges: DataFrame, id: str, source: str, target: str) -> tuple[DataFrame, DataFrame]:
     return (nodes.select(F.col(id).alias("id")).distinct(),
-            edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct())
+            edges.select(F.col(source).alias("source"), F.col(target).alias("target")))
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:
     """``(id, level)`` in topological order.  A round sends one count along the
     edges of the nodes freed last; a node is free once as many counts have
-    arrived as edges point to it.  Nodes on or behind a cycle never are, so the
+    arrived as edges point to it, repeated edges included.  Nodes on or behind a cycle never are, so the
     loop ends and they get no level."""
     known, arcs = _graph(nodes, edges, id, source, target)
     with held(arcs) as arcs:
@@ -53,10 +53,9 @@ def dag_violations(nodes: DataFrame, edges: DataFrame, id="id", source="source",
     or one row for a graph without nodes."""
     known, arcs = _graph(nodes, edges, id, source, target)
     with held(arcs) as arcs, held(known) as known:
-        ends = arcs.select("source").distinct().unionByName(
-            arcs.select(F.col("target").alias("source")).distinct())
-        unknown = ends.join(known, F.col("source") == F.col("id"), "left_anti").distinct().select(
-            F.lit("unknown_node").alias("reason"), F.col("source").cast("string").alias("item"))
+        ends = arcs.select(F.col("source").alias("id")).unionByName(arcs.select(F.col("target").alias("id"))).distinct()
+        unknown = ends.join(known, "id", "left_anti").select(
+            F.lit("unknown_node").alias("reason"), F.col("id").cast("string").alias("item"))
         cyclic = known.join(_levels(known, arcs).select("id"), "id", "left_anti").select(
             F.lit("cycle").alias("reason"), F.col("id").cast("string").alias("item"))
         empty = known.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(

@@ -130,9 +130,10 @@ _BROKEN = """b AS (SELECT source, target FROM v_edge UNION ALL SELECT target, so
     UNION ALL SELECT 'cycle', id FROM w WHERE id IN (SELECT id FROM v_node)""")
 def _(v):
     edges = v.edge
-    back = edges.filter("source = 'R2'").select(F.col("target").alias("source"), F.col("source").alias("target"))
-    loose = v.org.filter("id like 'C%'").select(
-        F.col("id").alias("source"), F.concat(F.lit("X"), "status").alias("target"))
+    back = v.nation.filter("n_regionkey = 2").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("source"), F.lit("R2").alias("target"))
+    loose = v.user.select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("source"),
+                          F.concat(F.lit("X"), "status").alias("target"))
     return G.dag_violations(v.node, edges.unionByName(back).unionByName(loose))
 
 
