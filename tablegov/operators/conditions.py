@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegov.session import sized
+
 # Above this many values a membership test becomes a left-semi join, whose
 # physical form Spark picks by size.
 IN_LIST_LIMIT = 1000
@@ -127,7 +129,7 @@ def where(df: DataFrame, search: dict | None, strict: bool = True) -> DataFrame:
         keys = df.sparkSession.createDataFrame(
             [(v,) for v in set(values) if v is not None], schema=f"`{name}` {dtype.simpleString()}"
         )
-        out = out.join(keys, name, "left_semi")
+        out = out.join(sized(keys, len(values)), name, "left_semi")
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegov.operators.ordering import number_rows
+from tablegov.session import sized
 from tablegov.spec import DISABLED, ENABLED, Ctx, TableSpec
 
 
@@ -26,11 +27,14 @@ def writable(spec: TableSpec, ctx: Ctx) -> Column:
 
 def _in(df: DataFrame, ids, key: str) -> DataFrame:
     """``df`` with ``_hit``; ``ids`` is a Python list or a one-column frame."""
-    if not isinstance(ids, DataFrame):
+    if isinstance(ids, DataFrame):
+        hits = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
+    else:
         dtype = df.schema[key].dataType.simpleString()
-        ids = df.sparkSession.createDataFrame([(i,) for i in set(ids)], f"id {dtype}")
-    hits = ids.select(F.col(ids.columns[0]).alias(key)).distinct().withColumn("_hit", F.lit(True))
-    return df.join(hits, key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        rows = [(i,) for i in set(ids)]
+        hits = sized(df.sparkSession.createDataFrame(rows, f"`{key}` {dtype}"), len(rows))
+    return df.join(hits.withColumn("_hit", F.lit(True)), key, "left").withColumn(
+        "_hit", F.coalesce("_hit", F.lit(False)))
 
 
 def create(df: DataFrame, rows: DataFrame, spec: TableSpec, ctx: Ctx, order, now: str | None = None) -> DataFrame:

@@ -40,7 +40,10 @@ def visible_depts(ctx: Ctx, depts: DataFrame, id="id", parent="parent_id") -> Da
     if SCOPE_DEPT in ctx.scopes and ctx.dept_id is not None:
         fixed.add(ctx.dept_id)
     dtype = depts.schema[id].dataType.simpleString()
-    listed = depts.sparkSession.createDataFrame([(d,) for d in fixed], f"dept_id {dtype}") if fixed else None
+    listed = None
+    if fixed:
+        rows = depts.sparkSession.createDataFrame([(d,) for d in fixed], f"dept_id {dtype}")
+        listed = sized(rows, len(fixed))
     if SCOPE_DEPT_AND_CHILDREN not in ctx.scopes or ctx.dept_id is None:
         return listed
     start = depts.sparkSession.createDataFrame([(ctx.dept_id,)], f"id {dtype}")
@@ -94,7 +97,8 @@ def scope_dept(df: DataFrame, ctx: Ctx, depts: DataFrame, column: str = "id",
 
 
 def _role_ids(df: DataFrame, ctx: Ctx) -> DataFrame:
-    return df.sparkSession.createDataFrame([(r.id,) for r in ctx.roles], "role_id bigint")
+    rows = df.sparkSession.createDataFrame([(r.id,) for r in ctx.roles], "role_id bigint")
+    return sized(rows, len(ctx.roles))
 
 
 def scope_menu(df: DataFrame, ctx: Ctx, role_menus: DataFrame, id="id", status="status") -> DataFrame:

@@ -127,16 +127,20 @@ class _JobRuns(StatefulProcessor):
         self.runs = handle.getListState("runs", "run_id bigint, started bigint, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
         for batch in rows:
             stamps = (batch["ts"].astype("datetime64[us]").astype("int64")).tolist()
-            fresh = list(zip(stamps, batch["event_id"].tolist(), batch["kind"].tolist(), batch["periodic"].tolist()))
-            for micros in {s for s, *_ in fresh}:
-                self.handle.registerTimer(micros // 1000 + 1)
-            self.waiting.appendList(fresh)
+            self.waiting.appendList(list(zip(
+                stamps, batch["event_id"].tolist(), batch["kind"].tolist(), batch["periodic"].tolist())))
+            newest = max(stamps) if newest is None else max(newest, *stamps)
+        # One timer per micro-batch: when it fires, all of these are due.
+        if newest is not None:
+            self.handle.registerTimer(newest // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # Nothing at or before the watermark can still arrive.
+        limit = timerValues.getCurrentWatermarkInMs() * 1000 + 1
         waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
         due = sorted(w for w in waiting if w[0] < limit)
         if not due:
