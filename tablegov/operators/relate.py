@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegov.operators.ordering import normalise, number_rows
+from tablegov.session import cut
 from tablegov.spec import ENABLED
 
 # Children per nested array.
@@ -25,6 +26,17 @@ def with_one(df: DataFrame, ref: DataFrame, fk: str, name: str, key="id", fields
     return df.join(side, F.col(fk) == F.col("_ref"), "left").drop("_ref")
 
 
+def page_with_one(items: DataFrame, ref: DataFrame, fk: str, name: str, key="id", fields=("id", "name")) -> DataFrame:
+    """``with_one`` for one page of rows.  The page is computed once, then only
+    the referenced rows are picked out of ``ref`` before the join, so that a
+    large ``ref`` is scanned but never shuffled.  Both broadcasts are bounded by
+    the page size."""
+    page = cut(items)
+    wanted = page.select(F.col(fk).alias(key)).distinct()
+    side = ref.join(F.broadcast(wanted), key, "left_semi")
+    return with_one(page, F.broadcast(side), fk, name, key, fields)
+
+
 def child_chunks(child: DataFrame, fk: str, by, fields: list[str], chunk: int = CHUNK) -> DataFrame:
     """``(fk, chunk_no, children, chunk_rows)``: the children of each parent in
     order, at most ``chunk`` per row.  ``by`` must end in a unique column."""

@@ -11,6 +11,7 @@ from tablegov.operators import conditions as B
 from tablegov.operators import scope as S
 from tablegov.operators.page import page_frame
 from tablegov.operators.quality import LABELS, label_codes, options, project_out, response_label
+from tablegov.operators.relate import page_with_one
 from tablegov.operators.tree import filter_keep_path
 from tablegov.plans.registry import query
 from tablegov.spec import Ctx, Role, TableSpec
@@ -35,10 +36,9 @@ _SUBTREE_SQL = """sub AS (SELECT id FROM v_dept WHERE id = 1002 UNION ALL
 def page_orders(v):
     search = {"description": ("like", "H"), "amount": ("between", (1000, 400000)), "status": ("in", ["O", "F"])}
     rows = S.read_governed(v.torder, ORDER, SUBTREE, search, v.user, v.dept)
-    users = v.user.select(F.col("id").alias("created_id"), F.col("name").alias("creator_name"))
-    items = page_frame(rows, 2, 20, [("updated_time", "desc")])
-    return items.join(users, "created_id", "left").select(
-        "id", "created_id", "creator_name", "status", "amount", "description",
+    items = page_with_one(page_frame(rows, 2, 20, [("updated_time", "desc")]), v.user, "created_id", "created_by")
+    return items.select(
+        "id", "created_id", F.col("created_by.name").alias("creator_name"), "status", "amount", "description",
         X.fmt_ts(F.col("updated_time")).alias("updated_time"), "total", "page_no", "page_size", "has_next")
 
 

@@ -26,10 +26,11 @@ def _(v):
 
 @query("file_size", """SELECT path, CASE WHEN size = 0 THEN '0B' WHEN size >= 1048576 THEN printf('%.2fMB', floor(size / 1048576.0))
     WHEN size >= 1024 THEN printf('%.2fKB', floor(size / 1024.0)) ELSE printf('%.2fB', size * 1.0) END AS text
-    FROM (SELECT path, CASE WHEN size % 2 = 0 THEN size * 100 ELSE size - 1001 END AS size FROM v_file WHERE size > 1001)""")
+    FROM (SELECT path, CASE WHEN path LIKE '%PROMO%' THEN size * 100 WHEN path LIKE '%LARGE%' THEN 0 ELSE size END AS size FROM v_file)""")
 def _(v):
-    size = F.when(F.col("size") % 2 == 0, F.col("size") * 100).otherwise(F.col("size") - 1001)
-    return v.file.filter("size > 1001").select("path", X.file_size(size).alias("text"))
+    path, size = F.col("path"), F.col("size")
+    size = F.when(path.like("%PROMO%"), size * 100).when(path.like("%LARGE%"), 0).otherwise(size)
+    return v.file.select("path", X.file_size(size).alias("text"))
 
 
 _SNAKE = "SELECT DISTINCT replace(replace(lower(p_brand || '_' || p_name || '_' || p_type), '#', '_'), ' ', '_') AS s FROM part"
@@ -190,10 +191,10 @@ def _(v):
 
 # --- chat ---------------------------------------------------------------------
 
-@query("title_of", """SELECT conv_id, turn, coalesce(CASE WHEN role = 'system' THEN nullif(text[1:20], '') END,
+@query("title_of", """SELECT conv_id, turn, coalesce(CASE WHEN role = 'system' THEN nullif(text, '') END,
     nullif((lpad(CAST(conv_id AS VARCHAR), 12, 'x'))[1:8], ''), '未命名会话') AS title FROM conversations""")
 def _(v):
-    name = F.when(F.col("role") == "system", F.substring("text", 1, 20)).otherwise("")
+    name = F.when(F.col("role") == "system", F.col("text")).otherwise("")
     return v.conversations.select("conv_id", "turn", C.title_of(
         name, F.lpad(F.col("conv_id").cast("string"), 12, "x")).alias("title"))
 

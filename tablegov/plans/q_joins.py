@@ -130,17 +130,27 @@ def _(v):
     return _fk(v)[1].select("id")
 
 
-@query("granted_parts", """WITH allowed AS (SELECT u.tenant_id, m.id AS menu_id FROM v_tenant u JOIN v_menu m ON m.sort // 10 = u.id WHERE u.id < 3),
-    g AS (SELECT DISTINCT rm.role_id AS user_id, m.id AS menu_id, rm.role_id % 5 AS tenant_id FROM v_role_menu rm
-        JOIN v_menu m ON m.id = rm.menu_id WHERE m.status = '0' AND m.type IN (1, 2, 4) AND m.client = 'pc')
-    SELECT user_id, menu_id FROM g WHERE tenant_id >= 3 OR (tenant_id, menu_id) IN (SELECT (tenant_id, menu_id) FROM allowed)
-    """.replace("u.tenant_id, m.id", "u.id AS tenant_id, m.id"))
+# Tenants 1 to 4 have a list of allowed menus, tenant 0 has none.
+_ALLOWED = "allowed AS (SELECT sort // 10 + 1 AS tenant_id, id AS menu_id FROM v_menu)"
+
+
+def _allowed(v):
+    return v.menu.select((F.floor(F.col("sort") / 10) + 1).alias("tenant_id"), F.col("id").alias("menu_id"))
+
+
+def _role_tenants(v):
+    return v.supplier.join(v.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("tenant_id"))
+
+
+@query("granted_parts", f"""WITH {_ALLOWED}, g AS (SELECT DISTINCT rm.role_id AS user_id, m.id AS menu_id, n_regionkey AS tenant_id FROM v_role_menu rm
+        JOIN v_menu m ON m.id = rm.menu_id JOIN supplier ON s_suppkey = rm.role_id JOIN nation ON n_nationkey = s_nationkey
+        WHERE m.status = '0' AND m.type IN (1, 2, 4) AND m.client = 'pc')
+    SELECT user_id, menu_id FROM g WHERE tenant_id NOT IN (SELECT tenant_id FROM allowed)
+        OR (tenant_id, menu_id) IN (SELECT (tenant_id, menu_id) FROM allowed)""")
 def _(v):
     roles = v.role.select(F.col("id").alias("user_id"), F.col("id").alias("role_id"))
-    users = v.role.select("id", (F.col("id") % 5).alias("tenant_id"))
-    allowed = v.menu.select(F.floor(F.col("sort") / 10).alias("tenant_id"), F.col("id").alias("menu_id")).filter(
-        "tenant_id < 3")
-    return R.granted_menus(roles, v.role_menu, v.menu, allowed, users)
+    return R.granted_menus(roles, v.role_menu, v.menu, _allowed(v), _role_tenants(v))
 
 
 @query("session_dept", """SELECT c.conv_id, c.turn, d.name AS team_name FROM conversations c LEFT JOIN v_dept d
@@ -158,13 +168,13 @@ def _(v):
                                         "events": (v.events, "user_id")})
 
 
-@query("menu_grant_check", """WITH own AS (SELECT rm.role_id, rm.menu_id, r.id % 5 AS tenant_id FROM v_role_menu rm JOIN v_role r ON r.id = rm.role_id)
-    SELECT role_id, menu_id, tenant_id FROM own WHERE tenant_id < 3 AND menu_id NOT IN
-    (SELECT id FROM v_menu WHERE sort // 10 = tenant_id)""")
+@query("menu_grant_check", f"""WITH {_ALLOWED}, own AS (SELECT rm.role_id, rm.menu_id, n_regionkey AS tenant_id FROM v_role_menu rm
+        JOIN supplier ON s_suppkey = rm.role_id JOIN nation ON n_nationkey = s_nationkey)
+    SELECT role_id, menu_id, tenant_id FROM own WHERE tenant_id IN (SELECT tenant_id FROM allowed)
+        AND (tenant_id, menu_id) NOT IN (SELECT (tenant_id, menu_id) FROM allowed)""")
 def _(v):
-    own = v.role_menu.withColumn("tenant_id", F.col("role_id") % 5)
-    allowed = v.menu.select(F.floor(F.col("sort") / 10).alias("tenant_id"), F.col("id").alias("menu_id")).filter("tenant_id < 3")
-    return R.menu_grant_check(own, allowed).select("role_id", "menu_id", "tenant_id")
+    own = v.role_menu.join(_role_tenants(v).withColumnRenamed("id", "role_id"), "role_id")
+    return R.menu_grant_check(own, _allowed(v)).select("role_id", "menu_id", "tenant_id")
 
 
 @query("member_of", """SELECT e.event_id, e.user_id, u.tenant_id FROM events e JOIN v_user u ON u.id = e.user_id

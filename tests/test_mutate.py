@@ -125,6 +125,8 @@ def test_relations(spark, rows):
     users = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     one = R.with_one(spark.createDataFrame([(7, 1), (8, 5), (9, None)], "k int, by int"), users, "by", "who")
     assert {r.k: (r.who.name if r.who else None) for r in one.collect()} == {7: "a", 8: None, 9: None}
+    again = R.page_with_one(spark.createDataFrame([(7, 1), (8, 5), (9, None)], "k int, by int"), users, "by", "who")
+    assert rows(again) == rows(one)
     tenants = spark.createDataFrame([(1, "t1", "0", 2, False), (2, "t2", "1", 1, False), (3, "t3", "0", 1, False)],
                                     "id int, name string, status string, sort int, is_deleted boolean")
     links = spark.createDataFrame([(5, 1, True), (5, 2, False), (5, 3, False)], "user_id int, tenant_id int, is_default boolean")
