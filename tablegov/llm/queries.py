@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegov.llm import bpe, decontaminate, quality, simhash
+from tablegov.llm import bpe, decontaminate, fingerprint, html_text, quality, simhash
 from tablegov.llm.common import ship_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,17 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_multiset_fingerprints")
+def multiset_fingerprints(spark, sf_dir):
+    rows = fingerprint.edited(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprint.fingerprint_of(F.col("lanes")).alias("fingerprint"),
+        fingerprint.fingerprint_of(F.col("edited_lanes")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+        fingerprint.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
+
+
 @query("op5_kneser_ney_quality")
 def kneser_ney_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
@@ -84,3 +95,8 @@ def prefix_filtered_windows(spark, sf_dir):
     return rows.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+@query("op10_tag_path_ratios")
+def tag_path_ratios(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
