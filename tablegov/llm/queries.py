@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegov.llm import bpe, decontaminate, fingerprint, html_text, quality, simhash
-from tablegov.llm.common import ship_code, table
+from tablegov.llm import (
+    bpe, decontaminate, fingerprint, html_text, perspectives, quality, sharding, simhash, training_order,
+)
+from tablegov.llm.common import ship_code, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +29,10 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 @query("op1_multiset_fingerprints")
 def multiset_fingerprints(spark, sf_dir):
     rows = fingerprint.edited(table(spark, sf_dir, "documents"))
@@ -38,21 +44,62 @@ def multiset_fingerprints(spark, sf_dir):
         fingerprint.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
 
 
+@query("op2_training_order")
+def training_order_shards(spark, sf_dir):
+    placed, _ = training_order.materialise(
+        table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN, key=20_240_601)
+    return placed.select("seq", "slot", "shard", "byte_offset", "first_doc", "n_tokens", F.crc32("tokens").alias("crc32"))
+
+
+@query("op4_perspective_rotation", """
+WITH t AS (
+    SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said
+    FROM conversations),
+s AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+r AS (
+    SELECT t.conv_id, speaker, greatest(turn // 256, 0) AS chunk, turn, said, who, who = speaker AS own,
+        '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant'
+            ELSE 'user name=' || who END || chr(10) AS head, said || '<|im_end|>' || chr(10) AS body
+    FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (
+    SELECT *, sum(length(head) + length(body)) OVER w - length(body) AS pos, row_number() OVER w AS n
+    FROM r WINDOW w AS (PARTITION BY conv_id, speaker, chunk ORDER BY turn, said, who ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_turns,
+    string_agg(head || body, '' ORDER BY n) AS text,
+    coalesce(string_agg(CASE WHEN own THEN pos || '-' || (pos + length(body)) END, ',' ORDER BY n), '') AS spans,
+    CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS n_trained
+FROM p GROUP BY conv_id, speaker, chunk
+""")
+def perspective_rotation(spark, sf_dir):
+    rows = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast(
+        "string"))), ",")
+    return rows.withColumn("spans", spans)
+
+
 @query("op5_kneser_ney_quality")
 def kneser_ney_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+@query("op6_histogram_sort_shards")
+def histogram_sort_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = written(docs.select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("text_hash")), "sizes")
+    placed = sharding.histogram_shards(rows, 40, "doc_id", "size", "text_hash")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias(
+        "shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op7_simhash_bk_trees")
 def simhash_bk_trees(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def vocabulary() -> str:
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
 @query("op8_sentencepiece_bpe")
 def sentencepiece_bpe(spark, sf_dir):
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
