@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegov.llm import (
-    bpe, decontaminate, fingerprint, html_text, perspectives, quality, sharding, simhash, training_order,
+    bpe, decontaminate, fingerprint, html_text, lm_score, perspectives, quality, sharding, simhash, training_order,
 )
 from tablegov.llm.common import ship_code, table, written
 
@@ -51,6 +51,11 @@ def training_order_shards(spark, sf_dir):
     return placed.select("seq", "slot", "shard", "byte_offset", "first_doc", "n_tokens", F.crc32("tokens").alias("crc32"))
 
 
+@query("op3_gated_recurrent_lm")
+def gated_recurrent_lm(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @query("op4_perspective_rotation", """
 WITH t AS (
     SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said
