@@ -1,4 +1,8 @@
-"""Small helpers shared by the operators of this package."""
+"""Small helpers shared by the operators of this package.
+
+Operators that return the columns of their input use names with two leading
+underscores for their own; an input should not have such columns.
+"""
 
 from __future__ import annotations
 

@@ -150,6 +150,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_
     """``docs`` without the rows that hold a benchmark window.  Whether a row
     goes depends on its text alone, so id and text hash identify it."""
     marked = scan(docs, benchmark, size, id_col, text_col).where(F.size("hits") > 0)
-    bad = marked.select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, F.xxhash64(docs[text_col]).eqNullSafe(F.col("_bad_hash"))
-                     & docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
+    bad = marked.select(F.col(id_col).alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
+    return docs.join(bad, F.xxhash64(docs[text_col]).eqNullSafe(F.col("__bad_hash"))
+                     & docs[id_col].eqNullSafe(F.col("__bad_id")), "left_anti")

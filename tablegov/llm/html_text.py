@@ -143,6 +143,9 @@ class PageReader(HTMLParser):
 
 
 def blocks_of(html: str) -> list[Block]:
+    at = html.rfind("<")
+    if at >= 0 and re.match(r"[a-zA-Z/!?][^>]*$", html[at + 1:]):
+        html = html[:at]  # the page ends within a tag
     reader = PageReader()
     reader.feed(html)
     reader.close()

@@ -43,7 +43,9 @@ class _Open:
 def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[tuple[int, int]], int]:
     """Boundaries (``_group``, ``_tie``), each the first key of its shard, and
     the number of counting rounds.  ``rows`` has ``_group``, ``_tie``, ``_size``."""
-    total = rows.agg(F.sum("_size")).first()[0] or 0
+    total = rows.agg(F.sum("_size")).first()[0]
+    if total is None:
+        return [], 0
     slack = tolerance * total / shards
     found: dict[int, tuple[int, int]] = {}
     waiting = {i: _Open(total * i // shards) for i in range(1, shards)}

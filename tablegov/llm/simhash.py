@@ -262,9 +262,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of every class: the one of smallest id.  Rows that
     repeat both id and text are reduced to one; rows without an id stay."""
     classes = near_duplicates(docs, id_col, text_col, shingle, radius)
-    first = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    first = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     # The joined rows already lie by id: the window sorts a handful of rows with the same id, no more.
-    kept = docs.withColumn("_hash", F.xxhash64(text_col)).join(first, docs[id_col] == F.col("_keep")).withColumn(
-        "_before", F.lag("_hash").over(Window.partitionBy("_keep").orderBy("_hash")))
-    kept = kept.where("_before IS NULL OR _before <> _hash").select(*docs.columns)
+    kept = docs.withColumn("__hash", F.xxhash64(text_col)).join(first, docs[id_col] == F.col("__keep")).withColumn(
+        "__before", F.lag("__hash").over(Window.partitionBy("__keep").orderBy("__hash")))
+    kept = kept.where("__before IS NULL OR __before <> __hash").select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
