@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Signs of path traversal, characters a name must not hold,
-# deepest path allowed.
+# Signs of path traversal, characters a name must not hold.
 _TRAVERSAL = r"(?i)\.\.|[\\/]|\x00|%2e%2e|%252e%252e"
 _FORBIDDEN = r'[<>:"|?*\x00-\x1f]'
-MAX_PATH_DEPTH = 20
 
 
 def _decoded(name: Column) -> Column:
-    """Percent-decoding that leaves malformed text and plus signs alone."""
-    return F.coalesce(F.try_url_decode(F.regexp_replace(name, r"\+", "%2B")), name)
+    """Percent-decoding that leaves malformed escapes and plus signs alone."""
+    masked = F.regexp_replace(F.regexp_replace(name, r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(masked), name)
 
 
 def is_unsafe_name(name: Column) -> Column:

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegov.session import sized
 
@@ -105,6 +106,17 @@ def condition(df: DataFrame, name: str, value, strict: bool = True) -> Column |
     raise ValueError(f"unknown operator: {op}")
 
 
+def _members(df: DataFrame, name: str, values) -> DataFrame:
+    """The values as a one-column frame of the column's own type.  A fraction
+    can equal no integer and is left out, as the literal form does."""
+    dtype = df.schema[name].dataType
+    known = {v for v in values if v is not None}
+    if isinstance(dtype, T.IntegralType):
+        known = {int(v) for v in known if not isinstance(v, float) or v.is_integer()}
+    rows = [(v,) if isinstance(v, str) and isinstance(dtype, T.StringType) else (str(v),) for v in known]
+    return df.sparkSession.createDataFrame(rows, "v string").select(F.col("v").cast(dtype).alias(name))
+
+
 def _is_long_list(value) -> bool:
     return (
         isinstance(value, tuple) and len(value) == 2 and value[0] == "in"
@@ -125,11 +137,7 @@ def where(df: DataFrame, search: dict | None, strict: bool = True) -> DataFrame:
             conds.append(cond)
     out = df.filter(reduce(lambda a, b: a & b, conds)) if conds else df
     for name, values in long_lists.items():
-        dtype = df.schema[name].dataType
-        keys = df.sparkSession.createDataFrame(
-            [(v,) for v in set(values) if v is not None], schema=f"`{name}` {dtype.simpleString()}"
-        )
-        out = out.join(sized(keys, len(values)), name, "left_semi")
+        out = out.join(sized(_members(df, name, values), len(values)), name, "left_semi").select(*df.columns)
     return out
 
 

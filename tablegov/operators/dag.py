@@ -14,22 +14,22 @@ from tablegov.session import cut, held, sized
 
 def _levels(known: DataFrame, arcs: DataFrame) -> DataFrame:
     due = arcs.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("due"))
-    state = cut(known.join(due, "id", "left").select(
-        "id", F.coalesce("due", F.lit(0)).alias("due"), F.lit(0).cast("long").alias("got")))
-    rounds = []
-    while True:
-        free = state.filter("got = due").select("id")
-        n = free.count()
-        if not n:
-            break
-        rounds.append(free.withColumn("level", F.lit(len(rounds))))
-        sent = sized(free, n).join(arcs, F.col("id") == F.col("source")).groupBy(F.col("target").alias("_t")).agg(
-            F.count(F.lit(1)).alias("sent"))
-        waiting = state.filter("got < due")
-        state = cut(waiting.join(sent, F.col("id") == F.col("_t"), "left").select(
-            "id", "due", (F.col("got") + F.coalesce("sent", F.lit(0))).alias("got")))
-    if not rounds:
-        return state.limit(0).select("id", F.lit(0).alias("level"))
+    free = cut(known.join(due, "id", "left_anti"))
+    rounds, n = [free.withColumn("level", F.lit(0))], free.count()
+    # Nodes that have had some of their counts, not all: what a round rewrites follows the frontier.
+    touched = None
+    with held(due.join(known, "id", "left_semi")) as due:
+        while n:
+            sent = sized(free, n).join(arcs, F.col("id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(
+                F.count(F.lit(1)).alias("got"))
+            if touched is not None:
+                sent = touched.unionByName(sent).groupBy("id").agg(F.sum("got").alias("got"))
+            state = cut(sent.join(due, "id").select("id", "got", (F.col("got") == F.col("due")).alias("full")))
+            free = state.filter("full").select("id")
+            touched = state.filter("NOT full").select("id", "got")
+            n = free.count()
+            if n:
+                rounds.append(free.withColumn("level", F.lit(len(rounds))))
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
@@ -65,10 +65,9 @@ def dag_violations(nodes: DataFrame, edges: DataFrame, id="id", source="source",
 
 def upstream(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:
     """The inputs of each node, one row per edge: ``(id, input)``."""
-    known = nodes.select(F.col(id).alias("id")).distinct()
-    arcs = edges.select(F.col(target).alias("id"), F.col(source).alias("input")).distinct()
-    arcs = arcs.join(known, "id", "left_semi")
-    return arcs.join(known.select(F.col("id").alias("input")), "input", "left_semi").select("id", "input")
+    known = nodes.select(F.col(id).alias("id"))
+    arcs = edges.select(F.col(target).alias("id"), F.col(source).alias("input")).join(known, "id", "left_semi")
+    return arcs.join(known.select(F.col("id").alias("input")), "input", "left_semi").select("id", "input").distinct()
 
 
 class Registry:

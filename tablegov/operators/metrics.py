@@ -28,6 +28,13 @@ def money_sum(col: Column | str) -> Column:
     return F.sum(cents).cast("double") / 100
 
 
+def exact_sum(col: Column | str) -> Column:
+    """Sum to six decimals, added up as whole millionths: independent of the row
+    order and fine enough for seconds."""
+    value = F.col(col) if isinstance(col, str) else col
+    return F.sum(F.floor(value * 1_000_000 + 0.5).cast("decimal(18,0)")).cast("double") / 1_000_000
+
+
 def _slot_window() -> Window:
     """For frames of one row per time slot: their number is bounded by the
     calendar, not by the data."""
@@ -42,7 +49,7 @@ def request_metrics(log: DataFrame, buckets=LATENCY_BUCKETS, method="method", ha
     """Per method, handler and status class: requests, latency sum, a
     cumulative histogram (``le_<bound>``), and sizes where given."""
     kept = log.filter(~F.col(handler).rlike("^(?:" + "|".join(excluded) + ")$"))
-    aggs = [F.count(F.lit(1)).alias("requests"), money_sum(latency).alias("latency_sum")]
+    aggs = [F.count(F.lit(1)).alias("requests"), exact_sum(latency).alias("latency_sum")]
     aggs += [F.count_if(F.col(latency) <= b).alias(f"le_{str(b).replace('.', '_')}") for b in buckets]
     for size in (request_size, response_size):
         if size:
@@ -66,16 +73,18 @@ def service_level(log: DataFrame, seconds: Column | float, latency="latency", co
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, by: list[str], name: str, **ranges) -> DataFrame:
-    """Interpolated percentile per group, found by position: only the two rows
-    around it are looked at, and no task holds a whole group.  The group
-    columns must not be null."""
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value)
-    numbered = number_rows(rows, [value], "_pos", keys=by, **ranges)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", F.lit(p) * (F.col("_n") - 1) + 1)
-    marked = numbered.join(sizes, by) if by else numbered.withColumn("_at", sizes.select("_at").scalar())
-    near = marked.filter((F.col("_pos") == F.floor("_at")) | (F.col("_pos") == F.ceil("_at")))
-    low, high, at = F.min(value), F.max(value), F.max("_at")
-    return near.groupBy(*by).agg((low + (high - low) * (at - F.floor(at))).alias(name))
+    """Interpolated percentile per group.  Rows are counted per distinct value
+    first, so a frequent value is one row; the running counts are taken in
+    ranges, and no task holds a whole group.  The group columns must not be
+    null."""
+    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_many"))
+    placed = number_rows(values, [value], "_pos", keys=by, weight="_many", **ranges)
+    sizes = values.groupBy(*by).agg((F.lit(p) * (F.sum("_many") - 1) + 1).alias("_at"))
+    marked = placed.join(sizes, by) if by else placed.withColumn("_at", sizes.select("_at").scalar())
+    low = F.min(F.when(F.col("_pos") >= F.floor("_at"), F.col(value)))
+    high = F.min(F.when(F.col("_pos") >= F.ceil("_at"), F.col(value)))
+    at = F.max("_at")
+    return marked.groupBy(*by).agg((low + (high - low) * (at - F.floor(at))).alias(name))
 
 
 # --- sessions, messages, jobs -------------------------------------------------
@@ -253,7 +262,7 @@ def growth(slots: DataFrame, slot: str, value: str) -> DataFrame:
     """Against the previous slot in percent, and the running total."""
     over = _slot_window().orderBy(slot)
     before = F.lag(value).over(over)
-    running = F.sum(F.col(value).cast("decimal(28,2)")).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(F.col(value).cast("decimal(28,6)")).over(over.rowsBetween(Window.unboundedPreceding, 0))
     return slots.select(
         slot, value, F.round(F.lit(100) * (F.col(value) - before) / F.nullif(before, F.lit(0)), 2).alias("growth"),
         running.cast("double").alias("running_total"))
@@ -262,6 +271,6 @@ def growth(slots: DataFrame, slot: str, value: str) -> DataFrame:
 def target_vs_actual(slots: DataFrame, slot: str, value: str, k: int = 3) -> DataFrame:
     """Target is the mean of the ``k`` slots before."""
     over = _slot_window().orderBy(slot).rowsBetween(-k, -1)
-    target = (F.sum(F.col(value).cast("decimal(28,2)")).over(over).cast("double") / F.count(value).over(over))
+    target = (F.sum(F.col(value).cast("decimal(28,6)")).over(over).cast("double") / F.count(value).over(over))
     return slots.select(slot, value, F.round(target, 2).alias("target"),
                         F.round(F.lit(100) * F.col(value) / F.nullif(target, F.lit(0)), 2).alias("percent"))

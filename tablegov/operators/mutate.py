@@ -1,7 +1,8 @@
 """Mutations as snapshot transforms: a frame in, the next version out.
 
-Writes are always limited to the caller's tenant.  Refused rows come back in a
-frame of their own.
+Changes and deletions are always limited to rows of the caller's tenant; new
+rows get that tenant unless they bring one.  Refused rows come back in a frame of
+their own.
 """
 
 from __future__ import annotations
@@ -60,22 +61,39 @@ def create(df: DataFrame, rows: DataFrame, spec: TableSpec, ctx: Ctx, order, now
     return df.unionByName(new.select(*df.columns))
 
 
-def update(df: DataFrame, changes: DataFrame, spec: TableSpec, ctx: Ctx,
-           now: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Partial update by key: a null in ``changes`` leaves the field alone.
-    Returns the new version and the refused changes with a reason."""
+def refusal(df: DataFrame, spec: TableSpec, ctx: Ctx, scope: Column | None = None) -> Column:
+    """Why a row may not be changed by the caller, or null: another tenant's,
+    deleted, or outside the caller's data ``scope`` (a predicate on the row)."""
+    live = F.lit(True)
+    if spec.deleted and spec.deleted in df.columns:
+        live = ~F.coalesce(F.col(spec.deleted).cast("boolean"), F.lit(False))
+    inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    return F.when(~F.coalesce(writable(spec, ctx), F.lit(False)), "foreign_tenant").when(~live, "deleted").when(
+        ~inside, "out_of_scope")
+
+
+def update(df: DataFrame, changes: DataFrame, spec: TableSpec, ctx: Ctx, now: str | None = None,
+           scope: Column | None = None, given: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Partial update by key of the rows the caller may change.  A null in
+    ``changes`` leaves a field alone, except for the fields in ``given``, which
+    it clears.  A key that ``changes`` holds more than once is refused, as no
+    order says which change is meant.  Returns the new version and the refused
+    changes with a reason."""
     fields = [c for c in changes.columns if c != spec.key]
-    side = changes.select(spec.key, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
-    joined = df.join(side, spec.key, "left")
-    allowed = F.coalesce(F.col("_hit") & writable(spec, ctx), F.lit(False))
-    out = joined.withColumn("_ok", allowed)
+    once = changes.groupBy(spec.key).agg(F.count(F.lit(1)).alias("_times"), *[
+        F.any_value(c).alias(f"_new_{c}") for c in fields])
+    joined = df.join(once, spec.key, "left")
+    out = joined.withColumn("_ok", F.coalesce(F.col("_times") == 1, F.lit(False)) & refusal(df, spec, ctx, scope).isNull())
     for c in fields:
-        out = out.withColumn(c, F.when(F.col("_ok"), F.coalesce(f"_new_{c}", c)).otherwise(F.col(c)))
+        new = F.col(f"_new_{c}") if c in (given or []) else F.coalesce(f"_new_{c}", c)
+        out = out.withColumn(c, F.when(F.col("_ok"), new).otherwise(F.col(c)))
     out = _stamp(out, df, spec, ctx, F.col("_ok"), now)
-    have = df.select(spec.key, writable(spec, ctx).alias("_own"))
-    refused = changes.join(have, spec.key, "left").withColumn(
-        "reason", F.when(F.col("_own").isNull(), "not_found").when(~F.col("_own"), "foreign_tenant"))
-    return out.select(*df.columns), refused.filter("reason is not null").drop("_own")
+    have = df.select(spec.key, refusal(df, spec, ctx, scope).alias("_why"), F.lit(True).alias("_found"))
+    times = once.select(spec.key, "_times")
+    refused = changes.join(times, spec.key).join(have, spec.key, "left").withColumn(
+        "reason", F.when(F.col("_found").isNull(), "not_found").when(F.col("_why").isNotNull(), F.col("_why")).when(
+            F.col("_times") > 1, "repeated"))
+    return out.select(*df.columns), refused.filter("reason is not null").drop("_why", "_found", "_times")
 
 
 def _stamp(out: DataFrame, df: DataFrame, spec: TableSpec, ctx: Ctx, hit: Column, now: str | None) -> DataFrame:
@@ -142,10 +160,27 @@ def clear(df: DataFrame, spec: TableSpec, ctx: Ctx, now: str | None = None) -> D
     return _deletion(df, spec, hit, True, _now(now, df, spec.deleted_time), by)
 
 
-def upsert(df: DataFrame, rows: DataFrame, keys: list[str], defaults: dict | None = None) -> DataFrame:
+def upsert(df: DataFrame, rows: DataFrame, keys: list[str], defaults: dict | None = None,
+           spec: TableSpec | None = None, ctx: Ctx | None = None) -> DataFrame:
     """Update by key or insert.  A null field in ``rows`` keeps the old value,
-    or takes the default on insert."""
+    or takes the default on insert.  Of a repeated key the row with the largest
+    fields counts.  With ``spec`` and ``ctx`` rows of other tenants stay as they
+    are, and a row that names another tenant is not inserted."""
     fields = [c for c in df.columns if c not in keys]
+    if spec and ctx and spec.tenant and not ctx.is_super and ctx.tenant_id is not None:
+        foreign = df.filter(~F.coalesce(writable(spec, ctx), F.lit(False)))
+        own = df.filter(writable(spec, ctx))
+        if spec.tenant in rows.columns:
+            rows = rows.filter(F.coalesce(F.col(spec.tenant) == ctx.tenant_id, F.lit(True)))
+        rows = rows.withColumn(spec.tenant, F.lit(ctx.tenant_id).cast(df.schema[spec.tenant].dataType))
+        fresh = rows if spec.tenant in keys else rows.join(foreign.select(*keys), keys, "left_anti")
+        return upsert(own, fresh, keys, defaults).unionByName(foreign)
+    brought = [c for c in fields if c in rows.columns]
+    if brought:
+        best = F.max(F.struct(*brought)).alias("_best")
+        rows = rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in brought])
+    else:
+        rows = rows.select(*keys).distinct()
     new = rows.select(*keys, *[(F.col(c) if c in rows.columns else F.lit(None).cast(df.schema[c].dataType)).alias(
         f"_new_{c}") for c in fields])
     joined = df.join(new, keys, "full")
@@ -160,12 +195,14 @@ def import_upsert(df: DataFrame, rows: DataFrame, key: str, update_support: bool
     """Import by natural key: known rows are updated or reported as existing,
     protected rows are refused, the rest is created.  When a key occurs more
     than once the first row creates and the later ones meet an existing row.
-    Returns the new version and the report ``(row_no, key, outcome)``."""
+    Only rows of the caller's tenant are looked up and changed, and the tenant
+    itself cannot be imported.  Returns the new version and the report
+    ``(row_no, key, outcome)``."""
     from tablegov.operators.page import dedupe
 
-    fields = [c for c in rows.columns if c not in (key, row_no)]
-    known = df.select(key, F.lit(True).alias("_known"),
-                      (F.lit(False) if protected is None else protected).alias("_protected"))
+    fields = [c for c in rows.columns if c not in (key, row_no, spec.tenant)]
+    known = df.filter(writable(spec, ctx)).groupBy(key).agg(
+        F.lit(True).alias("_known"), F.max(F.lit(False) if protected is None else protected).alias("_protected"))
     first = rows.groupBy(key).agg(F.min(row_no).alias("_first"))
     marked = rows.join(first, key).join(known, key, "left")
     outcome = (
@@ -178,9 +215,10 @@ def import_upsert(df: DataFrame, rows: DataFrame, key: str, update_support: bool
     accepted = dedupe(marked.filter(F.col("outcome").isin("created", "updated")), [key], [(row_no, "desc")])
     fresh = accepted.filter(F.col("_known").isNull()).select(key, *fields, row_no)
     changes = accepted.filter(F.col("_known")).select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
-    out = df.join(changes.withColumn("_hit", F.lit(True)), key, "left")
+    out = df.join(changes.withColumn("_hit", F.lit(True)), key, "left").withColumn(
+        "_hit", F.coalesce(F.col("_hit") & writable(spec, ctx), F.lit(False)))
     for c in fields:
-        out = out.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c)))
+        out = out.withColumn(c, F.when(F.col("_hit"), F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)))
     out = _stamp(out, df, spec, ctx, F.col("_hit"), now).select(*df.columns)
     return create(out, fresh.drop(row_no).withColumn("_order", F.col(key)), spec, ctx, ["_order"], now), report
 
@@ -242,10 +280,11 @@ def cancel_pending(jobs: DataFrame, status="status") -> DataFrame:
     return jobs.withColumn(status, F.when(F.col(status) == "pending", "cancelled").otherwise(F.col(status)))
 
 
-def guarded_delete(df: DataFrame, ids, rules: list[tuple[Column, str]], spec: TableSpec,
+def guarded_delete(df: DataFrame, ids, rules: list[tuple[Column, str]], spec: TableSpec, ctx: Ctx,
                    ) -> tuple[DataFrame, DataFrame]:
-    """Delete the ids no rule protects.  The second frame names the others with
-    the first rule that held."""
+    """Delete the ids of the caller's tenant that no rule protects.  The second
+    frame names the others with the first rule that held."""
+    rules = [(~F.coalesce(writable(spec, ctx), F.lit(False)), "foreign_tenant"), *rules]
     reason = F.lit(None).cast("string")
     for cond, name in reversed(rules):
         reason = F.when(cond, F.lit(name)).otherwise(reason)
@@ -254,9 +293,13 @@ def guarded_delete(df: DataFrame, ids, rules: list[tuple[Column, str]], spec: Ta
     return kept, marked.filter(F.col("reason").isNotNull()).select(spec.key, "reason")
 
 
-def replace_children(links: DataFrame, owner: str, owners: DataFrame, new: DataFrame) -> DataFrame:
+def replace_children(links: DataFrame, owner: str, owners: DataFrame, new: DataFrame,
+                     spec: TableSpec | None = None, ctx: Ctx | None = None) -> DataFrame:
     """The links of ``owners`` (one column) are replaced by ``new``; an owner
-    without new rows ends up with none."""
+    without new rows ends up with none.  With ``spec`` and ``ctx``, ``owners``
+    is the governed table of owners, and those of other tenants are left out."""
+    if spec and ctx:
+        owners = owners.filter(refusal(owners, spec, ctx).isNull()).select(spec.key)
     gone = owners.select(F.col(owners.columns[0]).alias(owner))
     kept = links.join(gone, owner, "left_anti").select(*links.columns)
     return kept.unionByName(new.join(gone, owner, "left_semi").select(*links.columns))

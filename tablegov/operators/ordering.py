@@ -9,6 +9,8 @@ whatever the sample was.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +20,8 @@ SMALL_ROWS = 200_000
 
 _SAMPLES_PER_RANGE = 20
 
-# The bounds are part of the plan, so their number is kept moderate.
-_MOST_RANGES = 2048
+# A range holds about this many rows at most; there are never fewer ranges than shuffle partitions.
+_ROWS_PER_RANGE = 5_000_000
 
 Order = list[tuple[str, str]]
 
@@ -63,15 +65,12 @@ def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int |
     input, or of the largest key."""
     order = normalise(order)
     limit = SMALL_ROWS if small_rows is None else small_rows
-    rows = df.count()
-    if rows <= limit:
+    counts = df.groupBy(*(keys or [])).count()
+    rows, largest = counts.agg(F.sum("count"), F.max("count")).first()
+    if (largest or 0) <= limit:
         return None
-    if keys:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-        if largest <= limit:
-            return None
     spark = df.sparkSession
-    ranges = ranges or min(_MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _ROWS_PER_RANGE))
     key = _range_key(df, order)
     keys = df.select(key.alias("k")).select("k.*")
     sample = keys.sample(min(1.0, ranges * _SAMPLES_PER_RANGE / rows), seed=7)
@@ -81,9 +80,11 @@ def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int |
     if not bounds:
         return F.lit(0)
     types = [f.dataType for f in keys.schema.fields]
-    literal = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, keys.columns)]) for row in bounds
-    ])
+    # One text literal, whatever the number of bounds; the optimizer folds it into one array.
+    text = json.dumps([dict(zip(keys.columns, row)) for row in bounds])
+    names = keys.columns
+    literal = F.from_json(F.lit(text), "array<struct<" + ",".join(f"{c}:string" for c in names) + ">>").cast(
+        "array<struct<" + ",".join(f"{c}:{t.simpleString()}" for c, t in zip(names, types)) + ">>")
     step = 1
     while step * 2 <= len(bounds):
         step *= 2
@@ -99,27 +100,36 @@ def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int |
 
 
 def number_rows(df: DataFrame, order, name: str = "row_no", keys: list[str] | None = None,
-                ranges: int | None = None, small_rows: int | None = None) -> DataFrame:
+                ranges: int | None = None, small_rows: int | None = None, weight: str | None = None) -> DataFrame:
     """1-based position of each row in ``order`` (within ``keys``, which must
-    not be null).  ``order`` has to end in a unique column for a stable result."""
+    not be null).  ``order`` has to end in a unique column for a stable result.
+    With ``weight`` a row stands for that many, and has the position of its last."""
     bucket = range_id(df, order, ranges, small_rows, keys)
     cut = df if bucket is None else df.withColumn("_range", bucket)
-    return number_in_ranges(cut, order, name, keys).select(*df.columns, name)
+    return number_in_ranges(cut, order, name, keys, weight).select(*df.columns, name)
 
 
-def number_in_ranges(df: DataFrame, order, name: str, keys: list[str] | None = None) -> DataFrame:
+def number_in_ranges(df: DataFrame, order, name: str, keys: list[str] | None = None,
+                     weight: str | None = None) -> DataFrame:
     """``number_rows`` on a frame whose ``_range`` column already follows the
     order; without that column one task per key does it all."""
     keys = keys or []
     by = sort_columns(order)
+
+    def place(window: Window) -> Column:
+        if weight is None:
+            return F.row_number().over(window.orderBy(*by))
+        return F.sum(weight).over(window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+
     if "_range" not in df.columns:
         window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        return df.withColumn(name, F.row_number().over(window.orderBy(*by)).cast("long"))
-    local = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by)))
+        return df.withColumn(name, place(window).cast("long"))
+    local = df.withColumn("_pos", place(Window.partitionBy(*keys, "_range")))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*keys, "_range").count().withColumn(
-        "_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    many = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    offsets = df.groupBy(*keys, "_range").agg(many.alias("_many_in")).withColumn(
+        "_before", F.coalesce(F.sum("_many_in").over(earlier), F.lit(0))).drop("_many_in")
     return local.join(offsets, [*keys, "_range"]).withColumn(
         name, (F.col("_pos") + F.col("_before")).cast("long")).select(*df.columns, name)
 

@@ -16,7 +16,6 @@ from tablegov.operators.ordering import normalise, number_rows, sort_columns
 MAX_PAGE_SIZE = 100
 DEFAULT_PAGE_SIZE = 10
 DEFAULT_ORDER = [("updated_time", "desc")]
-LISTING_CAP = 1000
 
 # Up to this offset a page is a top-n: every task keeps its best rows and they
 # meet in one place.  Beyond it rows are found by position instead.
@@ -146,15 +145,15 @@ def get_one(df: DataFrame, search: dict, key: str = "id") -> DataFrame:
     return where(df, search).orderBy(key).limit(1)
 
 
-def sort_items(df: DataFrame, conds: list[dict] | None, name: str = "name", cap: int = LISTING_CAP,
+def sort_items(df: DataFrame, conds: list[dict] | None, name: str = "name",
                first_direction_for_all: bool = False) -> DataFrame:
-    """File listing order: name ascending by default, at most ``cap`` items.
+    """File listing order: name ascending by default; all items, in order.
     ``first_direction_for_all`` reproduces the old rule that the first
     direction governs every key."""
     spec = [(c.get("field", name), c.get("direction", "asc")) for c in conds or []] or [(name, "asc")]
     if first_direction_for_all:
         spec = [(c, spec[0][1]) for c, _ in spec]
-    return df.orderBy(*sort_columns(spec)).limit(cap)
+    return df.orderBy(*sort_columns(spec))
 
 
 def sort_desc_by_login(df: DataFrame, column: str = "login_time") -> DataFrame:

@@ -110,10 +110,6 @@ def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> Dat
     return target.unionByName(source.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
-def missing_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    return source.join(target.select(*keys), keys, "left_anti")
-
-
 def with_parent_name(df: DataFrame, id="id", parent="parent_id", name="name") -> DataFrame:
     above = df.select(F.col(id).alias("_pid"), F.col(name).alias("parent_name"))
     return df.join(above, F.col(parent) == F.col("_pid"), "left").drop("_pid")
@@ -121,9 +117,9 @@ def with_parent_name(df: DataFrame, id="id", parent="parent_id", name="name") ->
 
 def resolve_fk(df: DataFrame, ref: DataFrame, natural: str, surrogate: str = "id",
                ref_natural: str | None = None, name: str = "ref_id") -> tuple[DataFrame, DataFrame]:
-    """Attach the surrogate id found by natural key; unmatched rows go to the
-    second frame."""
-    side = ref.select(F.col(ref_natural or natural).alias(natural), F.col(surrogate).alias(name))
+    """Attach the surrogate id found by natural key, the smallest where a key
+    repeats; unmatched rows go to the second frame."""
+    side = ref.groupBy(F.col(ref_natural or natural).alias(natural)).agg(F.min(surrogate).alias(name))
     return df.join(side, natural), df.join(side, natural, "left_anti")
 
 

@@ -1,23 +1,26 @@
-"""Hierarchies given as ``(id, parent_id)`` rows, one row per id.
+"""Hierarchies given as ``(id, parent_id)`` rows, normally one row per id.
 
 Closures advance one level per round: a join of the frontier with the edges,
 cut by a checkpoint, stopped when nothing new appears.  A cycle ends a walk
-instead of looping: downwards a walk can only come back through its own root,
-upwards the short path so far is kept and tested.  The frontier is unique per
-node while children may pile up under one parent; Spark splits that side of the
-join (adaptive skew handling) or broadcasts the frontier when its measured size
-allows.
+instead of looping: with one row per id a walk down can only come back through
+its own root, and upwards the short path so far is kept and tested; where an id
+repeats, a walk down leaves out what its root has met before.  Where only the
+nodes are wanted, not the pairs, ``reach`` walks sets: a node is in one frontier
+only, however many starts lead to it.  Children may pile up under one parent;
+Spark splits that side of the join (adaptive skew handling) or broadcasts the
+frontier when its measured size allows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegov.operators.mutate import writable
 from tablegov.session import cut, held, sized
-from tablegov.spec import DISABLED, ENABLED
+from tablegov.spec import DISABLED, ENABLED, Ctx, TableSpec
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -38,12 +41,16 @@ def descendants(nodes: DataFrame, roots: DataFrame, id="id", parent="parent_id",
     """Each root with everything below it: ``(root_id, id, depth)``.  ``roots``
     is a one-column frame."""
     with held(_links(nodes, id, parent)) as links:
+        repeated = not links.groupBy("child").count().filter("count > 1").isEmpty()
         level = cut(_start(roots))
         levels, rows = [level], level.count()
         while max_depth is None or len(levels) <= max_depth:
             front = sized(level, rows)
-            level = cut(front.join(links, F.col("id") == F.col("above")).filter("child <> root_id").select(
-                "root_id", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")))
+            below = front.join(links, F.col("id") == F.col("above")).filter("child <> root_id").select(
+                "root_id", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"))
+            if repeated:
+                below = below.distinct().join(_union(levels).select("root_id", "id"), ["root_id", "id"], "left_anti")
+            level = cut(below)
             rows = level.count()
             if not rows:
                 break
@@ -51,6 +58,27 @@ def descendants(nodes: DataFrame, roots: DataFrame, id="id", parent="parent_id",
     return _union(levels)
 
 
+def reach(nodes: DataFrame, starts: DataFrame, up: bool, id="id", parent="parent_id") -> DataFrame:
+    """The nodes among ``starts`` and all above (or below) them: ``id``, each once."""
+    known = nodes.select(F.col(id).alias("id"), F.col(parent).alias("above")).filter("id is not null")
+    with held(known) as rows:
+        first = starts.select(F.col(starts.columns[0]).alias("id")).distinct()
+        level = cut(first.join(rows.select("id").distinct(), "id", "left_semi") if up else first)
+        levels, n = [level], level.count()
+        while n:
+            front = sized(level, n)
+            if up:
+                step = rows.join(front, "id", "left_semi").select(F.col("above").alias("id")).distinct().join(
+                    rows.select("id"), "id", "left_semi")
+            else:
+                step = rows.join(front.withColumnRenamed("id", "above"), "above", "left_semi").select("id").distinct()
+            level = cut(step.join(_union(levels), "id", "left_anti"))
+            n = level.count()
+            if n:
+                levels.append(level)
+    return _union(levels)
+
+
 def ancestors(nodes: DataFrame, starts: DataFrame, id="id", parent="parent_id",
               max_depth: int | None = None) -> DataFrame:
     """Each start node with everything above it.  Parent ids that are not
@@ -76,12 +104,14 @@ def self_references(nodes: DataFrame, id="id", parent="parent_id") -> DataFrame:
 
 
 def tree_paths(nodes: DataFrame, id="id", parent="parent_id", orphans: str = "promote") -> DataFrame:
-    """``(id, parent_id, root_id, level, path, is_leaf)``.  A node is a root when
+    """``(id, parent_id, root_id, level, path, is_leaf)``.  Of a repeated id the
+    row with the smallest parent counts, a null parent last.  A node is a root when
     its parent is null; a node whose parent is missing becomes a root too
     (``promote``) or is left out with its subtree (``drop``)."""
     if orphans not in ("promote", "drop"):
         raise ValueError("orphans is 'promote' or 'drop'")
-    rows = nodes.select(F.col(id).alias("id"), F.col(parent).alias("parent_id")).dropDuplicates(["id"])
+    rows = nodes.select(F.col(id).alias("id"), F.col(parent).alias("parent_id")).groupBy("id").agg(
+        F.min("parent_id").alias("parent_id"))
     tops = rows.filter(F.col("parent_id").isNull())
     if orphans == "promote":
         known = rows.select(F.col("id").alias("parent_id"))
@@ -129,31 +159,41 @@ def tree_options(paths: DataFrame, nodes: DataFrame, id="id", name="name", statu
 
 # --- cascades -----------------------------------------------------------------
 
-def _set_where(df: DataFrame, ids: DataFrame, id: str, column: str, value) -> DataFrame:
+def _set_where(df: DataFrame, ids: DataFrame, id: str, column: str, value, own: Column) -> DataFrame:
     hit = ids.select(F.col("id").alias(id)).distinct().withColumn("_hit", F.lit(True))
     marked = df.join(hit, id, "left")
-    return marked.withColumn(column, F.when(F.col("_hit"), F.lit(value)).otherwise(F.col(column))).select(*df.columns)
+    return marked.withColumn(column, F.when(F.col("_hit") & own, F.lit(value)).otherwise(F.col(column))).select(*df.columns)
+
+
+def _own(spec: TableSpec | None, ctx: Ctx | None) -> Column:
+    """Rows of the caller's tenant; all where no caller is given."""
+    return F.coalesce(writable(spec, ctx), F.lit(False)) if spec and ctx else F.lit(True)
 
 
-def cascade_enable(df: DataFrame, ids: DataFrame, id="id", parent="parent_id", status="status") -> DataFrame:
-    """Enabling a node enables everything above it."""
-    return _set_where(df, ancestors(df, ids, id, parent), id, status, ENABLED)
+def cascade_enable(df: DataFrame, ids: DataFrame, id="id", parent="parent_id", status="status",
+                   spec: TableSpec | None = None, ctx: Ctx | None = None) -> DataFrame:
+    """Enabling a node enables everything above it, within the caller's tenant."""
+    return _set_where(df, reach(df, ids, True, id, parent), id, status, ENABLED, _own(spec, ctx))
 
 
-def cascade_disable(df: DataFrame, ids: DataFrame, id="id", parent="parent_id", status="status") -> DataFrame:
-    """Disabling a node disables everything below it."""
-    return _set_where(df, descendants(df, ids, id, parent), id, status, DISABLED)
+def cascade_disable(df: DataFrame, ids: DataFrame, id="id", parent="parent_id", status="status",
+                    spec: TableSpec | None = None, ctx: Ctx | None = None) -> DataFrame:
+    """Disabling a node disables everything below it, within the caller's tenant."""
+    return _set_where(df, reach(df, ids, False, id, parent), id, status, DISABLED, _own(spec, ctx))
 
 
-def cascade_delete(df: DataFrame, ids: DataFrame, id="id", parent="parent_id") -> DataFrame:
-    gone = descendants(df, ids, id, parent).select(F.col("id").alias(id)).distinct()
-    return df.join(gone, id, "left_anti").select(*df.columns)
+def cascade_delete(df: DataFrame, ids: DataFrame, id="id", parent="parent_id",
+                   spec: TableSpec | None = None, ctx: Ctx | None = None) -> DataFrame:
+    """A node goes with everything below it, within the caller's tenant."""
+    gone = reach(df, ids, False, id, parent).select(F.col("id").alias(id)).withColumn("_gone", F.lit(True))
+    marked = df.join(gone, id, "left")
+    return marked.filter(F.col("_gone").isNull() | ~_own(spec, ctx)).select(*df.columns)
 
 
 # --- selections ---------------------------------------------------------------
 
 def expand_with_ancestors(df: DataFrame, ids: DataFrame, id="id", parent="parent_id") -> DataFrame:
-    return ancestors(df, ids, id, parent).select("id").distinct()
+    return reach(df, ids, True, id, parent)
 
 
 def linked_violations(df: DataFrame, chosen: DataFrame, id="id", parent="parent_id") -> DataFrame:

@@ -364,7 +364,7 @@ def _(v):
 
 @query("export_rows", "SELECT id, amount FROM v_order WHERE status = 'O' AND amount > 200000")
 def _(v):
-    return A.export_rows(v.order, "remote", {"status": "O", "amount": (">", 200000)}, max_rows=10_000_000).select("id", "amount")
+    return A.export_rows(v.order, "remote", {"status": "O", "amount": (">", 200000)}).select("id", "amount")
 
 
 @query("serialize_columns", """SELECT CAST(row_number() OVER (ORDER BY amount DESC, id) AS BIGINT) AS "No", CAST(id AS VARCHAR) AS "Order",

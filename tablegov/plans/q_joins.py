@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablegov.functions.text import minute_fmt
 from tablegov.operators import diff as D
+from tablegov.operators import ordering as O
 from tablegov.operators import page as P
 from tablegov.operators import relate as R
 from tablegov.operators.scope import creator_in
@@ -197,9 +198,10 @@ def _(v):
     return P.count_where(v.link, {"is_owner": True}, ["tenant_id"])
 
 
-@query("order_by", "SELECT id, status FROM v_order ORDER BY status DESC, amount, id LIMIT 25")
+@query("order_by", "SELECT id, status, row_number() OVER (ORDER BY status DESC, amount, id) AS position FROM v_order")
 def _(v):
-    return P.order(v.order, [{"status": "desc"}, {"amount": "whatever"}], "id").limit(25).select("id", "status")
+    return O.number_rows(v.order, [*O.normalise([{"status": "desc"}, {"amount": "whatever"}]), ("id", "asc")], "position",
+                         small_rows=0).select("id", "status", "position")
 
 
 @query("page", "SELECT id, amount, (SELECT count(*) FROM v_order WHERE status = 'P') AS total, 3 AS page_no, 50 AS page_size, "
@@ -240,9 +242,10 @@ def _(v):
     return P.get_one(v.order, {"created_id": 9}).select("id", "amount")
 
 
-@query("sort_items", "SELECT path, size FROM v_file ORDER BY size DESC, path LIMIT 1000")
+@query("sort_items", "SELECT path, size, row_number() OVER (ORDER BY size DESC, path) AS position FROM v_file")
 def _(v):
-    return P.sort_items(v.file, [{"field": "size", "direction": "desc"}, {"field": "path"}])
+    items = P.sort_items(v.file, [{"field": "size", "direction": "desc"}, {"field": "path"}])
+    return O.number_rows(items, [("size", "desc"), ("path", "asc")], "position")
 
 
 @query("sort_desc_by_login", "SELECT id, name, coalesce(login_time, '') AS login_time FROM (SELECT id, name, "

@@ -92,12 +92,12 @@ def _(v):
 # --- requests -----------------------------------------------------------------
 
 @query("request_metrics", """SELECT method, path AS handler, CAST(code // 100 AS VARCHAR) || 'xx' AS status, count(*) AS requests,
-    CAST(sum(CAST(latency AS DECIMAL(18,2))) AS DOUBLE) AS latency_sum, count_if(latency <= 0.5) AS le_0_5,
-    count_if(latency <= 5) AS le_5, count_if(latency <= 50) AS le_50, CAST(sum(length(request_payload)) AS BIGINT) AS size_sum
+    CAST(sum(CAST(latency / 1000 AS DECIMAL(18,6))) AS DOUBLE) AS latency_sum, count_if(latency / 1000 <= 0.001) AS le_0_001,
+    count_if(latency / 1000 <= 0.005) AS le_0_005, count_if(latency / 1000 <= 0.05) AS le_0_05, CAST(sum(length(request_payload)) AS BIGINT) AS size_sum
     FROM v_log WHERE path <> '/view' GROUP BY 1, 2, 3""")
 def _(v):
-    log = v.log.withColumn("size", F.length("request_payload"))
-    return M.request_metrics(log, [0.5, 5, 50], request_size="size", excluded=["/view", "/static/.*"])
+    log = v.log.withColumn("size", F.length("request_payload")).withColumn("latency", F.col("latency") / 1000)
+    return M.request_metrics(log, [0.001, 0.005, 0.05], request_size="size", excluded=["/view", "/static/.*"])
 
 
 @query("service_level", """SELECT handler, round(count(*) / 2592000.0, 8) AS qps, round(avg(CASE WHEN code >= 500 THEN 1.0 ELSE 0 END), 6) AS error_rate,
@@ -108,6 +108,14 @@ def _(v):
                       F.round("p99", 6).alias("p99"))
 
 
+@query("service_level_ranged", """SELECT code // 100 AS class, round(quantile_cont(latency, 0.99), 6) AS p99, round(quantile_cont(latency, 0.5), 6) AS p50
+    FROM (SELECT code, floor(latency) AS latency FROM v_log) GROUP BY 1""")
+def _(v):
+    log = v.log.select(F.floor(F.col("code") / 100).alias("class"), F.floor("latency").cast("double").alias("latency"))
+    high, middle = (M.exact_percentile(log, "latency", p, ["class"], f"p{round(p * 100)}", small_rows=0) for p in (0.99, 0.5))
+    return high.join(middle, "class").select("class", F.round("p99", 6).alias("p99"), F.round("p50", 6).alias("p50"))
+
+
 @query("service_level_approx", None)
 def _(v):
     return M.service_level(v.log, 2592000.0, by=["handler"])
@@ -323,14 +331,21 @@ def _slots(v):
     return v.order.groupBy(F.date_format("created_time", "yyyy-MM").alias("slot")).agg(M.money_sum("amount").alias("value"))
 
 
-@query("growth", _SLOTS + """SELECT slot, value, round(100 * (value - lag(value) OVER w) / lag(value) OVER w, 2) AS growth,
-    CAST(sum(CAST(value AS DECIMAL(28,2))) OVER w AS DOUBLE) AS running_total FROM s WINDOW w AS (ORDER BY slot)""")
+_FINE = _SLOTS + ", f AS (SELECT slot, value / 1000 AS value FROM s)"
+
+
+def _fine(v):
+    return _slots(v).withColumn("value", F.col("value") / 1000)
+
+
+@query("growth", _FINE + """SELECT slot, value, round(100 * (value - lag(value) OVER w) / lag(value) OVER w, 2) AS growth,
+    CAST(sum(CAST(value AS DECIMAL(28,6))) OVER w AS DOUBLE) AS running_total FROM f WINDOW w AS (ORDER BY slot)""")
 def _(v):
-    return M.growth(_slots(v), "slot", "value")
+    return M.growth(_fine(v), "slot", "value")
 
 
-@query("target_vs_actual", _SLOTS + """, t AS (SELECT slot, value, CAST(sum(CAST(value AS DECIMAL(28,2))) OVER w AS DOUBLE) / count(value) OVER w AS target
-    FROM s WINDOW w AS (ORDER BY slot ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+@query("target_vs_actual", _FINE + """, t AS (SELECT slot, value, CAST(sum(CAST(value AS DECIMAL(28,6))) OVER w AS DOUBLE) / count(value) OVER w AS target
+    FROM f WINDOW w AS (ORDER BY slot ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
     SELECT slot, value, round(target, 2) AS target, round(100 * value / target, 2) AS percent FROM t""")
 def _(v):
-    return M.target_vs_actual(_slots(v), "slot", "value")
+    return M.target_vs_actual(_fine(v), "slot", "value")

@@ -52,10 +52,10 @@ def _changes(v):
         (F.col("o_totalprice") + 1).alias("amount"))
 
 
-@query("partial_update", f"""WITH {_CHANGES} SELECT o.id, CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 THEN coalesce(ch.status, o.status) ELSE o.status END AS status,
-    CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 THEN ch.amount ELSE o.amount END AS amount,
-    CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 THEN 7 ELSE o.updated_id END AS updated_id,
-    CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 THEN '{NOW}' ELSE strftime(o.updated_time, '%Y-%m-%d %H:%M:%S') END AS updated_time
+@query("partial_update", f"""WITH {_CHANGES} SELECT o.id, CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 AND NOT is_deleted THEN coalesce(ch.status, o.status) ELSE o.status END AS status,
+    CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 AND NOT is_deleted THEN ch.amount ELSE o.amount END AS amount,
+    CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 AND NOT is_deleted THEN 7 ELSE o.updated_id END AS updated_id,
+    CASE WHEN ch.id IS NOT NULL AND tenant_id = 2 AND NOT is_deleted THEN '{NOW}' ELSE strftime(o.updated_time, '%Y-%m-%d %H:%M:%S') END AS updated_time
     FROM v_torder o LEFT JOIN ch ON ch.id = o.id""")
 def _(v):
     out, _refused = U.update(v.torder, _changes(v), ORDER, CTX, NOW)
@@ -63,14 +63,41 @@ def _(v):
 
 
 @query("partial_update_rejects", f"""WITH {_CHANGES}, more AS (SELECT id FROM ch UNION ALL SELECT id + 1000000000 FROM ch WHERE status IS NULL)
-    SELECT m.id, CASE WHEN o.id IS NULL THEN 'not_found' ELSE 'foreign_tenant' END AS reason
-    FROM more m LEFT JOIN v_torder o ON o.id = m.id WHERE o.id IS NULL OR o.tenant_id <> 2""")
+    SELECT m.id, CASE WHEN o.id IS NULL THEN 'not_found' WHEN o.tenant_id <> 2 THEN 'foreign_tenant' ELSE 'deleted' END AS reason
+    FROM more m LEFT JOIN v_torder o ON o.id = m.id WHERE o.id IS NULL OR o.tenant_id <> 2 OR o.is_deleted""")
 def _(v):
     changes = _changes(v)
     lost = changes.filter("status is null").withColumn("id", F.col("id") + 1000000000)
     return U.update(v.torder, changes.unionByName(lost), ORDER, CTX, NOW)[1].select("id", "reason")
 
 
+_GOVERNED = """ch AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'X' END AS status FROM orders WHERE o_custkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 'Y' FROM orders WHERE o_custkey % 3 = 0 AND o_orderpriority = '1-URGENT'),
+    n AS (SELECT id, min(status) AS status, count(*) AS times FROM ch GROUP BY id),
+    j AS (SELECT n.id AS cid, n.status AS new_status, n.times, o.*, CASE WHEN o.id IS NULL THEN 'not_found' WHEN o.tenant_id <> 2 THEN 'foreign_tenant'
+        WHEN o.is_deleted THEN 'deleted' WHEN NOT (o.amount > 50000) THEN 'out_of_scope' WHEN n.times > 1 THEN 'repeated' END AS reason
+        FROM n LEFT JOIN v_torder o ON o.id = n.id)"""
+
+
+def _governed(v: Views):
+    status = F.when(F.col("o_orderstatus") == "O", "X").alias("status")
+    picked = v.orders.filter("o_custkey % 3 = 0")
+    changes = picked.select(F.col("o_orderkey").alias("id"), status).unionByName(picked.filter(
+        "o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.lit("Y").alias("status")))
+    return U.update(v.torder, changes, ORDER, CTX, NOW, scope=F.col("amount") > 50000, given=["status"])
+
+
+@query("governed_update", f"""WITH {_GOVERNED} SELECT o.id, CASE WHEN j.cid IS NOT NULL AND j.reason IS NULL THEN j.new_status ELSE o.status END AS status
+    FROM v_torder o LEFT JOIN j ON j.cid = o.id""")
+def _(v):
+    return _governed(v)[0].select("id", "status")
+
+
+@query("governed_update_rejects", f"WITH {_GOVERNED} SELECT cid AS id, reason, count(*) AS changes FROM j JOIN ch ON ch.id = cid WHERE reason IS NOT NULL GROUP BY 1, 2")
+def _(v):
+    return _governed(v)[1].groupBy("id", "reason").agg(F.count(F.lit(1)).alias("changes"))
+
+
 @query("bulk_set", f"SELECT id, CASE WHEN tenant_id = 2 AND id IN {_PICK} THEN 'C' ELSE status END AS status FROM v_torder")
 def _(v):
     return U.set_values(v.torder, _picked(v), {"status": "C"}, ORDER, CTX).select("id", "status")
@@ -195,6 +222,21 @@ def _(v):
     return _checked(v)[1].select("id", "name")
 
 
+_RAW = """raw AS (SELECT p_name AS name, 2 + p_partkey % 2 AS tenant_id, p_type AS kind, p_size AS size FROM part)"""
+
+
+@query("upsert_tenant", f"""WITH {_RAW}, cfg AS (SELECT tenant_id, name, min(kind) AS kind FROM raw WHERE size <= 40 GROUP BY 1, 2),
+    best AS (SELECT name, max(kind) AS kind FROM raw WHERE size > 20 AND tenant_id = 2 GROUP BY 1)
+    SELECT tenant_id, name, kind FROM cfg WHERE tenant_id <> 2 UNION ALL
+    SELECT 2, coalesce(c.name, b.name), coalesce(b.kind, c.kind) FROM (SELECT * FROM cfg WHERE tenant_id = 2) c FULL JOIN best b ON b.name = c.name""")
+def _(v):
+    raw = v.part.select(F.col("p_name").alias("name"), (2 + F.col("p_partkey") % 2).cast("int").alias("tenant_id"),
+                        F.col("p_type").alias("kind"), F.col("p_size").alias("size"))
+    cfg = raw.filter("size <= 40").groupBy("tenant_id", "name").agg(F.min("kind").alias("kind"))
+    rows = raw.filter("size > 20").select("tenant_id", "name", "kind")
+    return U.upsert(cfg, rows, ["tenant_id", "name"], None, TableSpec("cfg"), CTX)
+
+
 # --- links --------------------------------------------------------------------
 
 @query("exclusive_default", "SELECT id, user_id, CASE WHEN user_id = 11 THEN id = (SELECT max(id) FROM v_link WHERE user_id = 11) ELSE is_default END AS is_default FROM v_link")
@@ -260,18 +302,18 @@ def _(v):
 def _guarded(v: Views):
     rules = [(F.col("is_superuser"), "superuser"), (F.col("status") == "0", "enabled"), (F.col("id") == 7, "self")]
     ids = v.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
-    return U.guarded_delete(v.user, ids, rules, TableSpec("user"))
+    return U.guarded_delete(v.user, ids, rules, TableSpec("user"), CTX)
 
 
 _WANT = "id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 
 
-@query("guarded_delete", f"SELECT id, name FROM v_user WHERE NOT ({_WANT}) OR is_superuser OR status = '0' OR id = 7")
+@query("guarded_delete", f"SELECT id, name FROM v_user WHERE NOT ({_WANT}) OR tenant_id <> 2 OR is_superuser OR status = '0' OR id = 7")
 def _(v):
     return _guarded(v)[0].select("id", "name")
 
 
-@query("guarded_delete_rejects", f"""SELECT id, CASE WHEN is_superuser THEN 'superuser' WHEN status = '0' THEN 'enabled' ELSE 'self' END AS reason
-    FROM v_user WHERE {_WANT} AND (is_superuser OR status = '0' OR id = 7)""")
+@query("guarded_delete_rejects", f"""SELECT id, CASE WHEN tenant_id <> 2 THEN 'foreign_tenant' WHEN is_superuser THEN 'superuser' WHEN status = '0' THEN 'enabled' ELSE 'self' END AS reason
+    FROM v_user WHERE {_WANT} AND (tenant_id <> 2 OR is_superuser OR status = '0' OR id = 7)""")
 def _(v):
     return _guarded(v)[1]

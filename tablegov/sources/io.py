@@ -11,7 +11,6 @@ from tablegov.operators.conditions import where
 from tablegov.operators.ordering import number_rows
 
 # Fixed value: most rows an export may hold.
-EXPORT_CAP = 100_000
 
 
 def _or_none(load) -> DataFrame | None:
@@ -123,9 +122,10 @@ def export_table(df: DataFrame, mapping: dict[str, str], path: str, fmt: str = "
 
 
 def export_rows(df: DataFrame, mode: str, search: dict | None = None, ids: list | None = None, by=None,
-                page_no: int = 1, page_size: int = 10, key: str = "id", max_rows: int = EXPORT_CAP) -> DataFrame:
+                page_no: int = 1, page_size: int = 10, key: str = "id", max_rows: int | None = None) -> DataFrame:
     """Rows of the current page, the selected ids, or the whole filtered set.
-    More than ``max_rows`` is refused, never cut off."""
+    A caller's ``max_rows`` refuses a larger export, which costs one more run of
+    the filter; nothing is ever cut off."""
     from tablegov.operators.page import order, rows_at
 
     if mode == "current":
@@ -136,7 +136,7 @@ def export_rows(df: DataFrame, mode: str, search: dict | None = None, ids: list
         rows = where(df, search)
     else:
         raise ValueError(f"unknown export mode: {mode}")
-    if rows.limit(max_rows + 1).count() > max_rows:
+    if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"more than {max_rows} rows to export")
     return order(rows, by or [key], key)
 
@@ -229,13 +229,16 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 # --- key-value snapshots ------------------------------------------------------
 
+# A null part of a key, so that it keeps its place.
+NULL_PART = r"\N"
+
 def snapshot_kv(df: DataFrame, prefix: str, keys: list[str], fields: list[str], by, chunk: int | None = None,
                 ttl_seconds: int | None = None, now: str | None = None) -> DataFrame:
     """``prefix:key:...`` to the JSON array of its entries.  A key with more
     entries than one chunk continues under the next ``chunk_no``."""
     from tablegov.operators.relate import CHUNK, child_chunks
 
-    keyed = df.withColumn("key", F.concat_ws(":", F.lit(prefix), *[F.col(k).cast("string") for k in keys]))
+    keyed = df.withColumn("key", F.concat_ws(":", F.lit(prefix), *[F.coalesce(F.col(k).cast("string"), F.lit(NULL_PART)) for k in keys]))
     chunks = child_chunks(keyed, "key", by, fields, chunk or CHUNK)
     out = chunks.select("key", "chunk_no", F.to_json("children").alias("value_json"))
     expires = F.lit(None).cast("timestamp") if ttl_seconds is None else (
@@ -260,10 +263,14 @@ def glob_pattern(glob: str) -> str:
 
 
 def read_kv(snapshot: DataFrame, schema: str, key: str | None = None, keys: list[str] | None = None,
-            glob: str | None = None) -> DataFrame:
-    """Entries by key, key list or glob; null and unreadable JSON is dropped.
-    A glob with a fixed start also becomes a prefix filter for the scan."""
+            glob: str | None = None, now: str | None = None) -> DataFrame:
+    """Entries by key, key list or glob that have not expired at ``now``; null
+    and unreadable JSON is dropped.  A glob with a fixed start also becomes a
+    prefix filter for the scan."""
     rows = snapshot
+    if "expires_at" in snapshot.columns:
+        at = (F.lit(now) if now else F.current_timestamp()).cast(snapshot.schema["expires_at"].dataType)
+        rows = rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > at))
     if key is not None:
         rows = rows.filter(F.col("key") == key)
     if keys is not None:
@@ -271,7 +278,8 @@ def read_kv(snapshot: DataFrame, schema: str, key: str | None = None, keys: list
     if glob is not None:
         fixed = glob[:min([glob.find(c) for c in "*?[" if c in glob], default=len(glob))]
         rows = rows.filter(F.col("key").startswith(fixed) & F.col("key").rlike(glob_pattern(glob)))
-    parsed = rows.withColumn("value", F.from_json("value_json", schema))
+    readable = rows.filter(F.try_parse_json("value_json").isNotNull())
+    parsed = readable.withColumn("value", F.from_json("value_json", schema))
     return parsed.filter(F.col("value").isNotNull()).drop("value_json")
 
 

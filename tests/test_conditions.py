@@ -116,3 +116,14 @@ def test_block_reasons(spark):
     assert got == {1: "ip_black_list", 2: "demo_mode", 3: None, 4: None, 5: None}
     got = {r.id: r.block_reason for r in B.block_requests(log, *lists, demo=False).collect()}
     assert got == {1: "ip_black_list", 2: None, 3: None, 4: None, 5: None}
+
+
+def test_long_list_keeps_columns_and_types(spark):
+    df = spark.createDataFrame([("a", 1, 0.5, "2024-01-01 00:00:00"), ("b", 2000, 3.0, "2024-01-02 00:00:00")],
+                               "name string, id int, x double, at string").withColumn("at", F.col("at").cast("timestamp"))
+    for size in (900, 1500):
+        got = B.where(df, {"id": ("in", [*range(size), 2.5])})
+        assert got.columns == ["name", "id", "x", "at"] and [r.name for r in got.collect()] == ["a"]
+        assert [r.name for r in B.where(df, {"x": ("in", list(range(size)))}).collect()] == ["b"]
+        days = [f"2023-{1 + i % 12:02}-{1 + i % 28:02} 00:{i // 60 % 60:02}:{i % 60:02}" for i in range(size)]
+        assert [r.name for r in B.where(df, {"at": ("in", [*days, "2024-01-02 00:00:00"])}).collect()] == ["b"]

@@ -9,6 +9,7 @@ from tablegov.spec import Ctx, TableSpec
 
 SPEC = TableSpec("t")
 CTX = Ctx(user_id=9, tenant_id=1)
+SECOND = Ctx(user_id=9, tenant_id=2)
 NOW = "2024-01-01 00:00:00"
 DDL = ("id bigint, name string, tenant_id bigint, status string, is_deleted boolean, deleted_time timestamp_ntz, "
        "deleted_id bigint, created_id bigint, updated_id bigint, created_time timestamp_ntz, updated_time timestamp_ntz")
@@ -140,9 +141,34 @@ def test_relations(spark, rows):
 
 
 def test_guarded_delete(spark, rows):
-    df = spark.createDataFrame([(1, True), (2, False), (3, False)], "id int, locked boolean")
-    kept, refused = U.guarded_delete(df, [1, 2, 9], [(F.col("locked"), "locked"), (F.col("id") == 1, "self")], SPEC)
-    assert sorted(r.id for r in kept.collect()) == [1, 3] and rows(refused) == [(1, "locked")]
+    df = spark.createDataFrame([(1, True, 2), (2, False, 2), (3, False, 2), (4, False, 3)], "id int, locked boolean, tenant_id int")
+    kept, refused = U.guarded_delete(df, [1, 2, 9, 4], [(F.col("locked"), "locked"), (F.col("id") == 1, "self")], SPEC, SECOND)
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 4] and rows(refused) == [(1, "locked"), (4, "foreign_tenant")]
+
+
+def test_repeated_and_cleared_changes(df):
+    changes = df.sparkSession.createDataFrame([(0, None), (2, "a"), (2, "b")], "id bigint, name string")
+    out, refused = U.update(df, changes, SPEC, CTX, NOW, given=["name"])
+    got = {r.id: r.name for r in out.collect()}
+    assert out.count() == df.count() and got[0] is None and got[2] == "n2"
+    assert [(r.id, r.reason) for r in refused.collect()] == [(2, "repeated")] * 2
+    inside, refused = U.update(df, changes.limit(1), SPEC, CTX, NOW, scope=F.col("id") > 100)
+    assert [r.reason for r in refused.collect()] == ["out_of_scope"]
+
+
+def test_upsert_keeps_tenants_apart(spark, rows):
+    df = spark.createDataFrame([("a", 2, "x"), ("b", 3, "y")], "k string, tenant_id int, v string")
+    new = spark.createDataFrame([("a", 2, "p"), ("a", 2, "q"), ("b", 3, "stolen"), ("c", None, "n")], df.schema)
+    assert rows(U.upsert(df, new, ["k"], None, TableSpec("t"), SECOND)) == [("a", 2, "q"), ("b", 3, "y"), ("c", 2, "n")]
+
+
+def test_import_stays_in_the_tenant(spark, rows):
+    df = spark.createDataFrame([(1, "a", 2, "0"), (2, "b", 3, "0"), (3, "a", 2, "1")], "id bigint, name string, tenant_id int, status string")
+    new = spark.createDataFrame([("a", 9, "5", 1), ("b", 9, "5", 2)], "name string, tenant_id int, status string, row_no long")
+    spec = TableSpec("t", creator=None, updater=None, created_time=None, updated_time=None, deleted=None)
+    out, report = U.import_upsert(df, new, "name", True, spec, SECOND)
+    assert rows(out) == [(1, "a", 2, "5"), (2, "b", 3, "0"), (3, "a", 2, "5"), (4, "b", 2, "5")]
+    assert rows(report) == [(1, "a", "updated"), (2, "b", "created")]
 
 
 def test_sync_columns(spark):

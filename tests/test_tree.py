@@ -4,6 +4,7 @@ import pytest
 
 from tablegov.operators import dag as G
 from tablegov.operators import tree as H
+from tablegov.spec import Ctx, TableSpec
 
 # 1 System(dir) > 2 Users(menu) > 3, 4 buttons; 1 > 5 Roles(menu) > 6 button; 7 Tools(dir) > 8 Docs(link)
 MENU = [(1, None, 1, "pc"), (2, 1, 2, "pc"), (3, 2, 3, "pc"), (4, 2, 3, "pc"), (5, 1, 2, "pc"), (6, 5, 3, "pc"),
@@ -103,3 +104,20 @@ def test_compose_errors(spark):
                                  ([{"id": "1", "type": "?"}], [])]:
         with pytest.raises(ValueError):
             G.compose(bad_nodes, bad_edges, reg)
+
+
+def test_repeated_ids_and_cycles_end(spark, rows):
+    """A second row of an id closes a cycle: every walk ends, each node comes once."""
+    df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (2, 3), (4, 3)], "id int, parent_id int")
+    assert rows(H.descendants(df, ids_frame(spark, 1))) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3)]
+    assert ids(H.reach(df, ids_frame(spark, 2), False)) == [2, 3, 4]
+    assert ids(H.reach(df, ids_frame(spark, 4), True)) == [1, 2, 3, 4]
+    assert ids(H.tree_paths(df)) == [1, 2, 3, 4]
+
+
+def test_cascades_stay_in_the_tenant(spark):
+    df = spark.createDataFrame([(1, None, "0", 2), (2, 1, "0", 3), (3, 2, "0", 2)], "id int, parent_id int, status string, tenant_id int")
+    spec, ctx = TableSpec("t"), Ctx(user_id=1, tenant_id=2)
+    off = {r.id: r.status for r in H.cascade_disable(df, ids_frame(spark, 1), spec=spec, ctx=ctx).collect()}
+    assert off == {1: "1", 2: "0", 3: "1"}
+    assert ids(H.cascade_delete(df, ids_frame(spark, 1), spec=spec, ctx=ctx)) == [2]
