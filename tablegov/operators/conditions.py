@@ -79,13 +79,15 @@ def condition(df: DataFrame, name: str, value, strict: bool = True) -> Column |
         return col.isNull()
     if op == "not None":
         return col.isNotNull()
-    if op in ("date", "month", "like", "ilike"):
+    if op in ("date", "month", "like", "ilike", "literal"):
         if not val:
             return None
         if op == "date":
             return same_day(df, name, val)
         if op == "month":
             return same_month(df, name, val)
+        if op == "literal":
+            return col.like(f"%{like_escaped(val)}%")
         return col.like(f"%{val}%") if op == "like" else col.ilike(f"%{val}%")
     if op == "in":
         if val is None:
@@ -173,7 +175,7 @@ PRESETS: dict[str, dict[str, str]] = {
                   "status": "eq", **_BASE_RANGES},
     "menu": {"name": "like", "route_path": "like", "component_path": "like",
              "permission": "like", "description": "like", "status": "eq",
-             "created_id": "eq", "updated_id": "eq", "client": "eq", **_BASE_RANGES},
+             "created_id": "eq", "updated_id": "eq", "client": "eq", "type": "eq", **_BASE_RANGES},
     "log": {"request_path": "like", "request_method": "eq", "request_ip": "eq",
             "response_code": "eq", "type": "eq", "description": "like", "status": "eq",
             "created_id": "eq", "updated_id": "eq", **_BASE_RANGES},
@@ -184,7 +186,7 @@ PRESETS: dict[str, dict[str, str]] = {
     "table": {"table_name": "like", "table_comment": "like"},
     "column": {"column_name": "like"},
     "role": {"name": "like", "description": "like", "status": "eq", **_BASE_RANGES},
-    "notice": {"notice_title": "like", "description": "like", "status": "eq",
+    "notice": {"notice_title": "like", "notice_type": "eq", "description": "like", "status": "eq",
                "created_id": "eq", "updated_id": "eq", **_BASE_RANGES},
 }
 

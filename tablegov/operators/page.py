@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +60,17 @@ def count_where(df: DataFrame, search: dict, by: list[str] | None = None, name:
 
 @dataclass
 class Page:
-    """``items`` stays lazy; the totals come from one pruned count."""
+    """``items`` stays lazy; ``total`` is one pruned count, run when first asked for."""
 
     items: DataFrame
-    total: int
+    counted: DataFrame
     page_no: int
     page_size: int
 
+    @cached_property
+    def total(self) -> int:
+        return self.counted.first()[0]
+
     @property
     def has_next(self) -> bool:
         return self.page_no * self.page_size < self.total
@@ -95,7 +99,7 @@ def page(df: DataFrame, page_no: int = 1, page_size: int = DEFAULT_PAGE_SIZE, by
     offset = _window(page_no, page_size)
     rows = where(df, search)
     items = rows_at(rows, offset, page_size, by or [(key, "asc")], key)
-    return Page(items, count_rows(rows, key).first()[0], page_no, page_size)
+    return Page(items, count_rows(rows, key), page_no, page_size)
 
 
 def page_frame(df: DataFrame, page_no: int = 1, page_size: int = DEFAULT_PAGE_SIZE, by=None,

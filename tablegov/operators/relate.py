@@ -124,10 +124,14 @@ def resolve_fk(df: DataFrame, ref: DataFrame, natural: str, surrogate: str = "id
 
 
 def granted_menus(user_roles: DataFrame, role_menus: DataFrame, menus: DataFrame, allowed: DataFrame | None,
-                  users: DataFrame) -> DataFrame:
+                  users: DataFrame, user_id=None) -> DataFrame:
     """Distinct ``(user_id, menu_id)`` a user can open: granted through roles,
     enabled, a page or directory, on the pc terminal, and in the tenant's
-    allowed ``(tenant_id, menu_id)`` set where the tenant has one."""
+    allowed ``(tenant_id, menu_id)`` set where the tenant has one.  ``user_id``
+    asks for one user."""
+    if user_id is not None:
+        user_roles = user_roles.filter(F.col("user_id") == user_id)
+        role_menus = role_menus.join(user_roles.select("role_id"), "role_id", "left_semi")
     open_menus = menus.filter(
         (F.col("status") == ENABLED) & F.col("type").isin(1, 2, 4) & (F.coalesce("client", F.lit("pc")) == "pc"))
     per_role = role_menus.join(open_menus.select(F.col("id").alias("menu_id")), "menu_id", "left_semi")

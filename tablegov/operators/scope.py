@@ -134,9 +134,14 @@ def read_governed(df: DataFrame, spec: TableSpec, ctx: Ctx, search: dict | None,
 
 # --- permissions --------------------------------------------------------------
 
-def grants(user_roles: DataFrame, roles: DataFrame, role_menus: DataFrame, menus: DataFrame) -> DataFrame:
-    """Distinct ``(user_id, permission)`` through enabled roles and menus.  Role
-    permissions are made distinct before they meet the users."""
+def grants(user_roles: DataFrame, roles: DataFrame, role_menus: DataFrame, menus: DataFrame,
+           user_id=None) -> DataFrame:
+    """Distinct ``(user_id, permission)`` through enabled roles and menus, for
+    one user where ``user_id`` is given.  Role permissions are made distinct
+    before they meet the users."""
+    if user_id is not None:
+        user_roles = user_roles.filter(F.col("user_id") == user_id)
+        role_menus = role_menus.join(user_roles.select("role_id"), "role_id", "left_semi")
     live_menus = menus.filter((F.col("status") == ENABLED) & F.col("permission").isNotNull())
     per_role = role_menus.join(live_menus.select(F.col("id").alias("menu_id"), "permission"), "menu_id")
     per_role = per_role.select("role_id", "permission").distinct()

@@ -186,8 +186,22 @@ def _(v):
     return S.grants(holders, v.role, v.role_menu, v.menu).withColumnRenamed("user_id", "role_id")
 
 
+@query("user_grants", """SELECT DISTINCT rm.role_id, m.permission FROM v_role_menu rm
+    JOIN v_role r ON r.id = rm.role_id AND r.status = '0' JOIN v_menu m ON m.id = rm.menu_id AND m.status = '0'
+    WHERE rm.role_id = (SELECT max(id) FROM v_role WHERE status = '0')""")
+def _(v):
+    holders = v.role.select(F.col("id").alias("user_id"), F.col("id").alias("role_id"))
+    one = v.role.filter("status = '0'").agg(F.max("id")).scalar()
+    return S.grants(holders, v.role, v.role_menu, v.menu, one).withColumnRenamed("user_id", "role_id")
+
+
 # --- text filters -------------------------------------------------------------
 
+@query("cond_literal", "SELECT doc_id FROM documents WHERE contains(text, '%%% ')")
+def _(v):
+    return B.where(v.documents, {"text": ("literal", "%%% ")}).select("doc_id")
+
+
 @query("contains_ci", "SELECT doc_id, lang FROM documents WHERE lower(text) LIKE '%the on%'")
 def _(v):
     return v.documents.filter(B.contains_ci(F.col("text"), "THE On")).select("doc_id", "lang")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tablegov.functions import checks as K
@@ -346,9 +348,21 @@ def _(v):
 
 # --- sources ------------------------------------------------------------------
 
-@query("scan_files", None)
+_SCANNED = ["orders", "lineitem", "customer", "documents", "events"]
+
+
+@query("scan_files", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, false AS hidden FROM {t}" for t in _SCANNED))
 def _(v):
-    return A.scan_files(v.spark, v.dir, name_like=".parquet").select("name", "size", "is_hidden")
+    files = A.scan_files(v.spark, v.dir, name_like=".parquet").select(
+        _plain_path(F.col("path")).alias("path"), F.regexp_extract("path", r"(\w+)\.parquet", 1).alias("name"), "is_hidden")
+    read = [getattr(v, t).select(_plain_path(F.col("_metadata.file_path")).alias("path")) for t in _SCANNED]
+    counted = reduce(lambda a, b: a.unionByName(b), read).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return files.join(counted, "path").groupBy("name").agg(F.sum("n").alias("n_rows"), F.max("is_hidden").alias("hidden"))
+
+
+def _plain_path(path):
+    """One form for the two ways Spark writes a file's place."""
+    return F.regexp_replace(path, "^([a-z]+):/+", "$1:/")
 
 
 @query("apply_headers", "SELECT p_name AS name, p_type AS status FROM part")

@@ -67,21 +67,26 @@ def stream_block(log: DataFrame, black: DataFrame, white: DataFrame, paths: Data
 # --- stateful -----------------------------------------------------------------
 
 class _Sessions(StatefulProcessor):
-    """One login per session id, forgotten at logout or when its timer fires."""
+    """The last event of each session id.  A login is forgotten when its time to
+    live is over; a logout only once the watermark has passed it, so that an
+    older login that comes late does not bring the session back."""
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.login = handle.getValueState("login", "ts bigint")
+        self.last = handle.getValueState("last", "ts bigint, event_id bigint, kind string, timer bigint")
 
     def _row(self, key, at: int, state: str) -> pd.DataFrame:
         return pd.DataFrame({"session_id": [key[0]], "at": [pd.Timestamp(at, unit="ms")], "state": [state]})
 
-    def _drop_timer(self) -> None:
-        if self.login.exists():
-            self.handle.deleteTimer(self.login.get()[0] + self.ttl_ms)
+    def _keep(self, at: int, event_id: int, kind: str) -> None:
+        if self.last.exists():
+            self.handle.deleteTimer(self.last.get()[3])
+        timer = at + (self.ttl_ms if kind == "login" else 1)
+        self.last.update((at, event_id, kind, timer))
+        self.handle.registerTimer(timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # The last event decides; only that one row is kept across batches of rows.
@@ -90,21 +95,17 @@ class _Sessions(StatefulProcessor):
             top = batch.sort_values(["ts", "event_id"]).iloc[-1]
             if last is None or (top["ts"], top["event_id"]) > (last["ts"], last["event_id"]):
                 last = top
-        at = int(last["ts"].timestamp() * 1000)
-        if self.login.exists() and self.login.get()[0] > at:
+        at, event_id = int(last["ts"].timestamp() * 1000), int(last["event_id"])
+        if self.last.exists() and tuple(self.last.get()[:2]) > (at, event_id):
             return
-        self._drop_timer()
-        if last["kind"] == "login":
-            self.login.update((at,))
-            self.handle.registerTimer(at + self.ttl_ms)
-            yield self._row(key, at, "active")
-        else:
-            self.login.clear()
-            yield self._row(key, at, "ended")
+        self._keep(at, event_id, last["kind"])
+        yield self._row(key, at, "active" if last["kind"] == "login" else "ended")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.login.clear()
-        yield self._row(key, expiredTimerInfo.getExpiryTimeInMs(), "expired")
+        ended = self.last.exists() and self.last.get()[2] != "login"
+        self.last.clear()
+        if not ended:
+            yield self._row(key, expiredTimerInfo.getExpiryTimeInMs(), "expired")
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tablegov.operators.jobs import active_sessions, job_runs, rate_limit
@@ -139,3 +140,52 @@ def test_active_sessions(spark, tmp_path):
     live = {k for k, state in last.items() if state == "active"}
     want = {r.session_id for r in active_sessions(df, 60, "1970-01-01 00:08:20").collect()}
     assert live == want
+
+
+class _Value:
+    """A state value as the stateful handler sees it."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.state, self.timers = _Value(), set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return self.state
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_late_login_does_not_revive_a_session():
+    handle, sessions = _Handle(), S._Sessions(60_000)
+    sessions.init(handle)
+
+    def send(second, event_id, kind):
+        rows = pd.DataFrame({"ts": [pd.Timestamp(second, unit="s")], "event_id": [event_id], "kind": [kind]})
+        return [r.state[0] for r in sessions.handleInputRows(("a",), iter([rows]), None)]
+
+    assert send(10, 1, "login") == ["active"] and send(20, 3, "logout") == ["ended"]
+    assert send(15, 2, "login") == [] and send(20, 2, "login") == []
+    assert handle.timers == {20_001}
+    expired = type("T", (), {"getExpiryTimeInMs": lambda self: 20_001})()
+    assert list(sessions.handleExpiredTimer(("a",), None, expired)) == [] and not handle.state.exists()
+    assert send(30, 4, "login") == ["active"] and handle.timers >= {90_000}
