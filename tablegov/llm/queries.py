@@ -47,8 +47,9 @@ def multiset_fingerprints(spark, sf_dir):
 @query("op2_training_order")
 def training_order_shards(spark, sf_dir):
     placed, _ = training_order.materialise(
-        table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN, key=20_240_601)
-    return placed.select("seq", "slot", "shard", "byte_offset", "first_doc", "n_tokens", F.crc32("tokens").alias("crc32"))
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN, key=20_240_601)
+    return placed.select("seq", "slot", "shard", "byte_offset", "first_doc", "n_tokens", "crc32")
 
 
 @query("op3_gated_recurrent_lm")

@@ -13,7 +13,9 @@ is reading files from front to back, and a run resumes at any slot by seeking.
 
 A record is ``length`` unsigned 16-bit little-endian ids and a line feed, which
 lets Spark's own committed writer produce the files.  Only the last sequence of
-an input task is padded, with the end mark.
+an input task is padded, with the end mark.  On their way sequences are packed
+with zstandard and a raw dictionary of bounded size, because the stored
+sequences, their exchange and the shards exist side by side.
 
 Nulls: a null text is an empty document, of which only the end mark remains.  Ids
 of documents are carried along as they are; repeated rows are packed again.  An
@@ -24,76 +26,114 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegov.llm import bpe
 from tablegov.llm.common import text_batches, written
 from tablegov.session import ensure_checkpoint_dir
 
-LENGTH = 1_024
-PER_SHARD = 8_192
+LENGTH = 2_048
+PER_SHARD = 4_096
 _ROUNDS = 6
 _WALKS = 64
+_LEVEL = 6
+_DICTIONARY_BYTES = 112 << 10
+
+_TOKENISERS: dict[int, tiktoken.Encoding] = {}
+
+
+def _tokeniser(shared) -> tiktoken.Encoding:
+    """One per worker process; ``shared`` holds the token bytes and the pattern."""
+    if id(shared) not in _TOKENISERS:
+        tokens, pattern = shared.value
+        _TOKENISERS.clear()
+        _TOKENISERS[id(shared)] = tiktoken.Encoding(
+            "ranks", pat_str=pattern, mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
+    return _TOKENISERS[id(shared)]
+
+
+def _ids(tokeniser: tiktoken.Encoding, text: str | None) -> np.ndarray:
+    return tokeniser.encode_to_numpy(text or "", disallowed_special=())
+
+
+class Packing:
+    """Compression of single sequences with a dictionary of typical ones."""
+
+    def __init__(self, dictionary: bytes):
+        self.dictionary = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def press(self):
+        return zstandard.ZstdCompressor(level=_LEVEL, dict_data=self.dictionary).compress
+
+    def unpress(self):
+        return zstandard.ZstdDecompressor(dict_data=self.dictionary).decompress
+
+
+def typical(docs: DataFrame, tokeniser: tiktoken.Encoding, text_col: str = "text") -> bytes:
+    """Ids of a few documents: only a compression dictionary, results never depend on it."""
+    rows = docs.select(F.substring(text_col, 1, _DICTIONARY_BYTES)).limit(32).collect()
+    return b"".join(_ids(tokeniser, t).astype("<u2").tobytes() for t, in rows)[:_DICTIONARY_BYTES]
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, length: int = LENGTH, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text") -> tuple[DataFrame, bytes]:
     """Sequences: ``task``, ``at`` (number within the task), ``first_doc`` (the
-    document of its first token), ``n_tokens`` without padding, ``tokens``."""
+    document of its first token), ``n_tokens`` without padding, ``crc32`` and
+    ``packed`` ids; and the dictionary of the packing."""
     spark = docs.sparkSession
     text_batches(spark)
     tokens = bpe.read_ranks(vocabulary)
     end_mark = len(tokens)
     if end_mark >= 1 << 16:
         raise ValueError("the vocabulary does not fit 16-bit ids")
-    shared = spark.sparkContext.broadcast(bpe.model_proto(tokens))
+    shared = spark.sparkContext.broadcast((tokens, pattern))
+    dictionary = typical(docs, _tokeniser(shared), text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe._encoder(shared, pattern)
+        tokeniser, press = _tokeniser(shared), Packing(dictionary).press()
         task, at = TaskContext.get().partitionId(), 0
         rest, rest_doc = np.empty(0, "<u2"), None
-        names = ["task", "at", "first_doc", "n_tokens", "tokens"]
+        end = np.array([end_mark], "<u2")
 
-        def rows(flat, docs_of, counts):
+        def rows(flat, first, counts):
             nonlocal at
-            n = len(flat) // length
-            data = [flat[i * length:(i + 1) * length].tobytes() for i in range(n)]
+            data = [flat[i * length:(i + 1) * length].tobytes() for i in range(len(counts))]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([task] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), docs_of, pa.array(counts, pa.int32()),
-                 pa.array(data, pa.binary())], names=names)
-            at += n
+                [pa.array([task] * len(data), pa.int32()), pa.array(range(at, at + len(data)), pa.int64()), first,
+                 pa.array(counts, pa.int32()), pa.array([zlib.crc32(d) for d in data], pa.int64()),
+                 pa.array([press(d) for d in data], pa.binary())],
+                names=["task", "at", "first_doc", "n_tokens", "crc32", "packed"])
+            at += len(data)
             return out
 
         for batch in batches:
             ids = batch.column(0)
-            each = [np.array([*encoder.ids(t), end_mark], "<u2") for t in batch.column(1).to_pylist()]
-            flat = np.concatenate([rest, *each])
-            edges = np.cumsum([len(rest), *map(len, each)])
+            each = [_ids(tokeniser, t).astype("<u2") for t in batch.column(1).to_pylist()]
+            flat = np.concatenate([rest, *[part for e in each for part in (e, end)]])
+            edges = np.cumsum([len(rest), *[len(e) + 1 for e in each]])
             n = len(flat) // length
-            owner = np.searchsorted(edges, np.arange(n) * length, side="right") - 1
-            first = ids.take(pa.array(np.maximum(owner, 0)))
-            if n and owner[0] < 0:
-                first = pa.concat_arrays([pa.array([rest_doc], ids.type), first.slice(1)])
+            owner = np.searchsorted(edges, np.arange(n + 1) * length, side="right") - 1
+            docs_of = [rest_doc if o < 0 else ids[o].as_py() for o in owner.tolist() if o < len(ids)]
             if n:
-                yield rows(flat[:n * length], first, [length] * n)
-            tail = flat[n * length:]
-            if len(tail):
-                last = int(np.searchsorted(edges, n * length, side="right")) - 1
-                rest_doc = rest_doc if last < 0 else ids[last].as_py()
-            rest = tail
+                yield rows(flat, pa.array(docs_of[:n], ids.type), [length] * n)
+            rest = flat[n * length:]
+            rest_doc = docs_of[n] if len(rest) else None
         if len(rest):
-            padded = np.concatenate([rest, np.full(length - len(rest), end_mark, "<u2")])
+            padded = np.concatenate([rest, np.repeat(end, length - len(rest))])
             yield rows(padded, pa.array([rest_doc], ids.type), [len(rest)])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"task int, at bigint, first_doc {kind}, n_tokens int, tokens binary")
+        run, f"task int, at bigint, first_doc {kind}, n_tokens int, crc32 bigint, packed binary"), dictionary
 
 
 def permuted(number: Column, n: int, key: int) -> Column:
@@ -126,17 +166,24 @@ def place(sequences: DataFrame, key: int, length: int = LENGTH, per_shard: int =
         "byte_offset", (F.col("slot") % per_shard) * (2 * length + 1))
 
 
-def write_shards(placed: DataFrame, path: str, shards: int) -> None:
+def write_shards(placed: DataFrame, path: str, shards: int, dictionary: bytes) -> None:
     """A folder ``shard=<number>`` with one file of fixed-stride records each."""
     if not shards:
         return
-    ranged = placed.select("shard", "slot", F.col("tokens").cast("string").alias("value")).repartitionByRange(
-        shards, "shard")
-    ranged.sortWithinPartitions("shard", "slot").select("shard", "value").write.partitionBy("shard").option(
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = Packing(dictionary).unpress()
+        for batch in batches:
+            plain = [unpress(b) for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(plain, pa.binary())], names=["shard", "slot", "ids"])
+
+    ranged = placed.select("shard", "slot", "packed").repartitionByRange(shards, "shard")
+    plain = ranged.mapInArrow(run, "shard bigint, slot bigint, ids binary").sortWithinPartitions("shard", "slot")
+    plain.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option(
         "lineSep", "\n").text(path)
 
 
-def read_slots(spark, path: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+def read_slots(spark: SparkSession, path: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """``slot`` and ``ids`` of ``count`` slots from ``first`` on: only the files
     that hold them are read."""
     shards = range(first // per_shard, (first + count - 1) // per_shard + 1)
@@ -160,7 +207,8 @@ def materialise(docs: DataFrame, vocabulary: str, pattern: str, key: int, path:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     path = path or f"{spark.sparkContext.getCheckpointDir()}/order-{uuid.uuid4().hex}"
-    sequences = written(pack(docs, vocabulary, pattern, length), "sequences")
+    sequences, dictionary = pack(docs, vocabulary, pattern, length)
+    sequences = written(sequences, "sequences")
     placed = place(sequences, key, length, per_shard)
-    write_shards(placed, path, math.ceil(sequences.count() / per_shard))
-    return placed, path
+    write_shards(placed, path, math.ceil(sequences.count() / per_shard), dictionary)
+    return placed.drop("packed"), path

@@ -118,11 +118,23 @@ def test_shards_hold_all_tokens(spark, docs, nothing, tmp_path):
     assert [r["slot"] for r in index] == list(range(len(index)))
     for r in index:
         file, = (tmp_path / "order" / f"shard={r['shard']}").glob("part-*")
-        assert file.read_bytes()[r["byte_offset"]:][:32] == bytes(r["tokens"])
+        assert zlib.crc32(file.read_bytes()[r["byte_offset"]:][:32]) == r["crc32"]
     read = training_order.read_slots(spark, path, 60, 10, 16, 64).orderBy("slot").collect()
-    assert [r["ids"] for r in read] == [list(np.frombuffer(r["tokens"], "<u2")) for r in index[60:70]]
-    flat = [x for r in sorted(index, key=lambda r: r["seq"]) for x in np.frombuffer(r["tokens"], "<u2")[:r["n_tokens"]]]
-    assert flat.count(50_256) == len(TEXTS)
+    assert [r["slot"] for r in read] == list(range(60, 70))
+    ids = [r["ids"] for r in training_order.read_slots(spark, path, 0, len(index), 16, 64).orderBy("slot").collect()]
+    assert [r["ids"] for r in read] == ids[60:70]
+    # In packing order the sequences spell the documents, each with its end mark.
+    flat = [x for r in sorted(index, key=lambda r: r["seq"]) for x in ids[r["slot"]][:r["n_tokens"]]]
+    ranks = {t: r for r, t in enumerate(bpe.read_ranks(vocabulary))}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found, doc = Counter(), []
+    for x in flat:
+        if x == 50_256:
+            found[tuple(doc)] += 1
+            doc = []
+        else:
+            doc.append(x)
+    assert not doc and found == Counter(tuple(reference.encode_ordinary(t or "")) for _, t in TEXTS)
     assert training_order.materialise(nothing, vocabulary, public_tokenizers.PATTERN, 1)[0].count() == 0
 
 
