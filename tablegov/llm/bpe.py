@@ -14,6 +14,7 @@ and other columns are left alone; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -108,16 +109,15 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.find(text or ""))))
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    """One encoder per worker process and model."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
-    if key not in _ENCODERS:
+def _encoder(digest: str, shared, pattern: str) -> Encoder:
+    """The encoder that a worker process keeps, by the digest of its model."""
+    if (digest, pattern) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    return _ENCODERS[key]
+        _ENCODERS[digest, pattern] = Encoder(shared.value, pattern)
+    return _ENCODERS[digest, pattern]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -125,11 +125,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """``id_col``, the columns in ``keep`` and ``ids``, an array of token ids."""
     spark = docs.sparkSession
     text_batches(spark)
-    shared = spark.sparkContext.broadcast(model_proto(read_ranks(vocabulary)))  # fixed size: one vocabulary
+    proto = model_proto(read_ranks(vocabulary))
+    digest, shared = hashlib.sha256(proto).hexdigest(), spark.sparkContext.broadcast(proto)  # fixed size: one vocabulary
     kept = [id_col, *[c for c in keep or [] if c != id_col]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(digest, shared, pattern)
         for batch in batches:
             rows = [np.array(encoder.ids(t), np.int32) for t in batch.column(0).to_pylist()]
             ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)

@@ -100,8 +100,9 @@ def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
     spark = docs.sparkSession
     ids = docs.select("id")
     ranges = max(math.ceil(ids.count() / rows_per_range), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds, top = ids.agg(F.percentile_approx("id", F.lit(shares), F.lit(20 * ranges)), F.max("id")).first()
+    # Shares and bounds are one text literal each, whatever their number.
+    shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+    bounds, top = ids.agg(F.percentile_approx("id", shares, F.lit(20 * ranges)), F.max("id")).first()
     bounds = sorted(set(bounds or []))
     at = F.col("id")
     edges = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")

@@ -24,6 +24,8 @@ empty table gives no sequences.  Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
 import uuid
 import zlib
@@ -48,17 +50,16 @@ _WALKS = 64
 _LEVEL = 6
 _DICTIONARY_BYTES = 112 << 10
 
-_TOKENISERS: dict[int, tiktoken.Encoding] = {}
+_TOKENISERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
-def _tokeniser(shared) -> tiktoken.Encoding:
-    """One per worker process; ``shared`` holds the token bytes and the pattern."""
-    if id(shared) not in _TOKENISERS:
-        tokens, pattern = shared.value
+def _tokeniser(digest: str, shared, pattern: str) -> tiktoken.Encoding:
+    """The one a worker process keeps, by the digest of its tokens; ``shared`` holds their bytes."""
+    if (digest, pattern) not in _TOKENISERS:
         _TOKENISERS.clear()
-        _TOKENISERS[id(shared)] = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
-    return _TOKENISERS[id(shared)]
+        _TOKENISERS[digest, pattern] = tiktoken.Encoding(
+            "ranks", pat_str=pattern, mergeable_ranks={t: r for r, t in enumerate(shared.value)}, special_tokens={})
+    return _TOKENISERS[digest, pattern]
 
 
 def _ids(tokeniser: tiktoken.Encoding, text: str | None) -> np.ndarray:
@@ -95,12 +96,13 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, length: int = LENGTH, i
     end_mark = len(tokens)
     if end_mark >= 1 << 16:
         raise ValueError("the vocabulary does not fit 16-bit ids")
-    shared = spark.sparkContext.broadcast((tokens, pattern))
-    dictionary = typical(docs, _tokeniser(shared), text_col)
+    digest = hashlib.sha256(b"\n".join(map(base64.b64encode, tokens))).hexdigest()
+    shared = spark.sparkContext.broadcast(tokens)
+    dictionary = typical(docs, _tokeniser(digest, shared, pattern), text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokeniser, press = _tokeniser(shared), Packing(dictionary).press()
+        tokeniser, press = _tokeniser(digest, shared, pattern), Packing(dictionary).press()
         task, at = TaskContext.get().partitionId(), 0
         rest, rest_doc = np.empty(0, "<u2"), None
         end = np.array([end_mark], "<u2")
