@@ -37,7 +37,8 @@ from tablegov.session import cut
 SHARD_LIMIT = 16_384
 
 _SEED = 42
-_QUERIES_AT_ONCE = 4_096
+# Tree nodes that the searches of one step may meet together at most.
+_VISITS_AT_ONCE = 4_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -133,10 +134,12 @@ def shard_links(shard: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.n
     first member) for every member that is not the first."""
     forest = Forest(shard, value)
     label = np.arange(len(value))
-    # Roots without children have nothing to find.
-    queries = np.flatnonzero(np.bincount(forest.root, minlength=len(value))[forest.root] > 1)
-    for at in range(0, len(queries), _QUERIES_AT_ONCE):
-        label = _merge(label, *forest.near(queries[at:at + _QUERIES_AT_ONCE], radius))
+    # Roots without children have nothing to find.  A search meets the nodes of its own shard at most.
+    members = np.bincount(forest.root, minlength=len(value))[forest.root]
+    queries = np.flatnonzero(members > 1)
+    step = np.cumsum(members[queries]) // _VISITS_AT_ONCE
+    for part in np.split(queries, np.flatnonzero(np.diff(step)) + 1) if len(queries) else []:
+        label = _merge(label, *forest.near(part, radius))
     linked = np.flatnonzero(label != np.arange(len(value)))
     return value[linked], value[label[linked]]
 
