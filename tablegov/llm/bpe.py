@@ -18,7 +18,6 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tablegov.llm.common import text_batches
 
-# Pre-tokens that a worker remembers before it starts over.
-CACHE_SIZE = 200_000
+# Pre-tokens in one generation of a worker's memory, besides those of the last batch.
+CACHE_SIZE = 150_000
 
 # Numbers of the public sentencepiece model format.
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2
@@ -89,24 +88,39 @@ def model_proto(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _block(2, trainer) + _block(3, normaliser)
 
 
-class Encoder(dict):
-    """Pre-token to its ids; a dictionary that fills itself and starts over when full."""
+class Encoder:
+    """Encodes batches of texts.  What a worker has learnt of pre-tokens is kept
+    in two generations: when the younger is full it becomes the older one, and
+    only what is met again moves on."""
 
     def __init__(self, proto: bytes, pattern: str):
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.find = regex.compile(pattern).findall
         self.chars = dict(enumerate(byte_characters()))
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        mapped = part.encode().decode("latin-1").translate(self.chars)
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        ids = self[part] = tuple(i - 1 for i in self.model.encode(mapped))
-        return ids
+        # Ids as 32-bit numbers, so that joining them gives the ids of a text.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts = [self.find(t or "") for t in texts]
+        if len(self.known) > CACHE_SIZE:
+            self.older, self.known = self.known, {}
+        new = []
+        for part in set().union(*parts).difference(self.known):
+            ids = self.older.get(part)
+            if ids is None:
+                new.append(part)
+            else:
+                self.known[part] = ids
+        if new:
+            mapped = [p.encode().decode("latin-1").translate(self.chars) for p in new]
+            for part, ids in zip(new, self.model.encode(mapped, num_threads=1)):
+                self.known[part] = struct.pack(f"<{len(ids)}i", *[i - 1 for i in ids])
+        look_up = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(look_up, p)), "<i4") for p in parts]
 
     def ids(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text or ""))))
+        return self.batch([text])[0].tolist()
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -132,7 +146,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(digest, shared, pattern)
         for batch in batches:
-            rows = [np.array(encoder.ids(t), np.int32) for t in batch.column(0).to_pylist()]
+            rows = encoder.batch(batch.column(0).to_pylist())
             ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -154,7 +168,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         token = shared.value.__getitem__
         for batch in batches:
             ends = batch.column(at).offsets.to_pylist()
-            flat = batch.column(at).values.to_pylist()
+            flat = batch.column(at).values.to_numpy().tolist()
             out = [b"".join(map(token, flat[a:b])) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
