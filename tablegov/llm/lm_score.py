@@ -47,7 +47,7 @@ WORD_CLASSES = 32
 HIDDEN = 16
 ROUNDS = 3
 RATES = (0.2, 0.1, 0.05)
-STRIDE = 4
+STRIDE = 8
 
 _ADD = 0.1
 _SEED = 42
