@@ -264,7 +264,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                radius: int = 3) -> DataFrame:
     """``docs`` with one row of every class: the one of smallest id.  Rows that
     repeat both id and text are reduced to one; rows without an id stay."""
-    classes = near_duplicates(docs, id_col, text_col, shingle, radius)
+    return first_rows(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names their class in ``classes``, and those without an id."""
     first = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     # The joined rows already lie by id: the window sorts a handful of rows with the same id, no more.
     kept = docs.withColumn("__hash", F.xxhash64(text_col)).join(first, docs[id_col] == F.col("__keep")).withColumn(
