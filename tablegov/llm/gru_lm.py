@@ -12,7 +12,7 @@ state), and a rarer word takes its share of its bucket from counts.
 Documents lie end to end in ``lanes``.  The state is carried from window to
 window and reset after an end mark, so that a document of any length is scored
 as one sequence.  Training goes through all windows in the same way, and
-back-propagates (truncated to the window) in every ``stride``-th.
+back-propagates (truncated to the window) in each of them.
 """
 
 from __future__ import annotations
@@ -265,8 +265,8 @@ def score(model: Gru, docs: list[np.ndarray], lanes: int = 256, steps: int = 32)
     return out
 
 
-def train(model: Gru, docs: list[np.ndarray], memory: dict, rate: float, lanes: int = 128, steps: int = 16,
-          stride: int = 8, phase: int = 0, clip: float = 5.0) -> int:
+def train(model: Gru, docs: list[np.ndarray], memory: dict, rate: float, lanes: int = 256, steps: int = 16,
+          clip: float = 5.0) -> int:
     """One pass over ``docs``; ``memory`` holds the squared gradients of the
     step-size rule.  Returns the number of tokens that gave gradients."""
     if not docs:
@@ -275,10 +275,7 @@ def train(model: Gru, docs: list[np.ndarray], memory: dict, rate: float, lanes:
     _, y_all, _ = next(plan)
     h = np.zeros((y_all.shape[1], model.spec.hidden), F4)
     trained = 0
-    for number, (x, y, live) in enumerate(plan):
-        if (number + phase) % stride:
-            h = model.states(x, h[:live])[-1]
-            continue
+    for x, y, live in plan:
         keep: dict = {}
         grads = model.zero()
         states = model.states(x, h[:live], keep)

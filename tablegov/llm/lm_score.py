@@ -11,7 +11,7 @@ same weights, goes through its share of the round's documents with truncated
 back-propagation, and gives its weights, which are averaged by the number of
 tokens in two levels of grouping, block by block.  Every training document is in
 exactly one round, so the work grows with the corpus; the weights do not.
-Gradients are taken in every ``stride``-th window, the state runs through all.
+Gradients are taken in every window.
 
 Scoring carries the state through the windows of a document, whatever its
 length.  The result is log10 P(text): a rarer word has the probability of its
@@ -47,7 +47,6 @@ WORD_CLASSES = 32
 HIDDEN = 16
 ROUNDS = 3
 RATES = (0.2, 0.1, 0.05)
-STRIDE = 8
 
 _ADD = 0.1
 _SEED = 42
@@ -219,8 +218,8 @@ def train_round(encoded: DataFrame, spec: gru_lm.Spec, weights: np.ndarray, rate
         model = gru_lm.Gru.from_flat(spec, shared.value.copy())
         memory = {k: np.full_like(v, 1e-8) for k, v in model.w.items()}
         n = 0
-        for number, (_, docs) in enumerate(_buffers(batches, 0)):
-            n += gru_lm.train(model, docs, memory, rate, stride=STRIDE, phase=number)
+        for _, docs in _buffers(batches, 0):
+            n += gru_lm.train(model, docs, memory, rate)
         if n:
             flat = model.flat() * np.float32(n)
             parts = [flat[i:i + _CHUNK].tobytes() for i in range(0, len(flat), _CHUNK)]
