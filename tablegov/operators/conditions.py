@@ -114,7 +114,7 @@ def _members(df: DataFrame, name: str, values) -> DataFrame:
     dtype = df.schema[name].dataType
     known = {v for v in values if v is not None}
     if isinstance(dtype, T.IntegralType):
-        known = {int(v) for v in known if not isinstance(v, float) or v.is_integer()}
+        known = {int(v) for v in known if isinstance(v, str) or (v == v and abs(v) != float("inf") and v == int(v))}
     rows = [(v,) if isinstance(v, str) and isinstance(dtype, T.StringType) else (str(v),) for v in known]
     return df.sparkSession.createDataFrame(rows, "v string").select(F.col("v").cast(dtype).alias(name))
 

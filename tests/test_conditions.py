@@ -1,3 +1,6 @@
+from decimal import Decimal
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +130,11 @@ def test_long_list_keeps_columns_and_types(spark):
         assert [r.name for r in B.where(df, {"x": ("in", list(range(size)))}).collect()] == ["b"]
         days = [f"2023-{1 + i % 12:02}-{1 + i % 28:02} 00:{i // 60 % 60:02}:{i % 60:02}" for i in range(size)]
         assert [r.name for r in B.where(df, {"at": ("in", [*days, "2024-01-02 00:00:00"])}).collect()] == ["b"]
+
+
+def test_long_list_leaves_out_fractions_of_any_type(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    for size in (900, 1500):
+        odd = [Decimal("1.5"), Decimal("NaN"), Decimal("Infinity"), float("inf"), Fraction(5, 2)] if size > 1000 else [Decimal("1.5")]
+        got = B.where(df, {"id": ("in", [*range(10, 10 + size), *odd, Decimal("3.0")])})
+        assert [r.id for r in got.collect()] == [3]
