@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegov.llm import (
-    bpe, decontaminate, fingerprint, html_text, lm_score, perspectives, quality, sharding, simhash, training_order,
+    bottom_k, bpe, decontaminate, fingerprint, html_text, lm_score, periodic, perspectives, quality, sharding, simhash, spelling,
+    training_order,
 )
 from tablegov.llm.common import ship_code, table, written
 
@@ -153,3 +154,90 @@ def prefix_filtered_windows(spark, sf_dir):
 @query("op10_tag_path_ratios")
 def tag_path_ratios(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_bottom_k_sketches", r"""
+WITH RECURSIVE w AS MATERIALIZED (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS t
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT x, b FROM reach JOIN link ON y = a),
+least AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, w.doc_id = c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN least ON x = w.doc_id
+""")
+def bottom_k_sketches(spark, sf_dir):
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with the repeats that are planted: of the documents whose
+    h = crc32(doc_id) ends in 0, each word from a = floor(h/10) % n on is that p words
+    before it, p = 1 + floor((n - a) / (3 + floor(h/10) % 8))."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("g")).withColumn(
+        "w", F.when(F.col("g").isNotNull(), F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    edited = F.expr("array_join(transform(sequence(0L, n - 1L), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, char(10))), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_spelling_variants", """
+WITH RECURSIVE table_of AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+        ORDER BY i) AS t FROM range(256) r(i)),
+run AS (
+    SELECT doc_id, r, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+    WHERE length(r) >= 6 GROUP BY ALL),
+bytes AS (
+    SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b
+    FROM run),
+hashed AS (
+    SELECT r, n, xor(4294967295, list_reduce([4294967295] || list_transform(b, lambda x: CAST(x AS BIGINT)),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, table_of),
+said AS (
+    SELECT CASE WHEN h % 199 = 0 THEN left(r, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+v AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+hole AS MATERIALIZED (
+    SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+near AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM hole a JOIN hole b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM hole a JOIN v b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM hole a JOIN v b ON a.rest = b.word),
+best AS (
+    SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, encode(near))) AS first FROM near GROUP BY word),
+rated AS MATERIALIZED (
+    SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN top >= 5 * n THEN first END AS form,
+        CASE WHEN top >= 5 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+follow AS (
+    SELECT word, word AS target FROM rated
+    UNION SELECT follow.word, form FROM follow JOIN rated ON rated.word = target WHERE form IS NOT NULL)
+SELECT rated.word, rated.form, target AS root, rated.n, rated.n_near, rated.form_n
+FROM rated JOIN follow ON follow.word = rated.word JOIN rated last ON last.word = target AND last.form IS NULL
+""")
+def spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"), drop_every=199)
