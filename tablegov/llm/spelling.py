@@ -99,7 +99,9 @@ def shards(words: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     todo = _keyed(posts.select("word", "n", "m", "e.p", "e.s"))
     done = None
     while True:
-        big = todo.groupBy("key").count().where(F.col("count") > limit).select("key")
+        # With one free letter a shard cannot be dealt further.
+        free = todo.where("m - p - s > 1")
+        big = free.groupBy("key").count().where(F.col("count") > limit).select("key")
         if big.isEmpty():
             return (todo if done is None else done.unionByName(todo)).select("key", "m", "word", "n")
         big = cut(big)
