@@ -37,7 +37,7 @@ ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import groupby
 
@@ -96,7 +96,8 @@ def least_shared(size: int, k: int) -> int:
     return max(1, least_common(min(size, k)))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
+             set_of: Callable[[bytes | None], np.ndarray] = shingles) -> DataFrame:
     """One row per input row: ``id``, ``node`` (hash of the text), ``n`` (size of its set),
     ``least`` (common values it needs) and ``sketch`` (its ``k`` smallest values, signed, in order)."""
     text_batches(docs.sparkSession)
@@ -104,7 +105,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            sets = [set_of(t) for t in batch.column(2).to_pylist()]
             kept = [s[:k].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
@@ -154,7 +155,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     return met.select("node", "n", F.xxhash64("label", "m.band", "m.i", "m.other", "m.j").alias("key"), F.col("m.side").alias("side"))
 
 
-def _merge(label: np.ndarray, a: int, b: int) -> None:
+def merge(label: np.ndarray, a: int, b: int) -> None:
     """Joins the classes of ``a`` and ``b``; a label is the smallest member."""
     x, y = label[a], label[b]
     if x != y:
@@ -176,12 +177,12 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, k: int) -> np.ndarray:
         padded[i, :len(s)] = s
     need = np.array([least_common(m) for m in range(k + 1)])
     two = side.any()
-    known = _Lookup(sets)
+    known = Lookup(sets)
     for i in range(len(sets) - 1):
         if two and side[i]:
             continue
         rest = np.flatnonzero(side == 1) if two else np.arange(i + 1, len(sets))
-        fits = (DEN * np.minimum(size[rest], size[i]) >= NUM * np.maximum(size[rest], size[i])) & (label[rest] != label[i])
+        fits = sizes_fit(size[rest], size[i]) & (label[rest] != label[i])
         rest = rest[fits]
         if not len(rest):
             continue
@@ -192,7 +193,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, k: int) -> np.ndarray:
             some = rest[at:at + _PAIRS_AT_ONCE]
             some = some[_estimate(padded[i], padded[some], k, need)]
             for j in known.similar(i, some):
-                _merge(label, i, j)
+                merge(label, i, j)
     return label
 
 
@@ -207,7 +208,12 @@ def _estimate(one: np.ndarray, others: np.ndarray, k: int, need: np.ndarray) ->
     return hits >= need[np.minimum(order[:, -1], k)]
 
 
-class _Lookup:
+def sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
+
+
+class Lookup:
     """Sizes of intersections with full sets, one row at a time."""
 
     def __init__(self, sets: list[np.ndarray]):
@@ -233,8 +239,12 @@ class _Lookup:
         return found
 
 
-def links(docs: DataFrame, sketched: DataFrame, text_col: str = "text", k: int = K, block: int = BLOCK) -> DataFrame:
-    """(``a``, ``b``): links between texts whose closure gives the classes."""
+def links(docs: DataFrame, sketched: DataFrame, text_col: str = "text", k: int = K, block: int = BLOCK,
+          set_of: Callable[[bytes | None], np.ndarray] = shingles,
+          solve: Callable[[list[np.ndarray], np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+    """(``a``, ``b``): links between texts whose closure gives the classes.  ``solve``
+    labels the texts of one block, by default ``block_links``."""
+    solve = solve or block_links
     candidates = written(clusters(sketched), "clusters")
     members = sketched.select("node", "n").distinct().join(candidates, "node")
     dealt = _blocks(members, block)
@@ -251,9 +261,9 @@ def links(docs: DataFrame, sketched: DataFrame, text_col: str = "text", k: int =
             for _, s, x, text in group:  # of a text only its set is held
                 side.append(s)
                 node.append(x)
-                sets.append(shingles(text))
+                sets.append(set_of(text))
             if len(sets) > 1:
-                label = block_links(sets, np.array(side), k)
+                label = solve(sets, np.array(side), k)
                 at = np.flatnonzero(label != np.arange(len(sets)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node[i] for i in at], pa.int64()), pa.array([node[i] for i in label[at]], pa.int64())], names=["a", "b"])
@@ -262,11 +272,13 @@ def links(docs: DataFrame, sketched: DataFrame, text_col: str = "text", k: int =
     return met.repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, block: int = BLOCK,
+                    set_of: Callable[[bytes | None], np.ndarray] = shingles,
+                    solve: Callable[[list[np.ndarray], np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id`` (the
     smallest id that links reach) and ``kept`` (whether that is the row's own)."""
-    sketched = written(sketches(docs, id_col, text_col, k), "sketches")
-    label = components(links(docs, sketched, text_col, k, block))
+    sketched = written(sketches(docs, id_col, text_col, k, set_of), "sketches")
+    label = components(links(docs, sketched, text_col, k, block, set_of, solve))
     first = sketched.groupBy("node").agg(F.min("id").alias("first_id"))
     named = written(first.join(label, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), "first_id"), "bottom-k-labels")

@@ -22,12 +22,12 @@ the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegov.llm.common import text_batches, written
@@ -264,14 +264,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                radius: int = 3) -> DataFrame:
     """``docs`` with one row of every class: the one of smallest id.  Rows that
     repeat both id and text are reduced to one; rows without an id stay."""
-    return first_rows(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+    return first_rows(docs, lambda rows, key: near_duplicates(rows, key, text_col, shingle, radius), id_col, text_col)
 
 
-def first_rows(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id names their class in ``classes``, and those without an id."""
-    first = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    # The joined rows already lie by id: the window sorts a handful of rows with the same id, no more.
-    kept = docs.withColumn("__hash", F.xxhash64(text_col)).join(first, docs[id_col] == F.col("__keep")).withColumn(
-        "__before", F.lag("__hash").over(Window.partitionBy("__keep").orderBy("__hash")))
-    kept = kept.where("__before IS NULL OR __before <> __hash").select(*docs.columns)
+def first_rows(docs: DataFrame, classes: Callable[[DataFrame, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """The first row of every class of ``classes(rows, key)``, and the rows without an
+    id.  The key is id and hash of the text, so rows of one id and unlike texts are apart."""
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")))
+    keyed = docs.withColumn("__key", key)
+    first = classes(keyed, "__key").where("__key = component_id").select("__key").distinct()
+    # The joined rows lie by key already: reducing repeated rows moves nothing.
+    kept = keyed.join(first, "__key").dropDuplicates(["__key"]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
