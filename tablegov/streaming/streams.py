@@ -3,10 +3,12 @@ are dropped and counted in the query progress."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -118,41 +120,104 @@ def stream_active_sessions(events: DataFrame, ttl_seconds: int, watermark: str =
         _Sessions(ttl_seconds * 1000), "session_id string, at timestamp, state string", "Append", "eventTime")
 
 
+class _Line:
+    """The runs ``(started, run_id)`` of one status, in order, as numbered entries of
+    a map state.  Both ends are reached directly; only entries that were touched
+    are read and written."""
+
+    def __init__(self, entries, ends, status: str) -> None:
+        self.entries, self.ends, self.status = entries, ends, status
+        self.low, self.high = ends.getValue((status,)) if ends.containsKey((status,)) else (0, 0)
+        self.stored = range(self.low, self.high)
+        self.seen: dict[int, tuple] = {}
+        self.changed: set[int] = set()
+
+    def _at(self, no: int) -> tuple:
+        if no not in self.seen:
+            self.seen[no] = tuple(self.entries.getValue((self.status, no)))
+        return self.seen[no]
+
+    def _set(self, no: int, run: tuple) -> None:
+        self.seen[no] = run
+        self.changed.add(no)
+
+    def last(self) -> tuple | None:
+        return self._at(self.high - 1) if self.high > self.low else None
+
+    def pop(self) -> tuple:
+        run = self.last()
+        self.high -= 1
+        self.changed.add(self.high)
+        return run
+
+    def add(self, run: tuple) -> None:
+        """Most runs belong at one of the ends; others move the later ones up."""
+        if self.high > self.low and run < self._at(self.low):
+            self.low -= 1
+            self._set(self.low, run)
+            return
+        no = self.high
+        self.high += 1
+        while no > self.low and self._at(no - 1) > run:
+            self._set(no, self._at(no - 1))
+            no -= 1
+        self._set(no, run)
+
+    def store(self) -> None:
+        for no in self.changed:
+            if self.low <= no < self.high:
+                self.entries.updateValue((self.status, no), self.seen[no])
+            elif no in self.stored:
+                self.entries.removeKey((self.status, no))
+        if self.high > self.low:
+            self.ends.updateValue((self.status,), (self.low, self.high))
+        elif len(self.stored):
+            self.ends.removeKey((self.status,))
+
+
 class _JobRuns(StatefulProcessor):
-    """Keeps the open and the cancelled runs of one job; events wait until the
-    watermark has passed them and are then applied in time order."""
+    """Events of a job wait in slots of time until the watermark has passed the
+    slot's end; each slot has a timer of its own and is applied in order of time.
+    The unsettled runs stay in the state store, as a line for each status.  So a
+    task holds the events of one slot and the runs that these touch, however many
+    events and runs the job has."""
+
+    def __init__(self, slot_ms: int) -> None:
+        self.slot_ms = slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts bigint, event_id bigint, kind string, periodic boolean")
-        self.runs = handle.getListState("runs", "run_id bigint, started bigint, status string")
+        # Packed events of a slot, one entry for each batch of rows, and the number of entries.
+        self.waiting = handle.getMapState("waiting", "slot bigint, part int", "events string")
+        self.parts = handle.getMapState("parts", "slot bigint", "many int")
+        self.entries = handle.getMapState("runs", "status string, no bigint", "started bigint, run_id bigint")
+        self.ends = handle.getMapState("ends", "status string", "low bigint, high bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
         for batch in rows:
-            stamps = (batch["ts"].astype("datetime64[us]").astype("int64")).tolist()
-            self.waiting.appendList(list(zip(
-                stamps, batch["event_id"].tolist(), batch["kind"].tolist(), batch["periodic"].tolist())))
-            newest = max(stamps) if newest is None else max(newest, *stamps)
-        # One timer per micro-batch: when it fires, all of these are due.
-        if newest is not None:
-            self.handle.registerTimer(newest // 1000 + 1)
+            stamps = batch["ts"].astype("datetime64[us]").astype("int64")
+            batch = batch.assign(ts=stamps)[["ts", "event_id", "kind", "periodic"]]
+            for slot, some in batch.groupby(stamps // (self.slot_ms * 1000)):
+                slot = int(slot)
+                part = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
+                self.waiting.updateValue((slot, part), (json.dumps(some.values.tolist()),))
+                self.parts.updateValue((slot,), (part + 1,))
+                self.handle.registerTimer((slot + 1) * self.slot_ms)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Nothing at or before the watermark can still arrive.
-        limit = timerValues.getCurrentWatermarkInMs() * 1000 + 1
-        waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted(w for w in waiting if w[0] < limit)
-        if not due:
-            return
-        later = [w for w in waiting if w[0] >= limit]
-        self.waiting.put(later) if later else self.waiting.clear()
-        runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+        # Nothing before the watermark can still arrive, and timers fire in order of time.
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
+        due = []
+        for part in range(self.parts.getValue((slot,))[0]):
+            due += json.loads(self.waiting.getValue((slot, part))[0])
+            self.waiting.removeKey((slot, part))
+        self.parts.removeKey((slot,))
+        runs = Runs(self.entries, self.ends)
         changes: list[tuple] = []
-        for at, event_id, kind, periodic in due:
-            runs = apply_event(runs, at, event_id, kind, periodic, changes)
-        self.runs.put(runs) if runs else self.runs.clear()
+        for at, event_id, kind, periodic in sorted(due, key=lambda e: (e[0], e[1])):
+            runs.apply(at, event_id, kind, periodic, changes)
+        runs.store()
         if changes:
             out = pd.DataFrame(changes, columns=["run_id", "status", "started", "at"])
             out.insert(0, "job_id", key[0])
@@ -164,51 +229,79 @@ class _JobRuns(StatefulProcessor):
         pass
 
 
-def apply_event(runs: list[tuple], at: int, event_id: int, kind: str, periodic: bool, changes: list[tuple]) -> list[tuple]:
-    """One scheduler event against the unsettled runs ``(run_id, started,
-    status)`` of a job.  Settled runs leave the list; every new status goes to
-    ``changes``."""
-    def latest(*states: str):
-        fitting = [r for r in runs if r[2] in states]
-        return max(fitting, key=lambda r: (r[1], r[0])) if fitting else None
-
-    def move(run: tuple, status: str) -> None:
-        runs.remove(run)
-        if status in ("pending", "running", "cancelled"):
-            runs.append((run[0], run[1], status))
-        changes.append((run[0], status, run[1], at))
-
-    runs = list(runs)
-    if kind == "submitted":
-        if not periodic:
-            runs.append((event_id, at, "running"))
-            changes.append((event_id, "running", at, at))
-        elif (run := latest("pending")) is not None:
-            move(run, "running")
-    elif kind == "removed":
-        if (run := latest("pending", "running")) is not None:
-            move(run, "cancelled")
-    elif kind in OUTCOME:
-        run = latest("running") or latest("cancelled")
-        if run is not None:
-            move(run, OUTCOME[kind])
-        else:
-            changes.append((event_id, OUTCOME[kind], at, at))
-        if periodic:
-            # A run of its own; the settling event may already have used this id.
-            runs.append((-event_id - 1, at, "pending"))
-            changes.append((-event_id - 1, "pending", at, at))
-    return runs
-
-
-def stream_job_runs(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+class Runs:
+    """The unsettled runs of one job and what an event does to them."""
+
+    def __init__(self, entries, ends) -> None:
+        self.states, self.lines = (entries, ends), {}
+
+    def line(self, status: str) -> _Line:
+        if status not in self.lines:
+            self.lines[status] = _Line(*self.states, status)
+        return self.lines[status]
+
+    def _latest(self, *statuses: str) -> str | None:
+        """The status of the run that started last."""
+        found = [(run, s) for s in statuses if (run := self.line(s).last()) is not None]
+        return max(found)[1] if found else None
+
+    def apply(self, at: int, event_id: int, kind: str, periodic: bool, changes: list[tuple]) -> None:
+        """One scheduler event; every new status goes to ``changes`` as ``(run_id,
+        status, started, at)``.  A settled run is forgotten."""
+        def move(source: str, status: str) -> None:
+            started, run_id = run = self.line(source).pop()
+            if status in ("running", "cancelled"):
+                self.line(status).add(run)
+            changes.append((run_id, status, started, at))
+
+        def begin(run_id: int, status: str) -> None:
+            self.line(status).add((at, run_id))
+            changes.append((run_id, status, at, at))
+
+        if kind == "submitted":
+            if not periodic:
+                begin(event_id, "running")
+            elif self._latest("pending"):
+                move("pending", "running")
+        elif kind == "removed":
+            if source := self._latest("pending", "running"):
+                move(source, "cancelled")
+        elif kind in OUTCOME:
+            if source := self._latest("running") or self._latest("cancelled"):
+                move(source, OUTCOME[kind])
+            else:
+                changes.append((event_id, OUTCOME[kind], at, at))
+            if periodic:
+                # A run of its own; the settling event may already have used this id.
+                begin(-event_id - 1, "pending")
+
+    def store(self) -> None:
+        for line in self.lines.values():
+            line.store()
+
+
+def stream_job_runs(events: DataFrame, watermark: str = "10 minutes", slot_seconds: int = 60) -> DataFrame:
     """Status changes ``(job_id, run_id, status, started, at)`` from ``(job_id,
-    ts, event_id, kind, periodic)``.  The newest change of a run is its state."""
+    ts, event_id, kind, periodic)``.  The newest change of a run is its state.
+    Longer slots need fewer timers and hold more events of a job at once."""
     return events.withWatermark("ts", watermark).groupBy("job_id").transformWithStateInPandas(
-        _JobRuns(), "job_id bigint, run_id bigint, status string, started timestamp, at timestamp", "Append", "eventTime")
+        _JobRuns(slot_seconds * 1000), "job_id bigint, run_id bigint, status string, started timestamp, at timestamp",
+        "Append", "eventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which map and timer states need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 __all__ = [
-    "ROCKSDB", "append_audit", "apply_event", "audit_rows", "request_metrics", "stream_active_sessions",
+    "ROCKSDB", "Runs", "append_audit", "audit_rows", "request_metrics", "rocksdb", "stream_active_sessions",
     "stream_audit", "stream_block", "stream_job_runs", "stream_metrics", "stream_pv_uv", "stream_rate_limit",
 ]

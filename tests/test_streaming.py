@@ -114,16 +114,110 @@ def test_job_runs(spark, tmp_path):
     assert {k: v for k, v in state.items() if v[0] != 99} == want
 
 
+class _Map:
+    """A map state as the stateful handler sees it; counts what is read and written."""
+
+    def __init__(self):
+        self.value, self.calls = {}, 0
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.value
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.value[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.value[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        self.value.pop(key, None)
+
+
 def test_periodic_job():
     """A settled run of a periodic job opens the next pending one, which the
     next submission starts."""
-    changes, runs = [], []
+    entries, ends, changes = _Map(), _Map(), []
     for at, (eid, kind) in enumerate([(1, "executed"), (2, "submitted"), (3, "error"), (4, "removed"), (5, "missed")]):
-        runs = S.apply_event(runs, at, eid, kind, True, changes)
+        runs = S.Runs(entries, ends)
+        runs.apply(at, eid, kind, True, changes)
+        runs.store()
     assert [(c[0], c[1]) for c in changes] == [
         (1, "success"), (-2, "pending"), (-2, "running"), (-2, "failed"), (-4, "pending"), (-4, "cancelled"),
         (-4, "timeout"), (-6, "pending")]
-    assert [(r[0], r[2]) for r in runs] == [(-6, "pending")]
+    assert {k[0]: v[1] for k, v in entries.value.items()} == {"pending": -6} and set(ends.value) == {("pending",)}
+
+
+def plain_runs(events):
+    """The same rule over one list of all runs."""
+    runs, changes = [], []
+
+    def latest(*states):
+        return max((r for r in runs if r[2] in states), key=lambda r: (r[1], r[0]), default=None)
+
+    def move(run, status):
+        runs.remove(run)
+        if status in ("running", "cancelled"):
+            runs.append((run[0], run[1], status))
+        changes.append((run[0], status, run[1]))
+
+    for at, eid, kind, periodic in events:
+        if kind == "submitted" and not periodic:
+            runs.append((eid, at, "running"))
+            changes.append((eid, "running", at))
+        elif kind == "submitted":
+            if run := latest("pending"):
+                move(run, "running")
+        elif kind == "removed":
+            if run := latest("pending", "running"):
+                move(run, "cancelled")
+        else:
+            status = {"executed": "success", "error": "failed", "missed": "timeout"}[kind]
+            if run := latest("running") or latest("cancelled"):
+                move(run, status)
+            else:
+                changes.append((eid, status, at))
+            if periodic:
+                runs.append((-eid - 1, at, "pending"))
+                changes.append((-eid - 1, "pending", at))
+    return changes, sorted((s, a, i) for i, a, s in runs)
+
+
+@pytest.mark.parametrize("seed,periodic", [(1, 0), (2, 1), (3, 0.5), (4, 0.2)])
+def test_runs_in_slots_equal_one_list(seed, periodic):
+    random.seed(seed)
+    weights = [6, 2, 1, 1, 3] if seed != 4 else [9, 1, 1, 1, 8]
+    kinds = ["submitted", "executed", "error", "missed", "removed"]
+    events = [(i // 2, i, random.choices(kinds, weights)[0], random.random() < periodic) for i in range(1500)]
+    entries, ends, changes = _Map(), _Map(), []
+    for at in range(0, len(events), 37):
+        runs = S.Runs(entries, ends)
+        for event in events[at:at + 37]:
+            runs.apply(*event, changes)
+        runs.store()
+    want, left = plain_runs(events)
+    assert [c[:3] for c in changes] == want
+    assert sorted((k[0], *v) for k, v in entries.value.items()) == left
+
+
+def test_a_slot_touches_what_it_changes():
+    """However many runs are open, a slot reads and writes no more than its events."""
+    entries, ends = _Map(), _Map()
+    for at in range(0, 20_000, 100):
+        runs = S.Runs(entries, ends)
+        for i in range(at, at + 100):
+            runs.apply(i, i, "submitted", False, [])
+        runs.store()
+    for kind, step in (("removed", 50), ("executed", 10)):
+        entries.calls = 0
+        runs = S.Runs(entries, ends)
+        for i in range(step):
+            runs.apply(30_000 + i, 30_000 + i, kind, False, [])
+        runs.store()
+        assert entries.calls <= 3 * step + 6
+    assert len(entries.value) == 19_990
 
 
 def test_active_sessions(spark, tmp_path):
