@@ -40,22 +40,39 @@ def sort_columns(order) -> list[Column]:
     return [F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in normalise(order)]
 
 
+def _reversed(col: Column, kind: T.DataType) -> list[Column]:
+    """Fields that order like ``col`` the other way round, its nulls at the end."""
+    fields = [col.isNull()]
+    if isinstance(kind, T.IntegralType):
+        fields.append(F.bitwise_not(col))
+    elif isinstance(kind, T.FractionalType):
+        if not isinstance(kind, T.DecimalType):
+            # NaN is above all numbers and has no sign.
+            fields.append(~F.isnan(col))
+        fields.append(-col)
+    elif isinstance(kind, T.BooleanType):
+        fields.append(~col)
+    elif isinstance(kind, T.DateType):
+        fields.append(-F.unix_date(col))
+    elif isinstance(kind, T.TimestampType):
+        fields.append(-F.unix_micros(col))
+    elif isinstance(kind, T.TimestampNTZType):
+        fields.append(-F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col))
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        # The digits of every byte are complemented; the end of a value comes after all digits.
+        fields.append(F.concat(F.translate(F.hex(col), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G")))
+    else:
+        raise TypeError(f"no order for a column of type {kind.simpleString()}")
+    return fields
+
+
 def _range_key(df: DataFrame, order: Order) -> Column:
-    """A struct that orders like the leading sort columns.  An integral column
-    of the opposite direction is complemented; any other ends the key, which
-    only makes the ranges coarser."""
+    """A struct that orders like all sort columns, in the direction of the first."""
     lead = order[0][1]
     fields: list[Column] = []
-    for i, (name, direction) in enumerate(order):
-        col = F.col(name)
-        if direction == lead:
-            fields.append(col.alias(f"k{i}"))
-        elif isinstance(df.schema[name].dataType, T.IntegralType):
-            null_last = col.isNull() if lead == "asc" else col.isNotNull()
-            fields += [null_last.alias(f"n{i}"), F.bitwise_not(col).alias(f"k{i}")]
-        else:
-            break
-    return F.struct(*fields)
+    for name, direction in order:
+        fields += [F.col(name)] if direction == lead else _reversed(F.col(name), df.schema[name].dataType)
+    return F.struct(*[field.alias(f"k{i}") for i, field in enumerate(fields)])
 
 
 def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int | None = None,

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tablegov.operators import jobs as J
 from tablegov.operators.metrics import exact_percentile
-from tablegov.operators.ordering import number_rows, running_depth, range_id
-from tablegov.streaming.streams import apply_event
+from tablegov.operators.ordering import number_rows, range_id, running_depth, sort_columns
+from tablegov.streaming.streams import Runs
+from tests.test_streaming import MapState
 
 random.seed(5)
 DATA = [(i, "hot" if random.random() < 0.34 else f"k{random.randrange(20)}",
@@ -83,7 +84,7 @@ def replay(events):
     runs, changes, state = {}, [], {}
     for at, eid, job, kind in sorted(events):
         batch = []
-        runs[job] = apply_event(runs.get(job, []), at, eid, kind, False, batch)
+        runs.setdefault(job, Runs(MapState(), MapState())).apply(at, eid, kind, False, batch)
         changes += [(job, *c) for c in batch]
     for job, run_id, status, started, at in changes:
         state[run_id] = (job, status, started, at)
@@ -119,3 +120,37 @@ def test_exact_percentile(df, ranges):
         got = exact_percentile(df, "v", 0.9, by, "p", **ranges)
         pick = lambda d: {tuple(r[c] for c in by): round(r.p, 9) for r in d.collect()}
         assert pick(got) == pick(want)
+
+
+KINDS = {
+    "i": ("bigint", [None, -3, 0, 7, 2**62, -2**63]), "d": ("double", [None, -1.5, 0.0, 2.25, float("nan"), float("inf"), -float("inf")]),
+    "m": ("decimal(10,2)", [None, "-1.50", "0.00", "3.25"]), "s": ("string", [None, "", "a", "ab", "abc", "b", "É", "zz\x00", "zz"]),
+    "b": ("boolean", [None, True, False]), "t": ("timestamp", [None, "1969-12-31 23:59:59.5", "2024-01-02 03:04:05.000006"]),
+    "n": ("timestamp_ntz", [None, "1950-01-01 00:00:00", "2024-01-02 03:04:05.000006"]), "y": ("date", [None, "1950-01-01", "2024-02-29"]),
+}
+
+
+@pytest.mark.parametrize("first", list(KINDS))
+@pytest.mark.parametrize("lead", ["asc", "desc"])
+def test_ranges_over_mixed_directions(spark, first, lead):
+    """Any column may go against the first one: positions are those of one plain sort."""
+    rng = random.Random(first + lead)
+    other = "desc" if lead == "asc" else "asc"
+    data = [[i, *[(None if (x := rng.choice(values)) is None else str(x)) for _, values in KINDS.values()]] for i in range(160)]
+    df = spark.createDataFrame(data, "id bigint, " + ", ".join(f"{c} string" for c in KINDS))
+    df = df.select("id", *[F.col(c).cast(kind).alias(c) for c, (kind, _) in KINDS.items()])
+    rest = [c for c in KINDS if c != first]
+    rng.shuffle(rest)
+    order = [(first, lead), *[(c, rng.choice([other, other, lead])) for c in rest[:3]], ("id", other)]
+    got = {r.id: r.row_no for r in number_rows(df, order, ranges=9, small_rows=0).collect()}
+    want = {r.id: i + 1 for i, r in enumerate(df.orderBy(*sort_columns(order)).collect())}
+    assert got == want
+
+
+def test_mixed_directions_give_even_ranges(spark):
+    """A first column of three values is split by the columns behind it."""
+    df = spark.range(20_000).select("id", F.expr("element_at(array('F', 'O', 'P'), int(id % 3) + 1)").alias("status"),
+                                    F.expr("pmod(xxhash64(id), 100000) / 7").alias("amount"))
+    bucket = range_id(df, [("status", "desc"), ("amount", "asc"), ("id", "asc")], ranges=50, small_rows=0)
+    sizes = [r["count"] for r in df.groupBy(bucket.alias("r")).count().collect()]
+    assert len(sizes) >= 45 and max(sizes) < 3 * 20_000 / 50

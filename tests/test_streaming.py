@@ -114,7 +114,7 @@ def test_job_runs(spark, tmp_path):
     assert {k: v for k, v in state.items() if v[0] != 99} == want
 
 
-class _Map:
+class MapState:
     """A map state as the stateful handler sees it; counts what is read and written."""
 
     def __init__(self):
@@ -139,7 +139,7 @@ class _Map:
 def test_periodic_job():
     """A settled run of a periodic job opens the next pending one, which the
     next submission starts."""
-    entries, ends, changes = _Map(), _Map(), []
+    entries, ends, changes = MapState(), MapState(), []
     for at, (eid, kind) in enumerate([(1, "executed"), (2, "submitted"), (3, "error"), (4, "removed"), (5, "missed")]):
         runs = S.Runs(entries, ends)
         runs.apply(at, eid, kind, True, changes)
@@ -191,7 +191,7 @@ def test_runs_in_slots_equal_one_list(seed, periodic):
     weights = [6, 2, 1, 1, 3] if seed != 4 else [9, 1, 1, 1, 8]
     kinds = ["submitted", "executed", "error", "missed", "removed"]
     events = [(i // 2, i, random.choices(kinds, weights)[0], random.random() < periodic) for i in range(1500)]
-    entries, ends, changes = _Map(), _Map(), []
+    entries, ends, changes = MapState(), MapState(), []
     for at in range(0, len(events), 37):
         runs = S.Runs(entries, ends)
         for event in events[at:at + 37]:
@@ -204,7 +204,7 @@ def test_runs_in_slots_equal_one_list(seed, periodic):
 
 def test_a_slot_touches_what_it_changes():
     """However many runs are open, a slot reads and writes no more than its events."""
-    entries, ends = _Map(), _Map()
+    entries, ends = MapState(), MapState()
     for at in range(0, 20_000, 100):
         runs = S.Runs(entries, ends)
         for i in range(at, at + 100):
