@@ -61,12 +61,23 @@ def create(df: DataFrame, rows: DataFrame, spec: TableSpec, ctx: Ctx, order, now
     return df.unionByName(new.select(*df.columns))
 
 
+def _live(df: DataFrame, spec: TableSpec) -> Column:
+    if spec.deleted and spec.deleted in df.columns:
+        return ~F.coalesce(F.col(spec.deleted).cast("boolean"), F.lit(False))
+    return F.lit(True)
+
+
+def folded(rows: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
+    """One row per key: of every field the last value that is not null, as if the
+    rows were written one after another in ``order``."""
+    return rows.groupBy(*keys).agg(F.max(order).alias(order), *[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields])
+
+
 def refusal(df: DataFrame, spec: TableSpec, ctx: Ctx, scope: Column | None = None) -> Column:
     """Why a row may not be changed by the caller, or null: another tenant's,
     deleted, or outside the caller's data ``scope`` (a predicate on the row)."""
-    live = F.lit(True)
-    if spec.deleted and spec.deleted in df.columns:
-        live = ~F.coalesce(F.col(spec.deleted).cast("boolean"), F.lit(False))
+    live = _live(df, spec)
     inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
     return F.when(~F.coalesce(writable(spec, ctx), F.lit(False)), "foreign_tenant").when(~live, "deleted").when(
         ~inside, "out_of_scope")
@@ -161,10 +172,11 @@ def clear(df: DataFrame, spec: TableSpec, ctx: Ctx, now: str | None = None) -> D
 
 
 def upsert(df: DataFrame, rows: DataFrame, keys: list[str], defaults: dict | None = None,
-           spec: TableSpec | None = None, ctx: Ctx | None = None) -> DataFrame:
+           spec: TableSpec | None = None, ctx: Ctx | None = None, order: str | None = None) -> DataFrame:
     """Update by key or insert.  A null field in ``rows`` keeps the old value,
-    or takes the default on insert.  Of a repeated key the row with the largest
-    fields counts.  With ``spec`` and ``ctx`` rows of other tenants stay as they
+    or takes the default on insert.  The rows of a repeated key are applied one
+    after another by the column ``order``; without it there is no last row, and
+    the one with the largest fields counts.  With ``spec`` and ``ctx`` rows of other tenants stay as they
     are, and a row that names another tenant is not inserted."""
     fields = [c for c in df.columns if c not in keys]
     if spec and ctx and spec.tenant and not ctx.is_super and ctx.tenant_id is not None:
@@ -174,9 +186,11 @@ def upsert(df: DataFrame, rows: DataFrame, keys: list[str], defaults: dict | Non
             rows = rows.filter(F.coalesce(F.col(spec.tenant) == ctx.tenant_id, F.lit(True)))
         rows = rows.withColumn(spec.tenant, F.lit(ctx.tenant_id).cast(df.schema[spec.tenant].dataType))
         fresh = rows if spec.tenant in keys else rows.join(foreign.select(*keys), keys, "left_anti")
-        return upsert(own, fresh, keys, defaults).unionByName(foreign)
+        return upsert(own, fresh, keys, defaults, order=order).unionByName(foreign)
     brought = [c for c in fields if c in rows.columns]
-    if brought:
+    if order:
+        rows = folded(rows, keys, brought, order).select(*keys, *brought)
+    elif brought:
         best = F.max(F.struct(*brought)).alias("_best")
         rows = rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in brought])
     else:
@@ -194,29 +208,31 @@ def import_upsert(df: DataFrame, rows: DataFrame, key: str, update_support: bool
                   ) -> tuple[DataFrame, DataFrame]:
     """Import by natural key: known rows are updated or reported as existing,
     protected rows are refused, the rest is created.  When a key occurs more
-    than once the first row creates and the later ones meet an existing row.
+    than once the rows are written one after another: the first creates, the
+    later ones meet an existing row, and a null never takes a value away.  A key
+    that only a deleted row has is reported as ``deleted`` and left alone.
     Only rows of the caller's tenant are looked up and changed, and the tenant
     itself cannot be imported.  Returns the new version and the report
     ``(row_no, key, outcome)``."""
-    from tablegov.operators.page import dedupe
-
     fields = [c for c in rows.columns if c not in (key, row_no, spec.tenant)]
+    live = _live(df, spec)
     known = df.filter(writable(spec, ctx)).groupBy(key).agg(
-        F.lit(True).alias("_known"), F.max(F.lit(False) if protected is None else protected).alias("_protected"))
+        F.max(live).alias("_known"), F.max(F.lit(False) if protected is None else protected & live).alias("_protected"))
     first = rows.groupBy(key).agg(F.min(row_no).alias("_first"))
     marked = rows.join(first, key).join(known, key, "left")
     outcome = (
-        F.when(F.col("_protected"), "refused")
+        F.when(~F.col("_known"), "deleted")
+        .when(F.col("_protected"), "refused")
         .when(F.col("_known").isNull() & (F.col(row_no) == F.col("_first")), "created")
         .otherwise("updated" if update_support else "exists")
     )
     marked = marked.withColumn("outcome", outcome)
     report = marked.select(row_no, key, "outcome")
-    accepted = dedupe(marked.filter(F.col("outcome").isin("created", "updated")), [key], [(row_no, "desc")])
+    accepted = folded(marked.filter(F.col("outcome").isin("created", "updated")), [key, "_known"], fields, row_no)
     fresh = accepted.filter(F.col("_known").isNull()).select(key, *fields, row_no)
     changes = accepted.filter(F.col("_known")).select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
     out = df.join(changes.withColumn("_hit", F.lit(True)), key, "left").withColumn(
-        "_hit", F.coalesce(F.col("_hit") & writable(spec, ctx), F.lit(False)))
+        "_hit", F.coalesce(F.col("_hit") & writable(spec, ctx) & live, F.lit(False)))
     for c in fields:
         out = out.withColumn(c, F.when(F.col("_hit"), F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)))
     out = _stamp(out, df, spec, ctx, F.col("_hit"), now).select(*df.columns)

@@ -201,6 +201,54 @@ def _(v):
     return _import(v, True)[0].select("id", "name", "status", "description")
 
 
+_FOLD = """rows AS (SELECT p_name || ' ' || p_brand AS name, CASE WHEN p_type = 'PROMO' THEN '1' WHEN p_size % 3 = 0 THEN '0' END AS status,
+        CASE WHEN p_size % 2 = 0 THEN p_type END AS description, row_number() OVER (ORDER BY p_partkey) AS row_no FROM part),
+    have AS (SELECT p_name || ' ' || p_brand AS name, min(p_partkey) AS id, '0' AS status, 'old' AS description, max(p_size) = 50 AS is_deleted
+        FROM part WHERE p_size > 40 GROUP BY 1),
+    rep AS (SELECT r.*, h.id, CASE WHEN h.is_deleted THEN 'deleted' WHEN h.id IS NULL AND r.row_no = min(r.row_no) OVER (PARTITION BY r.name) THEN 'created'
+        ELSE 'updated' END AS outcome FROM rows r LEFT JOIN have h ON h.name = r.name),
+    last AS (SELECT name, arg_max(status, row_no) FILTER (status IS NOT NULL) AS status,
+        arg_max(description, row_no) FILTER (description IS NOT NULL) AS description FROM rep WHERE outcome <> 'deleted' GROUP BY name)"""
+
+
+def _fold(v: Views):
+    """Rows that repeat their key with nulls, and rows whose key a deleted row has."""
+    name = F.concat_ws(" ", "p_name", "p_brand").alias("name")
+    rows = Q.with_row_no(v.part, ["p_partkey"]).select(
+        name, F.when(F.col("p_type") == "PROMO", "1").when(F.col("p_size") % 3 == 0, "0").alias("status"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("description"), "row_no")
+    have = v.part.filter("p_size > 40").groupBy(name).agg(
+        F.min("p_partkey").alias("id"), F.lit("0").alias("status"), F.lit("old").alias("description"),
+        (F.max("p_size") == 50).alias("is_deleted"))
+    return have, rows, TableSpec("demo", tenant=None, creator=None, updater=None, created_time=None, updated_time=None)
+
+
+@query("import_fold", f"""WITH {_FOLD}
+    SELECT h.id, h.name, coalesce(l.status, h.status) AS status, coalesce(l.description, h.description) AS description, is_deleted
+    FROM have h LEFT JOIN last l ON l.name = h.name
+    UNION ALL SELECT (SELECT max(id) FROM have) + row_number() OVER (ORDER BY l.name), l.name, coalesce(l.status, '0'), l.description, false
+    FROM last l WHERE l.name NOT IN (SELECT name FROM have)""")
+def _(v):
+    have, rows, spec = _fold(v)
+    out = U.import_upsert(have, rows, "name", True, spec, CTX)[0]
+    return out.select("id", "name", "status", "description", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"))
+
+
+@query("import_fold_report", f"WITH {_FOLD} SELECT row_no, name, outcome FROM rep")
+def _(v):
+    have, rows, spec = _fold(v)
+    return U.import_upsert(have, rows, "name", True, spec, CTX)[1]
+
+
+@query("upsert_ordered", f"""WITH {_FOLD}, all_of AS (SELECT name, arg_max(status, row_no) FILTER (status IS NOT NULL) AS status,
+        arg_max(description, row_no) FILTER (description IS NOT NULL) AS description FROM rows GROUP BY name)
+    SELECT coalesce(h.name, a.name) AS name, coalesce(a.status, h.status, '9') AS status, coalesce(a.description, h.description) AS description
+    FROM have h FULL JOIN all_of a ON a.name = h.name""")
+def _(v):
+    have, rows, _spec = _fold(v)
+    return U.upsert(have.select("name", "status", "description"), rows, ["name"], {"status": "9"}, order="row_no")
+
+
 _DEMO = """t AS (SELECT p_partkey AS id, replace(p_name, ' ', CASE WHEN p_size > 25 THEN '' ELSE ' ' END) AS name, '0' AS status, repeat(p_type, p_size) AS description FROM part)"""
 _OK = "regexp_matches(name, '^[a-zA-Z0-9]+$') AND length(name) BETWEEN 2 AND 50 AND length(description) <= 255"
 

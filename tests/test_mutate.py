@@ -171,6 +171,26 @@ def test_import_stays_in_the_tenant(spark, rows):
     assert rows(report) == [(1, "a", "updated"), (2, "b", "created")]
 
 
+def test_import_writes_rows_one_after_another(spark, rows):
+    """Nulls take nothing away, and a deleted row is neither changed nor doubled."""
+    ddl = "id bigint, name string, a string, b string, is_deleted boolean"
+    df = spark.createDataFrame([(1, "k1", "old", "old", False), (2, "gone", "old", "old", True), (3, "back", "x", "x", True),
+                                (4, "back", "y", "y", False)], ddl)
+    new = spark.createDataFrame([("k1", "first", None, 1), ("k1", None, "second", 2), ("k2", "p", None, 3), ("k2", None, "q", 4), ("k2", "r", None, 5),
+                                 ("gone", "z", "z", 6), ("back", "z", None, 7)], "name string, a string, b string, row_no bigint")
+    spec = TableSpec("t", tenant=None, creator=None, updater=None, created_time=None, updated_time=None)
+    out, report = U.import_upsert(df, new, "name", True, spec, CTX)
+    assert [(r.id, r.name, r.a, r.b) for r in out.orderBy("id").collect()] == [
+        (1, "k1", "first", "second"), (2, "gone", "old", "old"), (3, "back", "x", "x"), (4, "back", "z", "y"), (5, "k2", "r", "q")]
+    assert [o for *_, o in rows(report)] == ["updated", "updated", "created", "updated", "updated", "deleted", "updated"]
+
+
+def test_upsert_in_order(spark, rows):
+    df = spark.createDataFrame([("a", "old", "old")], "k string, x string, y string")
+    new = spark.createDataFrame([("a", "2", None, 2), ("a", "1", "1", 1), ("b", None, "z", 1), ("b", "w", None, 2)], "k string, x string, y string, no int")
+    assert rows(U.upsert(df, new, ["k"], order="no")) == [("a", "2", "1"), ("b", "w", "z")]
+
+
 def test_sync_columns(spark):
     ddl = "column_name string, column_type string, is_pk boolean, is_nullable boolean, is_list boolean, query_type string, html_type string"
     cur = spark.createDataFrame([("id", "int", True, False, True, "EQ", "input"), ("a", "int", False, False, False, "", "select"), ("gone", "x", False, True, True, "EQ", "input")], ddl)
