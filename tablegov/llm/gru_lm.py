@@ -5,8 +5,8 @@ the weights and does the numpy arithmetic; ``lm_score`` spreads both over Spark.
 
 Tokens 0 .. words - 1 are the most frequent words, then come ``buckets`` tokens
 that each stand for a set of rarer words, and last the end mark.  Frequent words
-are cut into classes of about equal square-root mass; every bucket, and the end
-mark, is a class with one member.  P(token) = P(class | state) P(token | class,
+are cut into classes of about equal square-root mass, buckets into classes of
+``BUCKETS_PER_CLASS``; the end mark is a class of its own.  P(token) = P(class | state) P(token | class,
 state), and a rarer word takes its share of its bucket from counts.
 
 Documents lie end to end in ``lanes``.  The state is carried from window to
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 
 F4 = np.float32
+BUCKETS_PER_CLASS = 8
 
 
 @dataclass(frozen=True)
@@ -40,13 +41,18 @@ class Spec:
     def end(self) -> int:
         return self.tokens - 1
 
+    @property
+    def bounds(self) -> tuple[int, ...]:
+        """First token of each class, and ``tokens`` at the end."""
+        groups = range(self.words, self.end, BUCKETS_PER_CLASS)
+        return tuple(dict.fromkeys((*self.starts[:-1], *groups, self.end, self.tokens)))
+
     @property
     def classes(self) -> int:
-        return len(self.starts) - 1 + self.buckets + 1
+        return len(self.bounds) - 1
 
     def class_of(self) -> np.ndarray:
-        word = np.searchsorted(np.array(self.starts[1:]), np.arange(self.words), side="right")
-        return np.concatenate([word, len(self.starts) - 1 + np.arange(self.buckets + 1)]).astype(np.int64)
+        return np.searchsorted(np.array(self.bounds[1:]), np.arange(self.tokens), side="right")
 
 
 def word_classes(counts: np.ndarray, classes: int) -> tuple[int, ...]:
@@ -66,7 +72,7 @@ def _shift(out: np.ndarray, bias: np.ndarray) -> np.float32:
 
 class Gru:
     """Weights: ``inp`` (a vector per token for the three gates), ``rec``,
-    ``out_c``/``bias_c`` (classes), ``out_w``/``bias_w`` (words within classes)."""
+    ``out_c``/``bias_c`` (classes), ``out_w``/``bias_w`` (tokens within classes)."""
 
     NAMES = ("inp", "rec", "out_c", "bias_c", "out_w", "bias_w")
 
@@ -78,7 +84,7 @@ class Gru:
     @classmethod
     def shapes(cls, spec: Spec) -> list[tuple[int, ...]]:
         h = spec.hidden
-        return [(spec.tokens, 3 * h), (h, 3 * h), (h, spec.classes), (spec.classes,), (spec.words, h), (spec.words,)]
+        return [(spec.tokens, 3 * h), (h, 3 * h), (h, spec.classes), (spec.classes,), (spec.tokens, h), (spec.tokens,)]
 
     @classmethod
     def start(cls, spec: Spec, counts: np.ndarray, seed: int = 0) -> Gru:
@@ -94,7 +100,7 @@ class Gru:
         smooth = counts.astype(float) + 0.1
         mass = np.bincount(spec.class_of(), weights=smooth, minlength=spec.classes)
         w["bias_c"][:] = np.log(mass / mass.sum())
-        w["bias_w"][:] = np.log(smooth[:spec.words])
+        w["bias_w"][:] = np.log(smooth)
         return cls(spec, w)
 
     # Weights as one vector, for averaging.
@@ -158,9 +164,9 @@ class Gru:
             grads["bias_c"] += score.sum(axis=0)
             dh = score @ w["out_c"].T
         order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(len(spec.starts)))
-        for k in range(len(spec.starts) - 1):
-            a, b = spec.starts[k], spec.starts[k + 1]
+        bounds = spec.bounds
+        edges = np.searchsorted(c[order], np.arange(len(bounds)))
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
             mine = order[edges[k]:edges[k + 1]]
             if b - a < 2 or not len(mine):
                 continue
@@ -265,7 +271,7 @@ def score(model: Gru, docs: list[np.ndarray], lanes: int = 256, steps: int = 32)
     return out
 
 
-def train(model: Gru, docs: list[np.ndarray], memory: dict, rate: float, lanes: int = 256, steps: int = 16,
+def train(model: Gru, docs: list[np.ndarray], memory: dict, rate: float, lanes: int = 384, steps: int = 16,
           clip: float = 5.0) -> int:
     """One pass over ``docs``; ``memory`` holds the squared gradients of the
     step-size rule.  Returns the number of tokens that gave gradients."""

@@ -46,7 +46,7 @@ BUCKETS = 48
 WORD_CLASSES = 32
 HIDDEN = 16
 ROUNDS = 3
-RATES = (0.2, 0.1, 0.05)
+RATES = (0.3, 0.15, 0.08)
 
 _ADD = 0.1
 _SEED = 42

@@ -30,3 +30,44 @@ def test_later_windows_of_a_short_document_train(spark):
         frame = spark.createDataFrame([(bytearray(doc.tobytes()),)], "ids binary")
         got.append(lm_score.train_round(frame, spec, start, 0.1))
     assert all(np.abs(got[0] - other).max() > 1e-4 for other in got[1:])
+
+
+def test_score_equals_scalar_steps():
+    """Log-likelihoods against the formulas, one document, step and unit at a time."""
+    spec, docs = spec_and_docs()
+    model = gru_lm.Gru.start(spec, np.arange(9, 0, -1), seed=5)
+    model.w["rec"] *= 3
+    w, n = {k: v.astype(float).tolist() for k, v in model.w.items()}, spec.hidden
+    bounds = spec.bounds
+
+    def step(token, h):
+        if token == spec.end:
+            h = [0.0] * n
+        gate = w["inp"][token]
+        u = [sum(h[i] * w["rec"][i][j] for i in range(n)) for j in range(3 * n)]
+        z, r = ([1 / (1 + np.exp(-(gate[o + j] + u[o + j]))) for j in range(n)] for o in (0, n))
+        cand = [np.tanh(gate[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+        return [h[j] + z[j] * (cand[j] - h[j]) for j in range(n)]
+
+    def log_p(token, h):
+        c = next(k for k in range(spec.classes) if bounds[k] <= token < bounds[k + 1])
+        outer = [sum(h[i] * w["out_c"][i][k] for i in range(n)) + w["bias_c"][k] for k in range(spec.classes)]
+        inner = {t: sum(h[i] * w["out_w"][t][i] for i in range(n)) + w["bias_w"][t] for t in range(bounds[c], bounds[c + 1])}
+        return outer[c] - np.log(sum(map(np.exp, outer))) + inner[token] - np.log(sum(map(np.exp, inner.values())))
+
+    for doc, got in zip(docs, gru_lm.score(model, docs, lanes=3, steps=16)):
+        h, before, total = [0.0] * n, spec.end, 0.0
+        for token in doc.tolist():
+            h = step(before, h)
+            total += log_p(token, h)
+            before = token
+        assert abs(total - got) < 1e-4 * max(1, abs(total))
+
+
+def test_classes_cover_all_tokens():
+    spec = gru_lm.Spec(100, 20, 4, gru_lm.word_classes(np.arange(100, 0, -1), 5))
+    assert spec.bounds[0] == 0 and spec.bounds[-2:] == (120, 121) and {100, 108, 116} <= set(spec.bounds)
+    c = spec.class_of()
+    assert (np.diff(c) >= 0).all() and c[-1] == spec.classes - 1 and len(set(c)) == spec.classes
+    empty = gru_lm.Spec(0, 3, 4, (0,))
+    assert empty.bounds == (0, 3, 4) and empty.class_of().tolist() == [0, 0, 0, 1]
