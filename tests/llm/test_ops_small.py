@@ -320,6 +320,17 @@ def test_histogram_shards(spark):
     assert few.count() == 1
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    names = ("_group", "_tie", "_size", "_at", "_range", "_first", "_n", "_before")
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(3).alias("size"), F.xxhash64("id").alias("g"),
+                                *[F.concat(F.lit(n), F.col("id").cast("string")).alias(n) for n in names])
+    rows = sharding.histogram_shards(df, 4, "doc_id", "size", "g").collect()
+    assert len(rows) == 50 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    for taken in ("shard", "SLOT"):
+        with pytest.raises(ValueError, match=taken.lower()):
+            sharding.histogram_shards(df.withColumn(taken, F.lit(1)), 4, "doc_id", "size", "g")
+
+
 # 7
 
 
