@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegov.functions import checks as K
 from tablegov.functions import content as C
@@ -348,16 +348,20 @@ def _(v):
 
 # --- sources ------------------------------------------------------------------
 
-_SCANNED = ["orders", "lineitem", "customer", "documents", "events"]
+_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+           "conversations").split()
 
 
-@query("scan_files", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, false AS hidden FROM {t}" for t in _SCANNED))
+@query("scan_files", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS n_rows, false AS hidden, true AS has_size FROM {t}" for t in _TABLES))
 def _(v):
+    """Every file that is found, with its rows: without a column to read, files of any schema are one table."""
     files = A.scan_files(v.spark, v.dir, name_like=".parquet").select(
-        _plain_path(F.col("path")).alias("path"), F.regexp_extract("path", r"(\w+)\.parquet", 1).alias("name"), "is_hidden")
-    read = [getattr(v, t).select(_plain_path(F.col("_metadata.file_path")).alias("path")) for t in _SCANNED]
-    counted = reduce(lambda a, b: a.unionByName(b), read).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    return files.join(counted, "path").groupBy("name").agg(F.sum("n").alias("n_rows"), F.max("is_hidden").alias("hidden"))
+        _plain_path(F.col("path")).alias("path"), F.regexp_extract("path", r"(\w+)\.parquet", 1).alias("name"), "size", "is_hidden")
+    rows = v.spark.read.schema(T.StructType()).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(v.dir)
+    counted = rows.select(_plain_path(F.col("_metadata.file_path")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return files.join(counted, "path", "left").groupBy("name").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.max("is_hidden").alias("hidden"), (F.sum("size") > 0).alias("has_size"))
 
 
 def _plain_path(path):

@@ -154,6 +154,16 @@ def _(v):
     return R.granted_menus(roles, v.role_menu, v.menu, _allowed(v), _role_tenants(v))
 
 
+@query("granted_parts_of_user", f"""WITH {_ALLOWED}, g AS (SELECT DISTINCT rm.role_id AS user_id, m.id AS menu_id, n_regionkey AS tenant_id FROM v_role_menu rm
+        JOIN v_menu m ON m.id = rm.menu_id JOIN supplier ON s_suppkey = rm.role_id JOIN nation ON n_nationkey = s_nationkey
+        WHERE m.status = '0' AND m.type IN (1, 2, 4) AND m.client = 'pc' AND rm.role_id = 7)
+    SELECT user_id, menu_id FROM g WHERE tenant_id NOT IN (SELECT tenant_id FROM allowed)
+        OR (tenant_id, menu_id) IN (SELECT (tenant_id, menu_id) FROM allowed)""")
+def _(v):
+    roles = v.role.select(F.col("id").alias("user_id"), F.col("id").alias("role_id"))
+    return R.granted_menus(roles, v.role_menu, v.menu, _allowed(v), _role_tenants(v), user_id=7)
+
+
 @query("session_dept", """SELECT c.conv_id, c.turn, d.name AS team_name FROM conversations c LEFT JOIN v_dept d
     ON d.id = TRY_CAST(CASE WHEN c.role = 'system' THEN 'team' ELSE CAST(c.turn AS VARCHAR) END AS BIGINT)""")
 def _(v):
