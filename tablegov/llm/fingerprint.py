@@ -1,12 +1,13 @@
 """Homomorphic multiset hashes of documents, in DataFrame functions only.
 
 A document is the multiset of its paragraphs.  A paragraph is hashed to a wide
-vector of ``LANES`` bits, from four salted XXH64 values, and the vectors are
-added lane by lane: three lanes of 20 bits share one 64-bit word, and words are
-added modulo powers of two.  The sum does not depend on the order; a paragraph
-is inserted or deleted by adding or subtracting its vector (``combine``).  Two
-documents have the same fingerprint when they hold the same paragraphs equally
-often; for different multisets all lanes agree with a chance of about 2^-240.
+vector of ``LANES`` bits, from three salted XXH64 values, and the vectors are
+added lane by lane modulo 2^31: two lanes share one 64-bit word, each with a
+spare bit, so no lane ever carries into another.  The sum does not depend on the
+order; a paragraph is inserted or deleted by adding or subtracting its vector
+(``combine``).  Two documents have the same fingerprint when they hold the same
+paragraphs equally often; for different multisets all lanes agree with a chance
+of about 2^-192.
 
 The lanes also tell how alike two documents are: with the bits read as +1 and
 -1, the product of two sums is on average the number of shared paragraphs, so
@@ -17,7 +18,8 @@ exchange: documents already lie by ranges of ids, which ``with_next`` makes.
 
 Nulls: a null text is an empty one, and an empty text has no paragraphs: all
 lanes are zero, and two such texts are alike (1.0).  Any length of text is
-hashed whole.  Ids must be integers; null ids come last, and equal ids follow
+hashed whole: a text has fewer than 2^31 paragraphs, so its counters never wrap.
+``sum_paragraphs`` over a key with more fails with an overflow error.  Ids must be integers; null ids come last, and equal ids follow
 their text hash.  Other columns of the input are ignored.
 """
 
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 # A paragraph ends with a line or a sentence; it keeps its end, so the pieces spell the text.
 PARAGRAPH = r"(?<=\n)|(?<=[.!?][ ])"
 
-_SALTS, _SHIFTS, _LANE_BITS = 4, 20, 20
+_SALTS, _SHIFTS = 3, 32
 WORDS = _SALTS * _SHIFTS
-LANES = 3 * WORDS
-# Bits i, i + 20 and i + 40 of a hash value.
-_THREE = 1 | 1 << _LANE_BITS | 1 << 2 * _LANE_BITS
-_LANE = (1 << _LANE_BITS) - 1
+LANES = 2 * WORDS
+# Bits i and i + 32 of a hash value, and the two counters of a word.
+_TWO = 1 | 1 << 32
+_LANE = (1 << 31) - 1
 
 # Documents of one range of ids; a range is sorted by one task.
 ROWS_PER_RANGE = 50_000
@@ -50,16 +52,26 @@ def sum_paragraphs(pieces: DataFrame, keys: list[str], name: str = "lanes", piec
         {f"_h{s}": F.xxhash64(F.lit(s), piece) for s in range(_SALTS)})
     there = (F.length(piece) > 0).cast("long")
     pieces = pieces.withColumn("_there", there)
-    mask = F.lit(_THREE) * F.col("_there")
+    mask = F.lit(_TWO) * F.col("_there")
     sums = [F.sum(F.shiftrightunsigned(f"_h{s}", j).bitwiseAND(mask)).alias(f"_w{s}_{j}")
             for s in range(_SALTS) for j in range(_SHIFTS)]
     summed = pieces.groupBy(*keys).agg(*sums, F.sum("_there").alias("_n"))
     return summed.select(*keys, F.array(*[f"_w{s}_{j}" for s in range(_SALTS) for j in range(_SHIFTS)], "_n").alias(name))
 
 
+def _lane(word: Column, i: int) -> Column:
+    return F.shiftrightunsigned(word, 32 * i).bitwiseAND(F.lit(_LANE))
+
+
 def combine(lanes: Column, change: Column, sign: int = 1) -> Column:
     """Lanes after inserting (or, with -1, deleting) what ``change`` sums up."""
-    return F.zip_with(lanes, change, lambda a, b: a + F.lit(sign) * b)
+    def add(a: Column, b: Column) -> Column:
+        low, high = [(_lane(a, i) + F.lit(sign) * _lane(b, i)).bitwiseAND(F.lit(_LANE)) for i in range(2)]
+        return F.shiftleft(high, 32).bitwiseOR(low)
+
+    words = F.zip_with(F.slice(lanes, 1, WORDS), F.slice(change, 1, WORDS), add)
+    n = F.get(lanes, F.lit(WORDS)) + F.lit(sign) * F.get(change, F.lit(WORDS))
+    return F.concat(words, F.array(n))
 
 
 def fingerprint_of(lanes: Column) -> Column:
@@ -72,11 +84,8 @@ def likeness(a: Column, b: Column) -> Column:
     def product(x: Column, y: Column) -> Column:
         n, m = F.get(x, F.lit(WORDS)), F.get(y, F.lit(WORDS))
 
-        def lane(word: Column, i: int) -> Column:
-            return F.shiftrightunsigned(word, i * _LANE_BITS).bitwiseAND(F.lit(_LANE)) * 2
-
         def word(p: Column, q: Column) -> Column:
-            return sum((lane(p, i) - n) * (lane(q, i) - m) for i in range(3))
+            return sum((_lane(p, i) * 2 - n).cast("double") * (_lane(q, i) * 2 - m) for i in range(2))
 
         return F.aggregate(F.zip_with(F.slice(x, 1, WORDS), F.slice(y, 1, WORDS), word), F.lit(0.0), lambda t, v: t + v)
 

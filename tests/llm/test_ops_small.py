@@ -80,10 +80,10 @@ def test_multiset_hash_is_homomorphic(spark):
     assert both.select(fingerprint.combine(F.col("lanes"), F.col("d"), -1)).first()[0] == lanes["c"]
     expected = [0] * (fingerprint.WORDS + 1)
     for piece in ("p", "q", "q"):
-        for salt in range(4):
+        for salt in range(3):
             h = xxhash.xxh64_intdigest(piece.encode(), xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), 42))
-            for j in range(20):
-                expected[salt * 20 + j] += h >> j & (1 | 1 << 20 | 1 << 40)
+            for j in range(32):
+                expected[salt * 32 + j] += h >> j & (1 | 1 << 32)
         expected[-1] += 1
     assert expected[-1] == lanes["a"][-1]
     alike = summed.where("k = 'a'").join(summed.select(F.col("lanes").alias("o"), F.col("k").alias("ok"))).select(
@@ -92,6 +92,62 @@ def test_multiset_hash_is_homomorphic(spark):
     assert likes["b"] == 1.0 and 0.5 < likes["c"] < 1.0 and likes["e"] == 0.0
 
 
+def lanes_of(text):
+    """Counters of every bit, paragraph by paragraph, and the number of paragraphs."""
+    pieces = Counter(p for p in re.split(fingerprint.PARAGRAPH, text) if p)
+    lanes = np.zeros(fingerprint.LANES, np.int64)
+    for piece, n in pieces.items():
+        bits = []
+        for salt in range(3):
+            h = xxhash.xxh64_intdigest(piece.encode(), xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), 42))
+            bits += [h >> j & 1 for j in range(64)]
+        lanes += n * np.array(bits)
+    return lanes, sum(pieces.values())
+
+
+def brute_likeness(a, b):
+    (x, n), (y, m) = lanes_of(a), lanes_of(b)
+    if n == m and (x == y).all():
+        return 1.0
+    x, y = (2 * x - n).astype(float), (2 * y - m).astype(float)
+    size = x @ x + y @ y
+    return min(max(2 * (x @ y) / size, 0.0), 1.0) if size else 0.0
+
+
+def packed(text):
+    lanes, n = lanes_of(text)
+    return [int(lanes[64 * s + j] + (lanes[64 * s + 32 + j] << 32)) for s in range(3) for j in range(32)] + [n]
+
+
+@pytest.mark.parametrize("texts", [
+    [t for i, t in TEXTS if i and i not in (6, 8)],
+    ["\n" * ((1 << 20) + 8), "\n" * ((1 << 20) + 7) + "x\n"]],
+    ids=["small", "many paragraphs"])
+def test_fingerprints_of_whole_texts(spark, texts):
+    """Sums and both likenesses against counters kept one by one, also beyond 2^20 paragraphs."""
+    rows = list(enumerate(texts, 1))
+    own = fingerprint.edited(spark.createDataFrame(rows, SCHEMA)).select(
+        "*", fingerprint.likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+        fingerprint.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
+    got = {r["doc_id"]: r for r in own.collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        text, following = text or "", texts[(i - 2) % len(texts)] or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        assert got[i]["lanes"] == packed(text) and got[i]["edited_lanes"] == packed(edited)
+        assert got[i]["near_edited"] == pytest.approx(brute_likeness(text, edited), abs=1e-9)
+        assert got[i]["near_next"] == pytest.approx(brute_likeness(text, following), abs=1e-9)
+
+
+def test_sums_beyond_2_to_the_23(spark):
+    """Counters neither carry nor overflow."""
+    n = 9_000_000
+    pieces = spark.range(n).select(F.lit("k").alias("k"), F.when(F.col("id") < 3, "x").otherwise("\n").alias("piece"))
+    lanes = fingerprint.sum_paragraphs(pieces, ["k"]).first()["lanes"]
+    assert lanes == [3 * a + (n - 3) * b for a, b in zip(packed("x"), packed("\n"))]
+
+
 def test_edited_of_one_and_none(spark, nothing):
     assert fingerprint.edited(nothing).count() == 0
     row = fingerprint.edited(spark.createDataFrame([(5, "abcd")], SCHEMA)).first()
