@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from tablegov.functions import cron as R
 from tablegov.functions import files as P
 from tablegov.functions import text as X
 from tablegov.plans.registry import query
+from tablegov.session import ensure_checkpoint_dir
 from tablegov.sources import io as A
 
 # --- text ---------------------------------------------------------------------
@@ -375,6 +377,45 @@ def _(v):
     return A.apply_headers(sheet, {"名称": "name", "状态": "status"})
 
 
+_SHEET = """SELECT row_number() OVER (ORDER BY o_orderkey) AS row_no, o_orderkey AS k, o_orderstatus AS s, CAST(o_orderdate AS DATE) AS d,
+    CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS a FROM orders"""
+_BROKEN = "(k % 11 = 0 OR k % 13 = 0)"
+
+
+def _upload(v):
+    """Orders as an uploaded CSV with broken lines: wrong amounts and dates, no status, a value too many, a value short."""
+    ensure_checkpoint_dir(v.spark)
+    path = f"{v.spark.sparkContext.getCheckpointDir()}/upload-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    amount = F.when(k % 5 == 0, "n/a").otherwise(F.col("o_totalprice").cast("decimal(15,2)").cast("string"))
+    day = F.when(k % 7 == 0, "2024-13-45").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    status = F.when(k % 3 == 0, "").otherwise(F.col("o_orderstatus"))
+    line = F.when(k % 11 == 0, F.concat_ws(",", k, day)).otherwise(F.concat_ws(
+        ",", k, day, amount, status, F.when(k % 13 == 0, "more")))
+    # One column between tabs, so that no comma is quoted.
+    v.orders.orderBy("o_orderkey").select(line.alias("编号,日期,金额,状态")).write.options(header=True, sep="\t").csv(path)
+    return A.read_checked(v.spark, path, {"编号": ("id", "bigint"), "日期": ("day", "date"), "金额": ("amount", "decimal(15,2)"),
+                                          "状态": ("status", "string")}, ("id", "status"))
+
+
+@query("import_checked", f"""SELECT row_no, k AS id, strftime(d, '%Y-%m-%d') AS day, CAST(a AS DOUBLE) AS amount, s AS status FROM ({_SHEET})
+    WHERE NOT {_BROKEN} AND k % 5 <> 0 AND k % 7 <> 0 AND k % 3 <> 0""")
+def _(v):
+    return _upload(v)[0].select("row_no", "id", F.col("day").cast("string").alias("day"), F.col("amount").cast("double").alias(
+        "amount"), "status")
+
+
+@query("import_rejects", f"""WITH t AS (SELECT row_no, k, CASE WHEN k % 5 = 0 THEN 'n/a' ELSE a END AS a, CASE WHEN k % 3 = 0 THEN '' ELSE s END AS s,
+        CASE WHEN k % 7 = 0 THEN '2024-13-45' ELSE strftime(d, '%Y-%m-%d') END AS d FROM ({_SHEET}))
+    SELECT row_no, NULL AS field, CASE WHEN k % 11 = 0 THEN k || ',' || d WHEN k % 13 = 0 THEN k || ',' || d || ',' || a || ',' || s || ',more' END AS value,
+        'columns' AS reason FROM t WHERE {_BROKEN}
+    UNION ALL SELECT row_no, 'amount', a, 'type' FROM t WHERE a = 'n/a' AND NOT {_BROKEN}
+    UNION ALL SELECT row_no, 'day', d, 'type' FROM t WHERE k % 7 = 0 AND NOT {_BROKEN}
+    UNION ALL SELECT row_no, 'status', NULL, 'required' FROM t WHERE s = '' AND NOT {_BROKEN}""")
+def _(v):
+    return _upload(v)[1]
+
+
 @query("export_columns", "SELECT o_orderkey AS \"编号\", o_orderstatus AS \"状态\" FROM orders")
 def _(v):
     return A.export_columns(v.orders, {"o_orderkey": "编号", "o_orderstatus": "状态"})

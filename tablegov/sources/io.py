@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegov.operators.conditions import where
 from tablegov.operators.ordering import number_rows
-
-# Fixed value: most rows an export may hold.
+from tablegov.session import sized
 
 
 def _or_none(load) -> DataFrame | None:
@@ -111,6 +110,56 @@ def read_import(spark: SparkSession, path: str, headers: dict[str, str]) -> Data
     return apply_headers(df, headers)
 
 
+def read_checked(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]],
+                 required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """A CSV upload as typed rows and as rejects.  ``fields`` maps a header to the
+    field's name and type; ``required`` holds names of fields.
+
+    The first frame has ``row_no`` and the fields of every row without a fault.
+    The second has a row for every fault: ``row_no``, ``field``, ``value`` and
+    ``reason``, which is ``columns`` (more or fewer values than headers; the field
+    is null and the value is the whole line), ``required`` or ``type``.  Rows are
+    numbered from 1 over all files by their names, header and blank lines apart.
+
+    Numbering moves no row: a row's place in its part of a file comes from the
+    scan, and only the counts of the parts are ordered."""
+    headers = spark.read.csv(path, header=True).columns
+    missing = [h for h in fields if h not in headers]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    line = "_line"
+    while line in headers:
+        line += "_"
+    names = [f"_c{i}" for i in range(len(headers))]
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in [*headers, line]])
+    # Pruned columns would hide rows with too many or too few values.
+    read = spark.read.schema(schema).options(
+        header=True, enforceSchema=False, columnNameOfCorruptRecord=line, columnPruning=False).csv(path)
+    rows = read.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(headers, names)], F.col(f"`{line}`").alias("_line"),
+                       F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+                       F.monotonically_increasing_id().alias("_at"))
+    parts = rows.groupBy("_file", "_from").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_file", "_from", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(sized(parts), ["_file", "_from"]).withColumn("row_no", F.col("_at") - F.col("_first") + F.col("_before") + 1)
+
+    def fault(when: Column, field: str | None, value: Column, reason: str) -> Column:
+        return F.when(when, F.struct(F.lit(field).cast("string").alias("field"), value.alias("value"),
+                                     F.lit(reason).alias("reason")))
+
+    whole = F.col("_line").isNull()
+    faults, typed = [fault(~whole, None, F.col("_line"), "columns")], []
+    for header, (name, kind) in fields.items():
+        value = F.col(names[headers.index(header)])
+        typed.append(value.try_cast(kind).alias(name))
+        faults.append(fault(whole & value.isNotNull() & value.try_cast(kind).isNull(), name, value, "type"))
+        if name in required:
+            faults.append(fault(whole & value.isNull(), name, value, "required"))
+    rows = rows.withColumn("_faults", F.array_compact(F.array(*faults)))
+    return (rows.where(F.size("_faults") == 0).select("row_no", *typed),
+            rows.select("row_no", F.inline("_faults")))
+
+
 def export_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(field).alias(title) for field, title in mapping.items()])
 

@@ -44,6 +44,43 @@ def test_import_and_export(spark, tmp_path, rows):
         A.apply_headers(df.limit(0), {"id": "id"})
 
 
+def test_checked_import(spark, tmp_path, rows):
+    """Typed rows and one reject per fault, numbered over the files."""
+    home = tmp_path / "up"
+    home.mkdir()
+    (home / "a.csv").write_text("编号,_line,extra,金额\n1,x,,1.50\n2,,e,oops\n3,x\n\n4,x,,2.5,more\n,y,,3\n")
+    (home / "b.csv").write_text("编号,_line,extra,金额\nseven,,,none\n8,z,,\n")
+    fields = {"金额": ("amount", "decimal(9,2)"), "编号": ("id", "int"), "_line": ("row", "string")}
+    good, rejects = A.read_checked(spark, str(home), fields, ("id", "row"))
+    assert [(r[0], float(r[1]) if r[1] else None, *r[2:]) for r in rows(good)] == [(1, 1.5, 1, "x"), (7, None, 8, "z")]
+    assert sorted(map(tuple, rejects.collect()), key=str) == sorted([
+        (2, "amount", "oops", "type"), (2, "row", None, "required"), (3, None, "3,x", "columns"),
+        (4, None, "4,x,,2.5,more", "columns"), (5, "id", None, "required"), (6, "amount", "none", "type"),
+        (6, "id", "seven", "type"), (6, "row", None, "required")], key=str)
+    assert good.count() == 2 and rejects.select("reason").count() == 8 and good.columns == ["row_no", "amount", "id", "row"]
+    with pytest.raises(ValueError):
+        A.read_checked(spark, str(home), {"状态": ("status", "string")})
+    (home / "a.csv").write_text("编号,_line,extra,金额\n")
+    (home / "b.csv").write_text("编号,_line,extra,金额\n")
+    good, rejects = A.read_checked(spark, str(home), fields)
+    assert good.isEmpty() and rejects.isEmpty()
+
+
+def test_checked_import_numbers_many_parts(spark, tmp_path, rows):
+    """Files of several parts: the numbers follow the files."""
+    path = str(tmp_path / "many")
+    spark.range(5000).select(F.col("id").cast("string").alias("no"), F.repeat(F.lit("x"), 40).alias("pad")).repartitionByRange(
+        3, F.col("no").cast("int")).sortWithinPartitions(F.col("no").cast("int")).write.option("header", True).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        good, _ = A.read_checked(spark, path, {"no": ("no", "bigint")})
+        assert good.where("row_no = no + 1").count() == good.count() == 5000
+        assert good.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_export_rows(spark):
     df = spark.range(20)
     assert [r.id for r in A.export_rows(df, "current", page_no=2, page_size=5).collect()] == [5, 6, 7, 8, 9]
