@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.operators.ordering import number_in_ranges, range_id, running_depth
+from tablegov.operators.ordering import first_of_key, number_in_ranges, range_id, running_depth
 from tablegov.session import cut
 
 # Event kind to the status it leaves behind.
@@ -79,8 +79,9 @@ def active_sessions(events: DataFrame, ttl_seconds: int, now: str, session="sess
                     tiebreak="event_id") -> DataFrame:
     """Sessions whose last event is a login not older than the ttl at ``now``."""
     at = F.lit(now).cast(events.schema[ts].dataType)
-    last = events.filter(F.col(ts) <= at).groupBy(session).agg(F.max(F.struct(ts, tiebreak, kind)).alias("_last"))
-    return last.select(session, F.col(f"_last.{ts}").alias("login_time"), F.col(f"_last.{kind}").alias("_kind")).filter(
+    last = first_of_key(events.select(session, ts, tiebreak, kind).filter(F.col(ts) <= at), [session],
+                        [(ts, "desc"), (tiebreak, "desc")])
+    return last.select(session, F.col(ts).alias("login_time"), F.col(kind).alias("_kind")).filter(
         (F.col("_kind") == "login")
         & (F.col("login_time") + F.expr(f"interval {int(ttl_seconds)} seconds") > at)).drop("_kind")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablegov.functions.files import ancestors_of, path_parent
 from tablegov.functions.text import handler_label
-from tablegov.operators.ordering import number_rows
+from tablegov.operators.ordering import first_of_key, number_rows
 
 # Handlers left out of request metrics, latency bucket bounds (s).
 EXCLUDED_HANDLERS = ["/metrics", "/health", "/health/live", "/health/ready", "/docs", "/redoc", "/ljdoc",
@@ -235,13 +235,8 @@ def compare_periods(df: DataFrame, slot: Column, period: Column, value: Column,
 # --- windows ------------------------------------------------------------------
 
 def latest_per_key(df: DataFrame, key: list[str], ts: str, tiebreak: str, cond: Column | None = None) -> DataFrame:
-    """Newest row per key.  ``max`` of a struct combines before the shuffle, so a
-    hot key sends one row per task; a ranking window would sort all of it."""
-    rows = df if cond is None else df.filter(cond)
-    rest = [c for c in df.columns if c not in key]
-    best = F.max(F.struct(F.col(ts).alias("_ts"), F.col(tiebreak).alias("_id"), *rest)).alias("_best")
-    out = rows.groupBy(*key).agg(best)
-    return out.select(*[F.col(c) if c in key else F.col(f"_best.{c}").alias(c) for c in df.columns])
+    """Newest row per key; of equal times the largest ``tiebreak``."""
+    return first_of_key(df if cond is None else df.filter(cond), key, [(ts, "desc"), (tiebreak, "desc")])
 
 
 def row_index(df: DataFrame, order, name: str = "row_no") -> DataFrame:

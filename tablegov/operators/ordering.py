@@ -178,3 +178,28 @@ def running_depth(df: DataFrame, key: str, order, step: str) -> DataFrame:
     low_before = F.least(zero, F.col("_floor"), F.coalesce(F.col("_base") + F.col("_m_before"), zero))
     return local.withColumn("depth", (total - low).cast("long")).withColumn(
         "depth_before", (total - F.col(step) - low_before).cast("long")).select(*df.columns, "depth_before", "depth")
+
+
+def first_of_key(df: DataFrame, keys: list[str], order) -> DataFrame:
+    """The first row of every key in ``order``; nulls come first in ascending and
+    last in descending columns, rows equal in ``order`` follow their other columns.
+
+    Two steps: the best first value of a key is a hash aggregate on two or few
+    narrow columns, combined before the shuffle.  Only the rows that have it are
+    joined back, spread by key and value, so a hot key is no hot task; the other
+    columns decide among them, again cut down before the shuffle.  ``df`` is read
+    twice, the first time without its other columns."""
+    if not df.columns[len(keys):]:
+        return df.distinct()
+    spec = normalise(order)
+    lead, direction = spec[0]
+    best = F.max(lead) if direction == "desc" else F.when(F.count_if(F.col(lead).isNull()) == 0, F.min(lead))
+    found = df.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(best.alias("__lead"))
+    same = F.col(lead).eqNullSafe(F.col("__lead"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    named = [c for c, _ in spec]
+    by = sort_columns(spec) + [F.col(c).desc() for c in df.columns if c not in named and c not in keys
+           and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    return df.join(found, same).withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(
+        "__place = 1").select(*df.columns)

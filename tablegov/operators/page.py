@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegov.operators.conditions import where
-from tablegov.operators.ordering import normalise, number_rows, sort_columns
+from tablegov.operators.ordering import first_of_key, normalise, number_rows, sort_columns
 
 # Page size bounds, default page order, cap of a file listing.
 MAX_PAGE_SIZE = 100
@@ -182,15 +182,5 @@ def intersect_ids(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame, keys: list[str], keep_order=None) -> DataFrame:
-    """One row per key: any, or the first in ``keep_order`` (picked by an
-    aggregate that combines before the shuffle)."""
-    if keep_order is None:
-        return df.dropDuplicates(keys)
-    rest = [c for c in df.columns if c not in keys]
-    spec = normalise(keep_order)
-    if len({d for _, d in spec}) != 1:
-        raise ValueError("keep_order needs one direction")
-    pick = F.max if spec[0][1] == "desc" else F.min
-    rank = F.struct(*[F.col(c).alias(f"_o{i}") for i, (c, _) in enumerate(spec)], *[F.col(c) for c in rest])
-    out = df.groupBy(*keys).agg(pick(rank).alias("_best"))
-    return out.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+    """One row per key: any, or the first in ``keep_order``."""
+    return df.dropDuplicates(keys) if keep_order is None else first_of_key(df, keys, keep_order)

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegov.operators import jobs as J
+from tablegov.operators import metrics as M
+from tablegov.operators import page as P
 from tablegov.operators.metrics import exact_percentile
-from tablegov.operators.ordering import number_rows, range_id, running_depth, sort_columns
+from tablegov.operators.ordering import first_of_key, number_rows, range_id, running_depth, sort_columns
 from tablegov.streaming.streams import Runs
 from tests.test_streaming import MapState
 
@@ -154,3 +156,45 @@ def test_mixed_directions_give_even_ranges(spark):
     bucket = range_id(df, [("status", "desc"), ("amount", "asc"), ("id", "asc")], ranges=50, small_rows=0)
     sizes = [r["count"] for r in df.groupBy(bucket.alias("r")).count().collect()]
     assert len(sizes) >= 45 and max(sizes) < 3 * 20_000 / 50
+
+
+@pytest.mark.parametrize("order", [
+    [("ts", "desc"), ("id", "desc")], [("ts", "asc"), ("id", "desc")], [("name", "desc"), ("ts", "asc"), ("id", "asc")],
+    [("x", "desc"), ("id", "asc")]])
+def test_first_of_key(spark, order):
+    """Null keys and values, ties, repeated rows and a key that holds most rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 1, 1, 1, 2, 3, n]), rng.choice([None, "a", "b"]), rng.choice([None, 5, 6, 7]), rng.randrange(40),
+             rng.choice(["u", "v", None]), rng.choice([None, 0.5, float("nan"), -1.0])) for n in range(600)]
+    df = spark.createDataFrame(rows, "k int, l string, ts int, id int, name string, x double").repartition(5)
+    names = df.columns
+
+    def rank(row):
+        """Sorts as asked, then the other columns downwards."""
+        out = []
+        for c, d in [*order, *[(c, "desc") for c in names if c not in ("k", "l") and c not in dict(order)]]:
+            v = row[names.index(c)]
+            v = (v is not None, v != v if v is not None else False, 0 if v is None or v != v else v)
+            out.append((d, v))
+        return out
+
+    def before(a, b):
+        for (d, x), (_, y) in zip(rank(a), rank(b)):
+            if x != y:
+                return (x > y) == (d == "desc")
+        return False
+
+    want = {}
+    for row in rows:
+        if row[:2] not in want or before(row, want[row[:2]]):
+            want[row[:2]] = row
+    got = first_of_key(df, ["k", "l"], order).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.values()))
+    assert first_of_key(df.limit(0), ["k", "l"], order).count() == 0
+
+
+def test_newest_rows_need_no_sort_aggregate(spark):
+    df = spark.range(50).selectExpr("id % 4 AS k", "id AS ts", "id AS event_id", "'login' AS kind", "'wide' AS name")
+    for frame in (M.latest_per_key(df, ["k"], "ts", "event_id"), P.dedupe(df, ["k"], [("ts", "asc"), ("event_id", "desc")]),
+                  J.active_sessions(df.withColumn("ts", F.timestamp_seconds("ts")), 8, "1970-01-01 00:01:00", "k")):
+        assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
