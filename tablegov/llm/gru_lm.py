@@ -12,7 +12,9 @@ state), and a rarer word takes its share of its bucket from counts.
 Documents lie end to end in ``lanes``.  The state is carried from window to
 window and reset after an end mark, so that a document of any length is scored
 as one sequence.  Training goes through all windows in the same way, and
-back-propagates (truncated to the window) in each of them.
+back-propagates (truncated to the window) in each of them.  A window holds about
+the same number of tokens whether many lanes are live or only that of one long
+document, and lanes are cut window by window, so that memory follows the tokens.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 
 F4 = np.float32
 BUCKETS_PER_CLASS = 8
+LONG = 16
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ class Spec:
         return len(self.bounds) - 1
 
     def class_of(self) -> np.ndarray:
-        return np.searchsorted(np.array(self.bounds[1:]), np.arange(self.tokens), side="right")
+        return np.searchsorted(np.array(self.bounds[1:]), np.arange(self.tokens), side="right").astype(np.uint16)
 
 
 def word_classes(counts: np.ndarray, classes: int) -> tuple[int, ...]:
@@ -64,10 +67,15 @@ def word_classes(counts: np.ndarray, classes: int) -> tuple[int, ...]:
     return tuple(int(x) for x in np.unique(np.r_[0, np.minimum(cuts, len(counts)), len(counts)]))
 
 
-def _shift(out: np.ndarray, bias: np.ndarray) -> np.float32:
-    """What to take off all scores so that none can overflow: states lie between
+def _with_bias(out: np.ndarray, bias: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows of ``out`` with ``bias`` as one more column.  Each group of rows (from
+    its start on) is lowered so that no score can overflow: states lie between
     -1 and 1, so a score is at most its bias and the sum of its weights."""
-    return F4(max(0.0, float((np.abs(out).sum(axis=1) + bias).max()) - 60.0))
+    both = np.empty((len(out), out.shape[1] + 1), F4)
+    both[:, :-1] = out
+    most = np.maximum.reduceat(np.abs(out).sum(axis=1) + bias, starts)
+    both[:, -1] = bias - np.repeat(np.maximum(most - F4(60.0), F4(0.0)), np.diff(np.r_[starts, len(out)]))
+    return both
 
 
 class Gru:
@@ -146,67 +154,93 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of tokens ``y`` (n,) in states ``h`` (n, hidden);
-        with ``grads``, also adds to them and returns the gradient of the states."""
+        with ``grads``, also adds to them and returns the gradient of the states.
+
+        Rows are put in the order of their class, so that those of a class are a
+        slice.  A softmax gradient is (scores - total at the token) / total; the
+        division is left to the narrow side of the products."""
         w, spec = self.w, self.spec
+        units, bounds = spec.hidden, np.array(spec.bounds)
+        order = np.argsort(self.class_of[y], kind="stable")
+        y = y[order]
         c = self.class_of[y]
         rows = np.arange(len(y))
-        score = h @ w["out_c"]
-        score += w["bias_c"] - _shift(w["out_c"].T, w["bias_c"])
-        picked = score[rows, c]
+        edges = np.searchsorted(c, np.arange(len(bounds)))
+        state = np.empty((len(y), units + 1), F4)
+        state[:, :units] = h[order]
+        state[:, units] = 1
+        outer = _with_bias(w["out_c"].T, w["bias_c"], np.zeros(1, np.int64))
+        words = _with_bias(w["out_w"], w["bias_w"], bounds[:-1])
+        ones = np.ones(max(spec.classes, int(np.diff(bounds).max())), F4)
+        score = state @ outer.T
+        log_p = score[rows, c]
         np.exp(score, out=score)
-        total = score @ np.ones(score.shape[1], F4)
-        log_p = picked - np.log(total)
+        total = score @ ones[:spec.classes]
+        log_p -= np.log(total)
         dh = None
         if grads is not None:
-            score /= total[:, None]
-            score[rows, c] -= 1
-            grads["out_c"] += h.T @ score
-            grads["bias_c"] += score.sum(axis=0)
-            dh = score @ w["out_c"].T
-        order = np.argsort(c, kind="stable")
-        bounds = spec.bounds
-        edges = np.searchsorted(c[order], np.arange(len(bounds)))
-        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            mine = order[edges[k]:edges[k + 1]]
-            if b - a < 2 or not len(mine):
+            score[rows, c] -= total
+            part = 1 / total[:, None]
+            g = (state * part).T @ score
+            grads["out_c"] += g[:units]
+            grads["bias_c"] += g[units]
+            dh = score @ outer[:, :units]
+            dh *= part
+        for k, (a, b) in enumerate(zip(spec.bounds, spec.bounds[1:])):
+            i, j = edges[k], edges[k + 1]
+            if b - a < 2 or i == j:
                 continue
-            inner = h[mine] @ w["out_w"][a:b].T
-            inner += w["bias_w"][a:b] - _shift(w["out_w"][a:b], w["bias_w"][a:b])
-            own = np.arange(len(mine))
-            at = y[mine] - a
+            inner = state[i:j] @ words[a:b].T
+            own, at = rows[:j - i], y[i:j] - a
             top = inner[own, at]
             np.exp(inner, out=inner)
-            sums = inner @ np.ones(b - a, F4)
-            log_p[mine] += top - np.log(sums)
+            sums = inner @ ones[:b - a]
+            log_p[i:j] += top - np.log(sums)
             if grads is not None:
-                inner /= sums[:, None]
-                inner[own, at] -= 1
-                grads["out_w"][a:b] += inner.T @ h[mine]
-                grads["bias_w"][a:b] += inner.sum(axis=0)
-                dh[mine] += inner @ w["out_w"][a:b]
-        return log_p, dh
+                inner[own, at] -= sums
+                part = 1 / sums[:, None]
+                g = inner.T @ (state[i:j] * part)
+                grads["out_w"][a:b] += g[:, :units]
+                grads["bias_w"][a:b] += g[:, units]
+                dh[i:j] += (inner @ words[a:b, :units]) * part
+        back = np.empty_like(log_p)
+        back[order] = log_p
+        if dh is None:
+            return back, None
+        dh_back = np.empty_like(dh)
+        dh_back[order] = dh
+        return back, dh_back
 
     def backward(self, x: np.ndarray, keep: dict, dh_out: np.ndarray, grads: dict) -> None:
         """Back-propagation through the steps of one window."""
         n, rec = self.spec.hidden, self.w["rec"]
         steps, lanes = x.shape
-        d_gate = np.empty((steps, lanes, 3 * n), F4)
+        zr, cand, before = keep["zr"], keep["cand"], keep["before"]
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        rest = 1 - z
+        to_cand = z * (1 - cand * cand)
+        to_gates = np.concatenate([(cand - before) * z * rest, to_cand * keep["un"] * r * (1 - r), to_cand * r], axis=2)
+        d_rec = np.empty((steps, lanes, 3, n), F4)   # of what the state adds to the gates
+        by_gate = to_gates.reshape(steps, lanes, 3, n)
+        kept = np.empty((steps, lanes, n), F4)
         dh = np.zeros((lanes, n), F4)
         for t in reversed(range(steps)):
-            dh = dh + dh_out[t]
-            h, zr, cand, un = keep["before"][t], keep["zr"][t], keep["cand"][t], keep["un"][t]
-            z, r = zr[:, :n], zr[:, n:]
-            dc = dh * z * (1 - cand * cand)
-            du = np.concatenate([dh * (cand - h) * z * (1 - z), dc * un * r * (1 - r), dc * r], axis=1)
-            d_gate[t, :, :2 * n] = du[:, :2 * n]
-            d_gate[t, :, 2 * n:] = dc
-            grads["rec"] += h.T @ du
-            dh = (dh * (1 - z) + du @ rec.T) * keep["fresh"][t]
-        token = x.ravel()
+            dh += dh_out[t]
+            kept[t] = dh
+            np.multiply(dh[:, None, :], by_gate[t], out=d_rec[t])
+            dh *= rest[t]
+            dh += d_rec[t].reshape(lanes, 3 * n) @ rec.T
+            dh *= keep["fresh"][t]
+        d_rec = d_rec.reshape(steps * lanes, 3 * n)
+        grads["rec"] += before.reshape(-1, n).T @ d_rec
+        d_gate = d_rec
+        d_gate[:, 2 * n:] = (kept * to_cand).reshape(-1, n)
+        token = x.ravel().astype(np.uint16)  # a radix sort
         order = np.argsort(token, kind="stable")
-        rows, first = np.unique(token[order], return_index=True)
-        grads["rows"] = rows
-        grads["inp"] = np.add.reduceat(d_gate.reshape(-1, 3 * n)[order], first)
+        token = token[order]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        grads["rows"] = token[first]
+        grads["inp"] = np.add.reduceat(d_gate[order], first)
 
     def zero(self) -> dict[str, np.ndarray]:
         """Empty gradients; ``backward`` gives those of ``inp`` for the ``rows`` it met."""
@@ -227,22 +261,27 @@ def lay_out(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
     return [rows[lane] for _, lane in sorted(heap, reverse=True)]
 
 
-def windows(docs: list[np.ndarray], end: int, lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(inputs, targets, live lanes) of each window, (steps, live); targets are
-    -1 where a lane has run out.  Also the layout comes first, as a triple."""
+def windows(docs: list[np.ndarray], end: int, lanes: int, steps: int) -> Iterator[tuple]:
+    """First the documents in the order of the lanes and their tokens as one
+    array; then of each window the inputs, the targets, where a lane still has
+    tokens, all (steps, live lanes), and the places of the targets in the array.
+    Where many lanes have run out, windows get longer, up to ``LONG`` times."""
     rows = lay_out(docs, lanes)
-    streams = [np.concatenate([docs[d] for d in row]) for row in rows]
-    longest = len(streams[0])
-    y = np.full((-(-longest // steps) * steps, len(rows)), -1, np.int32)
-    for lane, stream in enumerate(streams):
-        y[:len(stream), lane] = stream
-    x = np.full_like(y, end)
-    x[1:] = np.where(y[:-1] < 0, end, y[:-1])
-    size = np.array([len(s) for s in streams])
-    yield rows, y, longest
-    for at in range(0, longest, steps):
+    order = [d for row in rows for d in row]
+    flat = np.concatenate([docs[d] for d in order])
+    size = np.array([sum(len(docs[d]) for d in row) for row in rows])
+    first = np.cumsum(size) - size
+    yield order, flat
+    at = 0
+    while at < size[0]:
         live = int((size > at).sum())
-        yield x[at:at + steps, :live], y[at:at + steps, :live], live
+        span = steps
+        while span < LONG * steps and 2 * span * live <= len(rows) * steps:
+            span *= 2
+        t = np.arange(at, min(at + span, int(size[0])))[:, None]
+        place = first[:live] + np.minimum(t, size[:live] - 1)
+        yield np.where(t > 0, flat[np.maximum(place - 1, 0)], end), flat[place], t < size[:live], place
+        at += span
 
 
 def score(model: Gru, docs: list[np.ndarray], lanes: int = 256, steps: int = 32) -> np.ndarray:
@@ -250,24 +289,16 @@ def score(model: Gru, docs: list[np.ndarray], lanes: int = 256, steps: int = 32)
     if not docs:
         return np.empty(0)
     plan = windows(docs, model.spec.end, lanes, steps)
-    rows, y_all, _ = next(plan)
-    log_p = np.zeros(y_all.shape, np.float64)
-    h = np.zeros((y_all.shape[1], model.spec.hidden), F4)
-    at = 0
-    for x, y, live in plan:
-        states = model.states(x, h[:live])
+    order, flat = next(plan)
+    log_p = np.empty(len(flat), np.float64)
+    h = np.zeros((min(lanes, len(docs)), model.spec.hidden), F4)
+    for x, y, there, place in plan:
+        states = model.states(x, h[:x.shape[1]])
         h = states[-1]
-        there = y >= 0
-        if there.all():
-            log_p[at:at + steps, :live] = model.log_probs(states.reshape(-1, states.shape[2]), y.ravel())[0].reshape(y.shape)
-        else:
-            log_p[at:at + steps, :live][there] = model.log_probs(states[there], y[there])[0]
-        at += steps
+        log_p[place[there]] = model.log_probs(states[there], y[there])[0]
+    sizes = np.array([len(docs[d]) for d in order])
     out = np.empty(len(docs))
-    for lane, row in enumerate(rows):
-        ends = np.cumsum([len(docs[d]) for d in row])
-        total = np.r_[0.0, np.cumsum(log_p[:, lane])]
-        out[row] = total[ends] - total[ends - [len(docs[d]) for d in row]]
+    out[order] = np.add.reduceat(log_p, np.cumsum(sizes) - sizes)
     return out
 
 
@@ -278,15 +309,14 @@ def train(model: Gru, docs: list[np.ndarray], memory: dict, rate: float, lanes:
     if not docs:
         return 0
     plan = windows(docs, model.spec.end, lanes, steps)
-    _, y_all, _ = next(plan)
-    h = np.zeros((y_all.shape[1], model.spec.hidden), F4)
+    next(plan)
+    h = np.zeros((min(lanes, len(docs)), model.spec.hidden), F4)
     trained = 0
-    for x, y, live in plan:
+    for x, y, there, _ in plan:
         keep: dict = {}
         grads = model.zero()
-        states = model.states(x, h[:live], keep)
+        states = model.states(x, h[:x.shape[1]], keep)
         h = states[-1]
-        there = y >= 0
         _, d = model.log_probs(states[there], y[there], grads)
         dh = np.zeros_like(states)
         dh[there] = d

@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +164,7 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
             ids, ends, hashes, owners, times = [], [0], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
-                rank = np.array([get(w, unknown) for w in words], np.int64)
+                rank = np.fromiter(map(get, words, repeat(unknown)), np.int64, len(words))
                 token = np.empty(len(words) + 1, "<u2")
                 token[:-1], token[-1] = x.token[rank], spec.end
                 rare = np.flatnonzero(rank == unknown)

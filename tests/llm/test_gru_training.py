@@ -71,3 +71,36 @@ def test_classes_cover_all_tokens():
     assert (np.diff(c) >= 0).all() and c[-1] == spec.classes - 1 and len(set(c)) == spec.classes
     empty = gru_lm.Spec(0, 3, 4, (0,))
     assert empty.bounds == (0, 3, 4) and empty.class_of().tolist() == [0, 0, 0, 1]
+
+
+def test_windows_hold_every_token_once():
+    """Also beside a text much longer than the others, whose windows grow."""
+    rng = np.random.default_rng(4)
+    docs = [np.array([*rng.integers(0, 8, n), 8], np.int32) for n in (0, 5, 3_000, 40, 40, 41, 7, 0)]
+    for lanes, steps in ((1, 4), (3, 4), (8, 16), (50, 8)):
+        plan = gru_lm.windows(docs, 8, lanes, steps)
+        order, flat = next(plan)
+        assert sorted(order) == list(range(len(docs))) and (flat == np.concatenate([docs[d] for d in order])).all()
+        seen, longest, full = np.zeros(len(flat), int), 0, min(lanes, len(docs)) * steps
+        for x, y, there, place in plan:
+            np.add.at(seen, place[there], 1)
+            assert (y[there] == flat[place[there]]).all()
+            at = place[there]
+            starts = x[there] == 8
+            assert (x[there][~starts] == flat[at[~starts] - 1]).all()
+            assert ((at[starts] == 0) | (flat[at[starts] - 1] == 8)).all()
+            assert x.size <= full
+            longest = max(longest, len(x))
+        assert (seen == 1).all() and longest <= gru_lm.LONG * steps
+        assert lanes == 1 or longest > steps
+
+
+def test_a_long_text_beside_many_short_ones_takes_memory_by_tokens():
+    import tracemalloc
+    docs = [np.zeros(300_000, np.int32)] + [np.zeros(2, np.int32)] * 400
+    tracemalloc.start()
+    for _ in gru_lm.windows(docs, 8, 384, 16):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(map(len, docs))  # a frame of lanes and steps would take 384 x 4 bytes a token
