@@ -59,23 +59,26 @@ def gated_recurrent_lm(spark, sf_dir):
 
 
 @query("op4_perspective_rotation", """
-WITH t AS (
-    SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said
+WITH u AS (
+    SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said,
+        greatest(coalesce(turn, -1) // 256, 0) AS chunk
     FROM conversations),
+t AS (
+    SELECT *, (row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn, said, who) - 1) // 256 AS part FROM u),
 s AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
 r AS (
-    SELECT t.conv_id, speaker, greatest(turn // 256, 0) AS chunk, turn, said, who, who = speaker AS own,
+    SELECT t.conv_id, speaker, chunk, part, turn, said, who, who = speaker AS own,
         '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant'
             ELSE 'user name=' || who END || chr(10) AS head, said || '<|im_end|>' || chr(10) AS body
     FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 p AS (
     SELECT *, sum(length(head) + length(body)) OVER w - length(body) AS pos, row_number() OVER w AS n
-    FROM r WINDOW w AS (PARTITION BY conv_id, speaker, chunk ORDER BY turn, said, who ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, speaker, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_turns,
+    FROM r WINDOW w AS (PARTITION BY conv_id, speaker, chunk, part ORDER BY turn, said, who ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, CAST(chunk AS BIGINT) AS chunk, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
     string_agg(head || body, '' ORDER BY n) AS text,
     coalesce(string_agg(CASE WHEN own THEN pos || '-' || (pos + length(body)) END, ',' ORDER BY n), '') AS spans,
     CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS n_trained
-FROM p GROUP BY conv_id, speaker, chunk
+FROM p GROUP BY conv_id, speaker, chunk, part
 """)
 def perspective_rotation(spark, sf_dir):
     rows = perspectives.rotate(table(spark, sf_dir, "conversations"))
