@@ -134,26 +134,48 @@ def _encoder(digest: str, shared, pattern: str) -> Encoder:
     return _ENCODERS[digest, pattern]
 
 
+def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a text column and others as the others and ids."""
+    for batch in batches:
+        rows = encoder.batch(batch.column(0).to_pylist())
+        ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
+        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=names)
+
+
+def _decoded(tokens: list[bytes], batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with one column more, the bytes that the ids in column ``at`` stand for."""
+    token = tokens.__getitem__
+    for batch in batches:
+        ends = batch.column(at).offsets.to_pylist()
+        flat = batch.column(at).values.to_numpy().tolist()
+        out = [b"".join(map(token, flat[a:b])) for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=names)
+
+
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           keep: list[str] | None = None) -> DataFrame:
-    """``id_col``, the columns in ``keep`` and ``ids``, an array of token ids."""
+           keep: list[str] | None = None, with_decoded: bool = False) -> DataFrame:
+    """``id_col``, the columns in ``keep`` and ``ids``, an array of token ids;
+    ``with_decoded`` adds what ``decode`` adds, in the same Python worker."""
     spark = docs.sparkSession
     text_batches(spark)
-    proto = model_proto(read_ranks(vocabulary))
+    ranks = read_ranks(vocabulary)
+    proto = model_proto(ranks)
     digest, shared = hashlib.sha256(proto).hexdigest(), spark.sparkContext.broadcast(proto)  # fixed size: one vocabulary
+    tokens = spark.sparkContext.broadcast(ranks) if with_decoded else None
     kept = [id_col, *[c for c in keep or [] if c != id_col]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(digest, shared, pattern)
-        for batch in batches:
-            rows = encoder.batch(batch.column(0).to_pylist())
-            ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*kept, "ids"])
+        out = _encoded(_encoder(digest, shared, pattern), batches, [*kept, "ids"])
+        return out if tokens is None else _decoded(tokens.value, out, len(kept), [*kept, "ids", "decoded"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(F.col(text_col).alias("_t"), *kept).mapInArrow(run, f"{schema}, ids array<int>")
+    return docs.select(F.col(text_col).alias("_t"), *kept).mapInArrow(
+        run, f"{_schema(docs, kept)}, ids array<int>" + ", decoded binary" * with_decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -165,12 +187,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
-        for batch in batches:
-            ends = batch.column(at).offsets.to_pylist()
-            flat = batch.column(at).values.to_numpy().tolist()
-            out = [b"".join(map(token, flat[a:b])) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
-
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
-    return encoded.select(*names).mapInArrow(run, f"{schema}, decoded binary")
+        return _decoded(shared.value, batches, at, [*names, "decoded"])
+
+    return encoded.select(*names).mapInArrow(run, f"{_schema(encoded, names)}, decoded binary")
