@@ -19,6 +19,12 @@ from tablegov.spec import ENABLED
 # Children per nested array.
 CHUNK = 10_000
 
+# Pairs of one join value above which ``spread_join`` deals it over several parts, the most
+# parts, and the pairs of one task.
+PAIRS = 2_000_000
+MOST_PARTS = 256
+PAIRS_PER_TASK = 50_000_000
+
 
 def with_one(df: DataFrame, ref: DataFrame, fk: str, name: str, key="id", fields=("id", "name")) -> DataFrame:
     """Attach ``name`` as a struct of the referenced row, null when absent."""
@@ -99,15 +105,67 @@ def flag_membership(df: DataFrame, other: DataFrame, key: str, name: str = "inst
     return df.join(hits, key, "left").withColumn(name, F.col(name).isNotNull())
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, condition: Column | None = None) -> DataFrame:
+    """Inner join on ``on`` where few values may have very many rows on both sides.
+    The pairs are counted first.  If they are many, the longer side is dealt over
+    several tasks a value by a hash of its rows and the shorter one is repeated for
+    each of them; the pairs themselves are never shuffled."""
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(on).agg(F.count(F.lit(1)).alias(name))
+
+    n = F.col("__left") * F.col("__right")
+    sizes = counted(left, "__left").join(counted(right, "__right"), on).agg(
+        F.sum(n.cast("double")), F.max(n), F.sum("__left"), F.sum("__right")).first()
+    pairs, largest, many_left, many_right = (x or 0 for x in sizes)
+    keys = [on]
+    if largest > PAIRS:
+        parts = min(MOST_PARTS, -(-largest // PAIRS))
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_PER_TASK) + 1)
+        keys.append("__part")
+
+        def dealt(df: DataFrame) -> DataFrame:
+            return df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")).repartition(tasks, *keys)
+
+        def repeated(df: DataFrame) -> DataFrame:
+            return df.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *keys)
+
+        left, right = (dealt(left), repeated(right)) if many_left >= many_right else (repeated(left), dealt(right))
+    joined = left.join(right, keys).drop("__part")
+    return joined if condition is None else joined.filter(condition)
+
+
 def describe_tables(tables: DataFrame, namespaces: DataFrame, comments: DataFrame) -> DataFrame:
     """Catalog rows with namespace and comment, empty text where none."""
     return tables.join(namespaces, "namespace_id").join(comments, "table_id", "left").withColumn(
         "comment", F.coalesce("comment", F.lit("")))
 
 
-def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` plus the source rows whose key it lacks."""
-    return target.unionByName(source.join(target.select(*keys), keys, "left_anti").select(*target.columns))
+def insert_missing(target: DataFrame, source: DataFrame, keys: list[str], other: DataFrame | None = None,
+                   on: str | None = None) -> DataFrame:
+    """``target`` plus the source rows whose key it lacks.  With ``other`` the
+    source rows are the distinct pairs of a key of ``source`` and one of ``other``
+    that share a value of ``on``; ``keys`` names the two columns, that of ``source``
+    first.  The pairs may be far more than the rows of both: they are told apart
+    from repeated ones and from those of ``target`` where they are made."""
+    if other is None:
+        return target.unionByName(source.join(target.select(*keys), keys, "left_anti").select(*target.columns))
+    mine, its = keys
+
+    def by_value(df: DataFrame, key: str, name: str) -> DataFrame:
+        """A row per key and value, with all values of the key."""
+        grouped = df.groupBy(key).agg(F.collect_set(on).alias(name))
+        return grouped.withColumn(on, F.explode(name))
+
+    left, right = by_value(source, mine, "__mine"), by_value(other, its, "__its")
+    # A pair that shares several values is made at the least of them.
+    once = (F.size("__mine") == 1) | (F.size("__its") == 1) | (
+        F.array_min(F.array_intersect("__mine", "__its")) == F.col(on))
+    taken = target.select(*keys).distinct().join(right.select(its, on), its).groupBy(mine, on).agg(
+        F.collect_list(its).alias("__taken"))
+    left = left.join(taken, [mine, on], "left")
+    free = F.col("__taken").isNull() | F.coalesce(~F.array_contains("__taken", F.col(its)), F.lit(True))
+    pairs = spread_join(left, right, on, once & free)
+    return target.unionByName(pairs.select(*target.columns))
 
 
 def with_parent_name(df: DataFrame, id="id", parent="parent_id", name="name") -> DataFrame:

@@ -101,9 +101,9 @@ def _(v):
     SELECT DISTINCT s_suppkey, p_partkey FROM part JOIN supplier ON s_nationkey = p_size
     WHERE (s_suppkey, p_partkey) NOT IN (SELECT (role_id, menu_id) FROM v_role_menu)""")
 def _(v):
-    wanted = v.part.join(v.supplier, F.col("s_nationkey") == F.col("p_size")).select(
-        F.col("s_suppkey").alias("role_id"), F.col("p_partkey").alias("menu_id")).distinct()
-    return R.insert_missing(v.role_menu, wanted, ["role_id", "menu_id"])
+    menus = v.part.select(F.col("p_partkey").alias("menu_id"), F.col("p_size").alias("nation"))
+    roles = v.supplier.select(F.col("s_suppkey").alias("role_id"), F.col("s_nationkey").alias("nation"))
+    return R.insert_missing(v.role_menu, menus, ["menu_id", "role_id"], roles, "nation")
 
 
 @query("nation_parent_name", "SELECT d.id, d.name, p.name AS parent_name FROM v_dept d LEFT JOIN v_dept p ON p.id = d.parent_id")

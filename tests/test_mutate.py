@@ -198,3 +198,19 @@ def test_sync_columns(spark):
     got = {r.column_name: r[1:] for r in D.sync_columns(cur, inc, ["column_name"]).collect()}
     assert got == {"id": ("bigint", True, False, False, None, "input"), "a": ("bigint", False, False, False, "LIKE", "select"),
                    "new": ("int", False, True, True, "EQ", "input")}
+
+
+def test_insert_missing_pairs(spark, rows, monkeypatch):
+    """Pairs of two tables are made, told apart and compared without a shuffle of the
+    pairs, whatever repeats or is null; also where every value is dealt over parts."""
+    menus = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 8), (3, None), (None, 7), (4, 9)], "m int, n int")
+    roles = spark.createDataFrame([(5, 7), (5, 8), (6, 8), (6, 8), (None, 8), (9, None)], "r int, n int")
+    target = spark.createDataFrame([(5, 2), (6, 1), (None, 2), (8, 8)], "r int, m int")
+    plain = menus.join(roles, "n").select("r", "m").distinct()
+    want = rows(R.insert_missing(target, plain, ["r", "m"]))
+    for most in (R.PAIRS, 0):
+        monkeypatch.setattr(R, "PAIRS", most or 1)
+        got = R.insert_missing(target, menus, ["m", "r"], roles, "n")
+        assert rows(got) == want and got.columns == ["r", "m"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
