@@ -214,3 +214,18 @@ def test_insert_missing_pairs(spark, rows, monkeypatch):
         assert rows(got) == want and got.columns == ["r", "m"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_describe_tables_joins_comments_first(spark, rows, monkeypatch):
+    """A namespace shared by many tables and rows is dealt over parts."""
+    tables = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(None, 1), (4, 1), (40, None)], "table_id int, namespace_id int")
+    spaces = spark.createDataFrame([(i % 2, f"s{i}") for i in range(20)] + [(None, "x")], "namespace_id int, namespace string")
+    comments = spark.createDataFrame([(1, "a"), (1, "b"), (4, "c"), (None, "d")], "table_id int, comment string")
+    plain = tables.join(spaces, "namespace_id").join(comments, "table_id", "left").withColumn("comment", F.coalesce("comment", F.lit("")))
+    for most in (R.PAIRS, 3):
+        monkeypatch.setattr(R, "PAIRS", most)
+        got = R.describe_tables(tables, spaces, comments)
+        assert rows(got) == rows(plain) and got.columns == plain.columns
+    # The comments are joined below the namespaces.
+    lines = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert "Inner" in lines[0] and "LeftOuter" in lines[1]
