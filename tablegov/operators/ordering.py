@@ -109,10 +109,11 @@ def range_id(df: DataFrame, order, ranges: int | None = None, small_rows: int |
     while step:
         steps.append(step)
         step //= 2
-    found = F.aggregate(
+    # The key is bound as a lambda variable: named in the inner lambda it would be built again at every step.
+    found = F.get(F.transform(F.array(key), lambda own: F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, jump: F.when(F.get(literal, at + jump - 1) <= key, at + jump).otherwise(at),
-    )
+        lambda at, jump: F.when(F.get(literal, at + jump - 1) <= own, at + jump).otherwise(at),
+    )), F.lit(0))
     return found if order[0][1] == "asc" else -found
 
 

@@ -11,6 +11,7 @@ from tablegov.operators import page as P
 from tablegov.operators import relate as R
 from tablegov.operators.scope import creator_in
 from tablegov.plans.registry import query
+from tablegov.session import cut
 
 # --- joins --------------------------------------------------------------------
 
@@ -254,7 +255,8 @@ def _(v):
 
 @query("sort_items", "SELECT path, size, row_number() OVER (ORDER BY size DESC, path) AS position FROM v_file")
 def _(v):
-    items = P.sort_items(v.file, [{"field": "size", "direction": "desc"}, {"field": "path"}])
+    # Numbering reads the listing several times.
+    items = cut(P.sort_items(v.file, [{"field": "size", "direction": "desc"}, {"field": "path"}]))
     return O.number_rows(items, [("size", "desc"), ("path", "asc")], "position")
 
 

@@ -198,3 +198,10 @@ def test_newest_rows_need_no_sort_aggregate(spark):
     for frame in (M.latest_per_key(df, ["k"], "ts", "event_id"), P.dedupe(df, ["k"], [("ts", "asc"), ("event_id", "desc")]),
                   J.active_sessions(df.withColumn("ts", F.timestamp_seconds("ts")), 8, "1970-01-01 00:01:00", "k")):
         assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_key_is_built_once_a_row(df):
+    """Not again at every step of the search for its range."""
+    found = range_id(df, [("v", "desc"), ("s", "asc")], ranges=8, small_rows=0)
+    text = found._jc.toString()
+    assert "hex(" in text and "hex(" not in text[text.index("aggregate("):]
