@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 from tablegov.session import cut, held, sized
 
+# Edges to one partition.  Names of nodes shrink so much when they are shuffled that the
+# sizes Spark merges partitions by say little about what a task then keeps.
+ARCS_PER_TASK = 500_000
 
-def _levels(known: DataFrame, arcs: DataFrame) -> DataFrame:
-    due = arcs.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("due"))
+
+def _levels(known: DataFrame, arcs: DataFrame, parts: int) -> DataFrame:
+    due = arcs.select(F.col("target").alias("id")).repartition(parts, "id").groupBy("id").agg(
+        F.count(F.lit(1)).alias("due"))
     free = cut(known.join(due, "id", "left_anti"))
     rounds, n = [free.withColumn("level", F.lit(0))], free.count()
     # Nodes that have had some of their counts, not all: what a round rewrites follows the frontier.
@@ -33,9 +38,13 @@ def _levels(known: DataFrame, arcs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rounds)
 
 
-def _graph(nodes: DataFrame, edges: DataFrame, id: str, source: str, target: str) -> tuple[DataFrame, DataFrame]:
-    return (nodes.select(F.col(id).alias("id")).distinct(),
-            edges.select(F.col(source).alias("source"), F.col(target).alias("target")))
+def _graph(nodes: DataFrame, edges: DataFrame, id: str, source: str, target: str) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct nodes by id, edges by source, and the number of partitions that both
+    have, which grows with the edges."""
+    arcs = edges.select(F.col(source).alias("source"), F.col(target).alias("target"))
+    parts = max(arcs.sparkSession.sparkContext.defaultParallelism, arcs.count() // ARCS_PER_TASK + 1)
+    return (nodes.select(F.col(id).alias("id")).repartition(parts, "id").distinct(),
+            arcs.repartition(parts, "source"), parts)
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:
@@ -43,20 +52,21 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, id="id", source="source", tar
     edges of the nodes freed last; a node is free once as many counts have
     arrived as edges point to it, repeated edges included.  Nodes on or behind a cycle never are, so the
     loop ends and they get no level."""
-    known, arcs = _graph(nodes, edges, id, source, target)
+    known, arcs, parts = _graph(nodes, edges, id, source, target)
     with held(arcs) as arcs:
-        return _levels(known, arcs)
+        return _levels(known, arcs, parts)
 
 
 def dag_violations(nodes: DataFrame, edges: DataFrame, id="id", source="source", target="target") -> DataFrame:
     """``(reason, item)``: edges with an unknown end, nodes on or behind a cycle,
     or one row for a graph without nodes."""
-    known, arcs = _graph(nodes, edges, id, source, target)
+    known, arcs, parts = _graph(nodes, edges, id, source, target)
     with held(arcs) as arcs, held(known) as known:
-        ends = arcs.select(F.col("source").alias("id")).unionByName(arcs.select(F.col("target").alias("id"))).distinct()
+        ends = arcs.select(F.col("source").alias("id")).unionByName(arcs.select(F.col("target").alias("id"))).repartition(
+            parts, "id").distinct()
         unknown = ends.join(known, "id", "left_anti").select(
             F.lit("unknown_node").alias("reason"), F.col("id").cast("string").alias("item"))
-        cyclic = known.join(_levels(known, arcs).select("id"), "id", "left_anti").select(
+        cyclic = known.join(_levels(known, arcs, parts).select("id"), "id", "left_anti").select(
             F.lit("cycle").alias("reason"), F.col("id").cast("string").alias("item"))
         empty = known.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
             F.lit("no_nodes").alias("reason"), F.lit(None).cast("string").alias("item"))

@@ -1,6 +1,7 @@
 """Golden selections on a small menu tree, and cycles."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablegov.operators import dag as G
 from tablegov.operators import tree as H
@@ -121,3 +122,18 @@ def test_cascades_stay_in_the_tenant(spark):
     off = {r.id: r.status for r in H.cascade_disable(df, ids_frame(spark, 1), spec=spec, ctx=ctx).collect()}
     assert off == {1: "1", 2: "0", 3: "1"}
     assert ids(H.cascade_delete(df, ids_frame(spark, 1), spec=spec, ctx=ctx)) == [2]
+
+
+def test_partitions_grow_with_the_edges(spark, rows, monkeypatch):
+    """However well the names are packed; results stay."""
+    monkeypatch.setattr(G, "ARCS_PER_TASK", 50)
+    e = spark.range(1_000).selectExpr("'n' || id div 10 AS source", "'m' || id AS target").coalesce(1)
+    known = e.selectExpr("target AS id").union(e.select("source"))
+    nodes_, arcs, parts = G._graph(known, e, "id", "source", "target")
+    assert parts == 21
+    for frame in (nodes_, arcs):
+        sizes = frame.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()
+        assert sizes[0] > 15 and sizes[1] < 200
+    levels = G.dag_levels(known, e)
+    assert sorted(tuple(r) for r in levels.groupBy("level").count().collect()) == [(0, 100), (1, 1_000)]
+    assert rows(G.dag_violations(known, e)) == []
