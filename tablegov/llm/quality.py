@@ -1,12 +1,19 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is fitted on a bounded sample of trusted documents: at most
-``max_docs`` labelled as good and not toxic, the first by a hash of their id.
-That bounds the number of n-grams.  Spark counts them: n-grams are packed into
-one integer (21 bits a word), counts, continuation counts and context totals are
-groupings by that key and the discounted probabilities are joins on the context
-key.  The finished tables are cut into shards by key range and broadcast shard
-by shard; a task joins the n-grams of its documents with each shard in turn.
+The model is fitted on all documents labelled as good and not toxic of one half,
+chosen by a hash of their id.  Neither their number nor that of their words has
+a bound, and no n-gram table passes through the driver or is broadcast: n-grams
+are dealt over shards by their middle word, so that a shard has the trigram, its
+context, its shorter n-gram and that one's context together.  Trusted documents
+are counted shard by shard; the n-grams of every document go to the same shards,
+are looked up in the tables counted there and come back as sums per document.
+
+A word is its place among the ``FREQUENT`` most frequent words of the trusted
+documents, which are broadcast, or else its XXH64 with the top bit set; n-grams
+are told apart by 64 bits mixed from their words.  A middle word with more than
+an even share of all words is dealt over several shards by the word before it.
+Its bigram counts are then added up over these and handed back to each of them.
+Probabilities of the other words come by joins on the word.
 
 The perplexity of every document is computed over its whole text.  The
 threshold of a language is a high quantile over all its trusted documents of the
@@ -28,20 +35,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegov.llm.common import text_batches, written
 
-# Bounds of the fitted sample and of one broadcast shard.
-MAX_DOCS = 2_048
-SHARDS = 4
 QUANTILE = 0.999
-
-_BITS = 21
-_MASK = (1 << _BITS) - 1
-_BOS, _EOS, _OOV = 1, 2, 0
-_FIRST_WORD = 3
+# Words with a number of two bytes; the others travel as hashes.
+FREQUENT = 65_000
+# Trusted trigrams of a shard, and words and documents whose n-grams are sent together.
+SHARD_GRAMS = 1 << 20
+CHUNK_WORDS = 1 << 18
+CHUNK_DOCS = 60_000
+KNOWN_WORDS = 200_000
+
+_BOS, _EOS, _FIRST_WORD = 0, 1, 2
+_RARE = 0xFFFF
+_SEED = 42
+# Rows that a shard gets, in the order in which it needs them.
+_WORD, _SPREAD, _FITTED, _SCORED, _DOCS = range(5)
+_PARCEL = "shard int, kind int, chunk bigint, n int, size int, data binary, a bigint, b bigint, x double"
+_PARCEL_COLUMNS = ["shard", "kind", "chunk", "n", "size", "data", "a", "b", "x"]
+# Counts of counts of trigrams and bigrams, words after unspread words, and bigrams of spread ones.
+_TRI_COUNTS, _BI_COUNTS, _LAST, _PAIR = range(4)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -49,55 +67,154 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().replace(b".", b" . ").replace(b",", b" , ").split()
 
 
+def _hash(word: bytes) -> int:
+    """A negative number for each word."""
+    return (xxhash.xxh64_intdigest(word, _SEED) | 1 << 63) - (1 << 64)
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits from two numbers."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += b.astype(np.uint64)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
+
+
+def _spot(word: np.ndarray) -> np.ndarray:
+    return (mix(word, np.zeros(1, np.uint64)) >> np.uint64(20)).astype(np.int64)
+
+
 @dataclass
-class Model:
-    """Probability tables; ``bi_gamma`` and ``uni_gamma`` are the weights that a
-    context leaves to the next lower order."""
-    vocabulary: dict[bytes, int]
-    uni_alpha: np.ndarray
-    uni_gamma: np.ndarray
-    base: float
-    tri: list  # per shard: (sorted keys, alpha)
-    bi: list   # per shard: (sorted keys, alpha, gamma)
-
-    def ids(self, words: list[bytes]) -> list[int]:
-        get = self.vocabulary.get
-        return [get(w, _OOV) for w in words]
-
-    @staticmethod
-    def _lookup(shards, keys: np.ndarray, default: tuple[float, ...]) -> list[np.ndarray]:
-        out = [np.full(len(keys), d) for d in default]
-        for known, *values in shards:
-            if not len(known):
-                continue
-            mine = np.flatnonzero((keys >= known[0]) & (keys <= known[-1]))
-            at = np.searchsorted(known, keys[mine])
-            hit = known[at] == keys[mine]
-            for o, v in zip(out, values):
-                o[mine[hit]] = v[at[hit]]
-        return out
-
-    def log10(self, docs: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each document, its end included."""
-        if not docs:
-            return np.empty(0)
-        rows = [np.array([_BOS, _BOS, *self.ids(d), _EOS], np.int64) for d in docs]
-        w = np.concatenate(rows)
-        starts = np.cumsum([0] + [len(r) for r in rows])[:-1]
-        pair = np.r_[0, w[:-1] << _BITS | w[1:]]        # ends at the position
-        tri = np.r_[0, pair[:-1] << _BITS | w[1:]]
-        alpha2, gamma3 = self._lookup(self.bi, pair, (0.0, 1.0))
-        alpha3, = self._lookup(self.tri, tri, (0.0,))
-        p1 = self.uni_alpha[w] + self.base
-        p2 = alpha2 + self.uni_gamma[np.r_[0, w[:-1]]] * p1
-        p3 = np.log10(alpha3 + np.r_[1.0, gamma3[:-1]] * p2)
-        p3[starts] = p3[starts + 1] = 0.0               # the two start marks
-        return np.add.reduceat(p3, starts)
-
-
-def _discounts(counts: DataFrame, name: str):
+class Dealing:
+    """The numbered words and over how many shards each is dealt as a middle word."""
+    numbers: dict[int, int]
+    spread: np.ndarray
+    shards: int
+
+    def shard(self, before: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        return (_spot(middle) + _spot(before) % self.over(middle)) % self.shards
+
+    def over(self, middle: np.ndarray) -> np.ndarray:
+        return np.where(middle >= 0, self.spread[np.maximum(middle, 0)], 1)
+
+
+class _Words(dict):
+    """Word to its number or hash."""
+
+    def __init__(self, dealing: Dealing) -> None:
+        self.numbers = dealing.numbers
+
+    def __missing__(self, word: bytes) -> int:
+        value = _hash(word)
+        self[word] = value = self.numbers.get(value, value)
+        return value
+
+    def of(self, text: bytes | None) -> list[int]:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return list(map(self.__getitem__, words_of(text)))
+
+
+def _pack(words: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[int, int, bytes]:
+    """Number of n-grams, plain size and bytes: two a word and document, then the hashes."""
+    every = np.concatenate(words)
+    rare = every[every < 0]
+    plain = np.where(every < 0, _RARE, every).astype("<u2").tobytes() + doc.astype("<u2").tobytes() + rare.astype("<i8").tobytes()
+    return len(doc), len(plain), pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unpack(n: int, size: int, data: bytes) -> tuple[np.ndarray, ...]:
+    plain = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+    every = np.frombuffer(plain, "<u2", 3 * n).astype(np.int64)
+    every[every == _RARE] = np.frombuffer(plain, "<i8", offset=8 * n)
+    return every[:n], every[n:2 * n], every[2 * n:], np.frombuffer(plain, "<u2", n, 6 * n).astype(np.int64)
+
+
+def _parcel(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(
+        arrays + [pa.nulls(len(rows), k) for k in (pa.int64(), pa.int64(), pa.float64())], names=_PARCEL_COLUMNS)
+
+
+def _parcels(texts: DataFrame, shared, kind: int) -> DataFrame:
+    """The n-grams of (``h``, ``t``) rows by shard, and for ``_SCORED`` a row per chunk with
+    the hashes and the numbers of words of its documents."""
+    def send(words, sizes, hashes, chunk, dealing) -> pa.RecordBatch:
+        w, doc = np.array(words, np.int64), np.repeat(np.arange(len(sizes)), np.array(sizes) + 3)
+        whole = doc[2:] == doc[:-2]
+        grams = [x[whole] for x in (w[:-2], w[1:-1], w[2:], doc[2:])]
+        shard = dealing.shard(grams[0], grams[1])
+        order = np.argsort(shard, kind="stable")
+        grams = [x[order] for x in grams]
+        found, starts = np.unique(shard[order], return_index=True)
+        rows = []
+        for s, a, b in zip(found.tolist(), starts, [*starts[1:], len(order)]):
+            rows.append((s, kind, chunk, *_pack(tuple(x[a:b] for x in grams[:3]), grams[3][a:b])))
+        if kind == _SCORED:
+            own = np.array(hashes, "<i8").tobytes() + np.array(sizes, "<i8").tobytes()
+            rows.append((chunk % dealing.shards, _DOCS, chunk, len(sizes), len(own), own))
+        return _parcel(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealing = shared.value
+        known, chunk = _Words(dealing), TaskContext.get().partitionId() << 32
+        words, sizes, hashes = [], [], []
+        for batch in batches:
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = known.of(t)
+                words += (_BOS, _BOS, *own, _EOS)
+                sizes.append(len(own))
+                hashes.append(h)
+                if len(words) >= CHUNK_WORDS or len(sizes) >= CHUNK_DOCS:
+                    yield send(words, sizes, hashes, chunk, dealing)
+                    chunk += 1
+                    words, sizes, hashes = [], [], []
+        if sizes:
+            yield send(words, sizes, hashes, chunk, dealing)
+
+    return texts.select("h", F.col("t").cast("binary").alias("t")).mapInArrow(run, _PARCEL)
+
+
+class _Counts:
+    """The distinct trigrams of a shard's fitted rows with their words and counts, and the bigrams
+    they end with: in how many trigrams, or after the start mark, which has no other word before it,
+    how often."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        grams = [_unpack(*r)[:3] for r in rows] or [(np.empty(0, np.int64),) * 3]
+        w1, w2, w3 = (np.concatenate(x) for x in zip(*grams))
+        self.tri, first, self.n = np.unique(mix(mix(w1, w2), w3), return_index=True, return_counts=True)
+        w1, w2, w3 = w1[first], w2[first], w3[first]
+        self.context, ends = mix(w1, w2), mix(w2, w3)
+        self.bi, first, self.pair, types = np.unique(ends, return_index=True, return_inverse=True, return_counts=True)
+        self.w2, self.w3 = w2[first], w3[first]
+        whole = np.bincount(self.pair, self.n, len(self.bi)).astype(np.int64)
+        self.types = np.where(self.w2 == _BOS, whole, types)
+
+
+def _counts_of_counts(n: np.ndarray) -> list[tuple[int, int]]:
+    return [(i, c) for i, c in enumerate(np.bincount(np.minimum(n, 5), minlength=6).tolist()) if 0 < i < 5 and c]
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+    """Rows of one sorted partition, one shard and kind after the other."""
+    for batch in batches:
+        shards, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(shards)]):
+            if b > a:
+                yield int(shards[a]), int(kinds[a]), batch.slice(a, b - a)
+
+
+def _bytes(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in ("n", "size", "data"))))
+
+
+def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the counts of counts; plain values where they cannot be estimated."""
-    n = {int(r[0]): r[1] for r in counts.where(F.col(name) <= 4).groupBy(name).count().collect()}
     n1, n2, n3, n4 = (n.get(i, 0) for i in range(1, 5))
     if not (n1 and n2 and n3):
         return 0.5, 0.75, 0.75
@@ -106,74 +223,234 @@ def _discounts(counts: DataFrame, name: str):
     return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))
 
 
-def _discounted(counts: DataFrame, name: str):
-    """``counts`` (key, ``name``) with ``alpha``, and per context ``gamma``."""
-    d1, d2, d3 = _discounts(counts, name)
-    c = F.col(name)
-    counts = counts.withColumn("ctx", F.shiftrightunsigned("key", _BITS)).withColumn(
-        "d", F.when(c == 1, d1).when(c == 2, d2).otherwise(d3))
-    contexts = counts.groupBy("ctx").agg(F.sum(name).alias("total"), F.sum("d").alias("left"))
-    contexts = contexts.withColumn("gamma", F.col("left") / F.col("total"))
-    alpha = counts.join(contexts, "ctx").select("key", ((c - F.col("d")) / F.col("total")).alias("alpha"))
-    return alpha, contexts.select(F.col("ctx").alias("key"), "gamma")
+def _discounted(key: np.ndarray, n: np.ndarray, d: tuple[float, ...]):
+    """Per row its discounted share of the context ``key`` and its context's place; the
+    contexts in order and the weights they leave to the next lower order."""
+    contexts, at = np.unique(key, return_inverse=True)
+    total = np.bincount(at, n, len(contexts))
+    off = np.array([0.0, *d])[np.minimum(n, 3)]
+    return (n - off) / total[at], at, contexts, np.bincount(at, off, len(contexts)) / total
 
 
-def _columns(df: DataFrame) -> list[np.ndarray]:
-    table = df.orderBy("key").toArrow()  # bounded by the sample
-    return [c.to_numpy() for c in table.columns]
+def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in the ordered ``known``, and which of them are there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
 
-def _sharded(arrays: list[np.ndarray], shards: int) -> list:
-    edges = [len(arrays[0]) * i // shards for i in range(shards + 1)]
-    return [tuple(x[a:b] for x in arrays) for a, b in zip(edges, edges[1:])]
+def _looked_up(known: np.ndarray, values: np.ndarray, keys: np.ndarray, default: float) -> np.ndarray:
+    at, hit = _find(known, keys)
+    out = np.full(len(keys), default)
+    out[hit] = values[at[hit]]
+    return out
 
 
-def fit(trusted: DataFrame, text_col: str = "text", shards: int = SHARDS) -> Model:
-    """The model of the (bounded) frame of trusted documents."""
-    text_batches(trusted.sparkSession)
-    texts = trusted.select(F.col(text_col).cast("binary").alias("t"))
+@dataclass
+class Weights:
+    """What every shard needs: discounts, probabilities of the numbered words, and that of an unknown one."""
+    discounts3: tuple[float, ...]
+    discounts2: tuple[float, ...]
+    unigram: np.ndarray
+    base: float
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = sorted({w for t in batch.column(0).to_pylist() for w in words_of(t)})
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["w"])
 
-    words = texts.mapInArrow(spell, "w binary").distinct().orderBy("w").toArrow().column("w").to_pylist()
-    if len(words) + _FIRST_WORD > _MASK:
-        raise ValueError("the trusted sample has more words than n-gram keys can hold; lower max_docs")
-    vocabulary = {w: i for i, w in enumerate(words, _FIRST_WORD)}
-    shared = trusted.sparkSession.sparkContext.broadcast(vocabulary)
+class _Tables:
+    """log10 probabilities of a shard's known trigrams and bigrams and the weights of their contexts."""
+
+    def __init__(self, counts: _Counts, words: list[tuple], spread: list[tuple], dealing: Dealing, weights: Weights) -> None:
+        self.weights = weights
+        rare, rare_p = (np.concatenate(x) for x in zip(*words)) if words else (np.empty(0, np.int64), np.empty(0))
+        order = np.argsort(rare)
+        rare, rare_p = rare[order], rare_p[order]
+        own = dealing.over(counts.w2) == 1
+        parts = [(counts.w2[own], counts.w3[own], counts.types[own]), *spread]
+        w2, w3, n = (np.concatenate(x) for x in zip(*parts))
+        alpha, at, middles, gamma = _discounted(w2, n.astype(np.int64), weights.discounts2)
+        p1 = np.full(len(w3), weights.base)
+        p1[w3 >= 0] = weights.unigram[w3[w3 >= 0]]
+        p1[w3 < 0] = _looked_up(rare, rare_p, w3[w3 < 0], weights.base)
+        key = mix(w2, w3)
+        order = np.argsort(key)
+        p2 = (alpha + gamma[at] * p1)[order]
+        self.bi, self.bi_log = key[order], np.log10(p2)
+        self.middles, self.middle_log = middles, np.log10(gamma)
+        alpha, at, self.contexts, gamma = _discounted(counts.context, counts.n, weights.discounts3)
+        self.tri = counts.tri
+        below = p2[_find(self.bi, counts.bi)[0]][counts.pair] if len(p2) else np.empty(0)
+        self.tri_log, self.context_log = np.log10(alpha + gamma[at] * below), np.log10(gamma)
+
+    def log10(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each trigram; where the second is true, that of its last word has to be added."""
+        context = mix(w1, w2)
+        at, hit = _find(self.tri, mix(context, w3))
+        out = np.empty(len(w1))
+        out[hit] = self.tri_log[at[hit]]
+        miss = np.flatnonzero(~hit)
+        out[miss] = _looked_up(self.contexts, self.context_log, context[miss], 0.0)
+        w2, w3 = w2[miss], w3[miss]
+        at, hit = _find(self.bi, mix(w2, w3))
+        out[miss[hit]] += self.bi_log[at[hit]]
+        miss, w2, w3 = miss[~hit], w2[~hit], w3[~hit]
+        out[miss] += _looked_up(self.middles, self.middle_log, w2, 0.0)
+        plain = w3 >= 0
+        out[miss[plain]] += np.log10(self.weights.unigram[w3[plain]])
+        left = np.zeros(len(out), bool)
+        left[miss[~plain]] = True
+        return out, left
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+
+@dataclass
+class Model:
+    """The packed n-grams of the fitted documents and what else their shards need as parcels, the
+    probabilities (``w``, ``p``) of all known words, and the small figures."""
+    parcels: DataFrame
+    words: DataFrame
+    dealing: Dealing
+    weights: Weights
+
+
+def _spell(texts: DataFrame) -> DataFrame:
+    """(``w``, ``n``): how often each word's hash occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words(Dealing({}, np.ones(1, np.int64), 1))
         for batch in batches:
-            keys = [np.empty(0, np.int64)]
-            for t in batch.column(0).to_pylist():
-                w = np.array([_BOS, _BOS, *[get(x, _OOV) for x in words_of(t)], _EOS], np.int64)
-                keys.append(w[:-2] << 2 * _BITS | w[1:-1] << _BITS | w[2:])
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
-
-    tri = written(texts.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "kn")
-    first = F.shiftrightunsigned("key", _BITS)
-    # Continuations: how many words precede a pair; pairs after the start mark have no other and keep their counts.
-    pairs = tri.groupBy(F.col("key").bitwiseAND(F.lit((1 << 2 * _BITS) - 1)).alias("key")).agg(
-        F.count("*").alias("types"), F.sum("n").alias("n"))
-    pairs = written(pairs.select("key", F.when(first == _BOS, F.col("n")).otherwise(F.col("types")).alias("n")), "kn")
-    ones = pairs.groupBy(F.col("key").bitwiseAND(F.lit(_MASK)).alias("key")).agg(F.count("*").alias("n"))
-    tri_alpha, bi_gamma = _discounted(tri, "n")
-    bi_alpha, uni_gamma = _discounted(pairs, "n")
-    uni_alpha, zero_gamma = _discounted(ones, "n")
-    both = bi_alpha.join(bi_gamma, "key", "full").select(
-        "key", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
-    size = len(words) + _FIRST_WORD
-    alpha1, gamma1 = np.zeros(size), np.ones(size)
-    for (key, values), out in ((_columns(uni_alpha), alpha1), (_columns(uni_gamma), gamma1)):
-        out[key] = values
-    left = zero_gamma.collect()
-    base = (left[0]["gamma"] if left else 1.0) / (len(words) + 2)  # words, the end and the unknown word
-    return Model(vocabulary, alpha1, gamma1, base, _sharded(_columns(tri_alpha), shards),
-                 _sharded(_columns(both), shards))
+            values = [np.empty(0, np.int64), *(np.array(known.of(t), np.int64) for t in batch.column(0).to_pylist())]
+            w, n = np.unique(np.concatenate(values), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], names=["w", "n"])
+
+    return texts.select(F.col("t").cast("binary")).mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _dealt(parcels: DataFrame, shards: int) -> DataFrame:
+    return parcels.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+
+
+def _count(parcels: DataFrame, shared) -> DataFrame:
+    """(``what``, ``shard``, ``a``, ``b``, ``n``) rows of the counts of each shard."""
+    def rows_of(shard: int, counts: _Counts, dealing: Dealing) -> pa.RecordBatch:
+        own = dealing.over(counts.w2) == 1
+        last, n = np.unique(counts.w3[own], return_counts=True)
+        rows = [(_TRI_COUNTS, shard, *np.array(_counts_of_counts(counts.n), np.int64).reshape(-1, 2).T),
+                (_BI_COUNTS, shard, *np.array(_counts_of_counts(counts.types[own]), np.int64).reshape(-1, 2).T), (_LAST, shard, last, n)]
+        parts = [(np.full(len(n), what), np.full(len(n), s), a, np.zeros(len(n), np.int64), n) for what, s, a, n in rows]
+        spread = ~own
+        parts.append((np.full(spread.sum(), _PAIR), _spot(counts.w2[spread]) % dealing.shards, counts.w2[spread],
+                      counts.w3[spread], counts.types[spread]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(
+            zip(*parts), ("i4", "i4", "i8", "i8", "i8"))], names=["what", "shard", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for shard, _, part in _by_shard(batches):
+            if shard != now and held:
+                yield rows_of(now, _Counts(held), shared.value)
+                held = []
+            now = shard
+            held += _bytes(part)
+        if held:
+            yield rows_of(now, _Counts(held), shared.value)
+
+    return _dealt(parcels, shared.value.shards).mapInArrow(run, "what int, shard int, a bigint, b bigint, n bigint")
+
+
+def _sums(df: DataFrame, by: str, n: str) -> dict[int, int]:
+    """At most four counts of counts."""
+    return {int(r[0]): int(r[1]) for r in df.groupBy(by).agg(F.sum(n)).collect()}
+
+
+def fit(trusted: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
+    """The model of all trusted documents.  ``shards`` follows from their number of words."""
+    spark = trusted.sparkSession
+    context = spark.sparkContext
+    text_batches(spark)
+    texts = trusted.select(F.lit(0).cast("bigint").alias("h"), F.col(text_col).alias("t"))
+    words = written(_spell(texts), "kn")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    shards = shards or max(2 * context.defaultParallelism, -(-total // SHARD_GRAMS))
+    top = words.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
+    spread = np.ones(_FIRST_WORD + len(top), np.int64)
+    spread[_FIRST_WORD:] = [-(-r["n"] * shards // total) for r in top]
+    dealing = Dealing({r["w"]: i for i, r in enumerate(top, _FIRST_WORD)}, spread, shards)
+    shared = context.broadcast(dealing)
+    fitted = written(_parcels(texts, shared, _FITTED), "kn")
+    counted = written(_count(fitted, shared), "kn")
+
+    # Bigrams of spread words, in total; there are fewer spread words than shards.
+    hot = np.flatnonzero(spread > 1)
+    places = spark.createDataFrame([(int(w), int(spread[w])) for w in hot], "a bigint, many int")
+    pairs = written(counted.where(F.col("what") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("shard").alias("shard")), "kn")
+    last = counted.where(F.col("what") == _LAST).select("shard", "a", "n")
+    ones = last.select("a", "n").unionByName(pairs.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n")))
+    ones = written(ones.groupBy("a").agg(F.sum("n").alias("n")), "kn")
+    counts3 = _sums(counted.where(F.col("what") == _TRI_COUNTS), "a", "n")
+    counts2 = _sums(counted.where(F.col("what") == _BI_COUNTS).select("a", "n").unionByName(
+        pairs.where("n < 5").select(F.col("n").alias("a"), F.lit(1).cast("bigint").alias("n"))), "a", "n")
+    d1 = _discounts(_sums(ones.where("n < 5").select(F.col("n").alias("a"), F.lit(1).alias("n")), "a", "n"))
+    n = F.col("n")
+    off = F.when(n == 1, d1[0]).when(n == 2, d1[1]).otherwise(d1[2])
+    many, of, left = ones.agg(F.count("*"), F.sum("n"), F.sum(off)).first()
+    # Words, the end (counted among them) and the unknown word; nothing is known without documents.
+    base = left / of / (many + 1) if many else 0.5
+    known = written(ones.select(F.col("a").alias("w"), ((n - off) / F.lit(of) + F.lit(base)).alias("p")), "kn")
+    unigram = np.full(len(spread), base)
+    for r in known.where("w >= 0").collect():  # numbered words
+        unigram[r["w"]] = r["p"]
+
+    spread_pairs = pairs.join(F.broadcast(places), "a").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).select(
+        ((F.col("shard") + F.col("j")) % shards).alias("shard"), "a", "b", F.col("n").cast("double").alias("x"))
+    rare = last.where("a < 0").select("shard", F.col("a").alias("w")).unionByName(
+        spread_pairs.where("b < 0").select("shard", F.col("b").alias("w"))).distinct()
+    rare = rare.join(known, "w").select("shard", F.lit(_WORD).alias("kind"), F.col("w").alias("a"), F.col("p").alias("x"))
+    extra = written(rare.unionByName(spread_pairs.withColumn("kind", F.lit(_SPREAD)), allowMissingColumns=True), "kn")
+    parcels = fitted.unionByName(extra, allowMissingColumns=True)
+    return Model(parcels, known.where("w < 0"), dealing, Weights(_discounts(counts3), _discounts(counts2), unigram, base))
+
+
+def _scored(parcels: DataFrame, shared, shared_weights) -> DataFrame:
+    """(``chunk``, ``doc``, ``s``, ``rare_doc``, ``rare``, ``h``, ``size``): sums per document of the chunk, the
+    words whose log10 has to be added, and in one row per chunk its documents."""
+    none = np.empty(0, np.int64)
+
+    def scored(batch: pa.RecordBatch, tables: _Tables) -> list[tuple]:
+        rows = []
+        for chunk, packed in zip(batch.column("chunk").to_pylist(), _bytes(batch)):
+            w1, w2, w3, doc = _unpack(*packed)
+            logs, left = tables.log10(w1, w2, w3)
+            found, at = np.unique(doc, return_inverse=True)
+            rows.append((chunk, found, np.bincount(at, logs), doc[left], w3[left], none, none))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealing, weights = shared.value, shared_weights.value
+        now = tables = None
+        for shard, kind, part in _by_shard(batches):
+            if shard != now:
+                now, tables, fitted, words, spread = shard, None, [], [], []
+            rows = []
+            if kind == _WORD:
+                words.append((part.column("a").to_numpy(), part.column("x").to_numpy()))
+            elif kind == _SPREAD:
+                spread.append(tuple(part.column(c).to_numpy() for c in ("a", "b", "x")))
+            elif kind == _FITTED:
+                fitted += _bytes(part)
+            elif kind == _SCORED:
+                if tables is None:
+                    tables, fitted = _Tables(_Counts(fitted), words, spread, dealing, weights), []
+                rows = scored(part, tables)
+            else:
+                for chunk, (n, _, data) in zip(part.column("chunk").to_pylist(), _bytes(part)):
+                    hashes, sizes = np.frombuffer(data, "<i8").reshape(2, n)
+                    rows.append((chunk, np.arange(n), np.zeros(n), none, none, hashes, sizes))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
+
+    names = ["chunk", "doc", "s", "rare_doc", "rare", "h", "size"]
+    many = pa.list_(pa.int64())
+    types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), many, many, many]
+    return _dealt(parcels, shared.value.shards).mapInArrow(
+        run, "chunk bigint, doc array<int>, s array<double>, rare_doc array<int>, rare array<bigint>, h array<bigint>, size array<bigint>")
 
 
 def perplexities(docs: DataFrame, model: Model, text_col: str = "text", out_cols: tuple[str, str] = (
@@ -182,24 +459,24 @@ def perplexities(docs: DataFrame, model: Model, text_col: str = "text", out_cols
     column ``text_col``; give a copy of the text to keep it."""
     spark = docs.sparkSession
     text_batches(spark)
-    context = spark.sparkContext
-    tri = [context.broadcast(s) for s in model.tri]
-    bi = [context.broadcast(s) for s in model.bi]
-    small = context.broadcast((model.vocabulary, model.uni_alpha, model.uni_gamma, model.base))
+    shared, weights = (spark.sparkContext.broadcast(x) for x in (model.dealing, model.weights))
     kept = [c for c in docs.columns if c != text_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*small.value, [s.value for s in tri], [s.value for s in bi])
-        for batch in batches:
-            words = [words_of(t) for t in batch.column(0).to_pylist()]
-            n = np.array([len(w) for w in words], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(n), pa.array(10.0 ** (-own.log10(words) / (n + 1)))],
-                names=[*kept, *out_cols])
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(F.col(text_col).cast("binary").alias(text_col), *kept).mapInArrow(
-        run, f"{schema}, `{out_cols[0]}` bigint, `{out_cols[1]}` double")
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    sums = written(_scored(model.parcels.unionByName(_parcels(texts, shared, _SCORED)), shared, weights), "kn")
+    rare = sums.where("size(rare) > 0").select("chunk", F.explode(F.arrays_zip("rare_doc", "rare")).alias("r")).select(
+        "chunk", F.col("r.rare_doc").alias("doc"), F.col("r.rare").alias("w")).join(model.words, "w", "left")
+    rare = rare.groupBy("chunk", "doc").agg(F.sum(F.log10(F.coalesce("p", F.lit(model.weights.base)))).alias("s"))
+    # Dealt by chunk while the lists are short, then opened where they lie.
+    plain = sums.select("chunk", "doc", "s", "h", "size").repartition("chunk")
+    plain = plain.select("chunk", F.explode(F.arrays_zip("doc", "s", "h", "size")).alias("r")).select("chunk", "r.*")
+    plain = plain.groupBy("chunk", "doc").agg(F.sum("s").alias("s"), F.max("h").alias("h"), F.max("size").alias("size"))
+    rated = plain.join(rare.withColumnRenamed("s", "more"), ["chunk", "doc"], "left").select(
+        "h", "size", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"))
+    # Equal texts have one figure.
+    rated = rated.groupBy("h").agg(F.max("size").alias(out_cols[0]), F.max(
+        F.pow(F.lit(10.0), -F.col("s") / (F.col("size") + 1))).alias(out_cols[1]))
+    return docs.select(*kept, F.xxhash64(text_col).alias("__text")).join(
+        rated.withColumnRenamed("h", "__text"), "__text").select(*kept, *out_cols)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -215,16 +492,15 @@ def thresholds(rated: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          max_docs: int = MAX_DOCS, quantile: float = QUANTILE) -> DataFrame:
+          quantile: float = QUANTILE) -> DataFrame:
     """One row per document row: ``id_col``, ``lang_col``, ``text_hash`` (XXH64),
     ``n_tokens``, ``perplexity``, ``threshold``, ``keep``."""
     trusted = trusted_ids(labels, id_col)
     half = F.pmod(F.xxhash64("id"), F.lit(2))
-    # Bounded by max_docs, hence safe to broadcast.
-    sample = written(trusted.where(half == 0).orderBy(F.xxhash64("id"), "id").limit(max_docs), "trusted")
+    fitted = written(trusted.where(half == 0), "trusted")
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
                        F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
-    model = fit(rows.join(F.broadcast(sample), "id", "left_semi").select("t"), "t")
+    model = fit(rows.join(fitted, "id", "left_semi").select("t"), "t")
     rated = written(perplexities(rows, model, "t"), "perplexity")
     bounds = thresholds(rated.join(trusted.where(half == 1), "id", "left_semi").where("n_tokens > 0"), quantile)
     bounds = written(bounds, "thresholds")  # a row per language

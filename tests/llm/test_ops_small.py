@@ -338,6 +338,34 @@ def test_kneser_ney(spark):
     assert np.allclose(got, brute_kneser_ney(train, other), rtol=1e-6)
 
 
+@pytest.mark.parametrize("frequent,shards", [(4, 9), (40, 5), (0, 2)])
+def test_kneser_ney_over_shards(spark, monkeypatch, frequent, shards):
+    """Words without a number, and middle words dealt over several shards, have the same figures."""
+    monkeypatch.setattr(quality, "FREQUENT", frequent)
+    rng = np.random.default_rng(7)
+    train = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 30) % 70) for _ in range(40)] + ["", "w1"]
+    other = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 25) % 99) for _ in range(12)] + ["", "Unseen unseen WORDS."]
+    model = quality.fit(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), shards=shards)
+    assert (model.dealing.spread > 1).any() == (frequent > 0)
+    rows = spark.createDataFrame(list(enumerate(other * 2)), "i int, text string")
+    got = [r["perplexity"] for r in quality.perplexities(rows, model).orderBy("i").collect()]
+    assert np.allclose(got, brute_kneser_ney(train, other) * 2, rtol=1e-6)
+
+
+def test_quality_fits_every_trusted_document(spark):
+    """The model counts all documents of its half, however many there are."""
+    def half(i):
+        return xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) % 2
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 4) % 50), "a") for i in range(5000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id bigint, quality int, toxic int")
+    train = [t for i, t, _ in rows if not half(i)]
+    assert len(train) > 2300
+    got = quality.score(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labels)
+    got = {r["doc_id"]: r["perplexity"] for r in got.where("doc_id < 50").collect()}
+    assert np.allclose([got[i] for i in range(50)], brute_kneser_ney(train, [t for _, t, _ in rows[:50]]), rtol=1e-6)
+
+
 def test_quality_keeps_trusted_and_drops_noise(spark, docs, nothing):
     rng = np.random.default_rng(6)
     good = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) % 80), "a" if i % 2 else None) for i in range(200)]
