@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -175,60 +175,119 @@ class _Line:
             self.ends.removeKey((self.status,))
 
 
+# Events and runs of a job that are kept in one value; a batch of the rows beyond.
+INLINE_EVENTS, INLINE_RUNS, PART_EVENTS = 256, 256, 10_000
+# Stands for a time that is null, before all others.
+_NO_TIME = -(1 << 63)
+
+
+class _Held(dict):
+    """Entries of a map state as they are kept in one value."""
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop
+
+
 class _JobRuns(StatefulProcessor):
     """Events of a job wait in slots of time until the watermark has passed the
     slot's end; each slot has a timer of its own and is applied in order of time.
     The unsettled runs stay in the state store, as a line for each status.  So a
     task holds the events of one slot and the runs that these touch, however many
-    events and runs the job has."""
+    events and runs the job has.  What little most jobs have is one value, read
+    and written once a slot; only what exceeds it goes to maps."""
 
     def __init__(self, slot_ms: int) -> None:
         self.slot_ms = slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        # Waiting events by slot, runs unless (empty text) they are in the maps, and how many slots are in the maps too.
+        self.inline = handle.getValueState("inline", "events string, runs string, spilled int")
         # Packed events of a slot, one entry for each batch of rows, and the number of entries.
         self.waiting = handle.getMapState("waiting", "slot bigint, part int", "events string")
         self.parts = handle.getMapState("parts", "slot bigint", "many int")
         self.entries = handle.getMapState("runs", "status string, no bigint", "started bigint, run_id bigint")
         self.ends = handle.getMapState("ends", "status string", "low bigint, high bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            stamps = batch["ts"].astype("datetime64[us]").astype("int64")
-            batch = batch.assign(ts=stamps)[["ts", "event_id", "kind", "periodic"]]
-            for slot, some in batch.groupby(stamps // (self.slot_ms * 1000)):
-                slot = int(slot)
-                part = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
-                self.waiting.updateValue((slot, part), (json.dumps(some.values.tolist()),))
-                self.parts.updateValue((slot,), (part + 1,))
+    def _load(self) -> tuple[dict, str, int]:
+        events, runs, spilled = self.inline.get() or ("{}", "[[], []]", 0)
+        return json.loads(events), runs, spilled
+
+    def _spill(self, slot: int, some: list) -> int:
+        """1 for a slot that had nothing in the maps."""
+        part = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
+        self.waiting.updateValue((slot, part), (json.dumps(some),))
+        self.parts.updateValue((slot,), (part + 1,))
+        self.handle.registerTimer((slot + 1) * self.slot_ms)
+        return int(not part)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events, runs, spilled = self._load()
+        fresh: dict[int, list] = {}
+        for no, row in enumerate(rows, 1):
+            at = _NO_TIME if row.us is None else row.us
+            fresh.setdefault(at // (self.slot_ms * 1000), []).append((at, row.event_id, row.kind, row.periodic))
+            if no % PART_EVENTS == 0:
+                spilled += sum(self._spill(*s) for s in fresh.items())
+                fresh = {}
+        free = INLINE_EVENTS - sum(map(len, events.values()))
+        for slot, some in fresh.items():
+            if len(some) > free:
+                spilled += self._spill(slot, some)
+                continue
+            free -= len(some)
+            if str(slot) not in events:
                 self.handle.registerTimer((slot + 1) * self.slot_ms)
+            events.setdefault(str(slot), []).extend(some)
+        self.inline.update((json.dumps(events), runs, spilled))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Nothing before the watermark can still arrive, and timers fire in order of time.
-        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
-        due = []
+    def _due(self, slot: int) -> Iterator[list]:
         for part in range(self.parts.getValue((slot,))[0]):
-            due += json.loads(self.waiting.getValue((slot, part))[0])
+            yield from json.loads(self.waiting.getValue((slot, part))[0])
             self.waiting.removeKey((slot, part))
         self.parts.removeKey((slot,))
-        runs = Runs(self.entries, self.ends)
-        changes: list[tuple] = []
+
+    def _apply(self, kept: str, due: list) -> tuple[str, list[tuple]]:
+        """The runs after the events that are due, and the changes."""
+        small, changes = bool(kept), []
+        states = (self.entries, self.ends)
+        if small:
+            states = tuple(_Held((tuple(k), tuple(v)) for k, v in part) for part in json.loads(kept))
+        runs = Runs(*states)
         for at, event_id, kind, periodic in sorted(due, key=lambda e: (e[0], e[1])):
             runs.apply(at, event_id, kind, periodic, changes)
         runs.store()
-        if changes:
-            out = pd.DataFrame(changes, columns=["run_id", "status", "started", "at"])
-            out.insert(0, "job_id", key[0])
-            out["started"] = pd.to_datetime(out["started"], unit="us")
-            out["at"] = pd.to_datetime(out["at"], unit="us")
-            yield out
+        if small and len(states[0]) <= INLINE_RUNS:
+            return json.dumps([list(s.items()) for s in states]), changes
+        for held, state in zip(states, (self.entries, self.ends)) if small else ():
+            for k, v in held.items():
+                state.updateValue(k, v)
+        return "", changes
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # Nothing before the watermark can still arrive, and timers fire in order of time.
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
+        events, kept, spilled = self._load()
+        due = events.pop(str(slot), [])
+        if spilled and self.parts.containsKey((slot,)):
+            due += self._due(slot)
+            spilled -= 1
+        kept, changes = self._apply(kept, due)
+        if events or spilled or kept != "[[], []]":
+            self.inline.update((json.dumps(events), kept, spilled))
+        else:
+            self.inline.clear()
+        for run_id, status, started, at in changes:
+            yield Row(job_id=key[0], run_id=run_id, status=status, started=_time(started), at=_time(at))
 
     def close(self) -> None:
         pass
 
 
+def _time(us: int) -> int | None:
+    return None if us == _NO_TIME else us
+
+
 class Runs:
     """The unsettled runs of one job and what an event does to them."""
 
@@ -284,9 +343,11 @@ def stream_job_runs(events: DataFrame, watermark: str = "10 minutes", slot_secon
     """Status changes ``(job_id, run_id, status, started, at)`` from ``(job_id,
     ts, event_id, kind, periodic)``.  The newest change of a run is its state.
     Longer slots need fewer timers and hold more events of a job at once."""
-    return events.withWatermark("ts", watermark).groupBy("job_id").transformWithStateInPandas(
-        _JobRuns(slot_seconds * 1000), "job_id bigint, run_id bigint, status string, started timestamp, at timestamp",
+    rows = events.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts")).groupBy("job_id").transformWithState(
+        _JobRuns(slot_seconds * 1000), "job_id bigint, run_id bigint, status string, started bigint, at bigint",
         "Append", "eventTime")
+    return rows.select("job_id", "run_id", "status", F.timestamp_micros("started").alias("started"),
+                       F.timestamp_micros("at").alias("at"))
 
 
 @contextmanager

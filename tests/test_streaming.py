@@ -4,6 +4,7 @@ import random
 
 import pytest
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tablegov.operators.jobs import active_sessions, job_runs, rate_limit
@@ -283,3 +284,58 @@ def test_late_login_does_not_revive_a_session():
     expired = type("T", (), {"getExpiryTimeInMs": lambda self: 20_001})()
     assert list(sessions.handleExpiredTimer(("a",), None, expired)) == [] and not handle.state.exists()
     assert send(30, 4, "login") == ["active"] and handle.timers >= {90_000}
+
+
+class _JobHandle(_Handle):
+    """Map and value states and timers of one job; counts the calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.maps, self.calls = {}, 0
+        for name in ("exists", "get", "update", "clear"):
+            setattr(self.state, name, self._counted(getattr(self.state, name)))
+        self.registerTimer = self._counted(self.registerTimer)
+
+    def _counted(self, call):
+        def counted(*args):
+            self.calls += 1
+            return call(*args)
+        return counted
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.maps.setdefault(name, MapState())
+
+    def every_call(self):
+        return self.calls + sum(m.calls for m in self.maps.values())
+
+
+def job_slots(events, at_once, slot_ms=1):
+    """What the handler of one job gives for (micros, event_id, kind, periodic) events in order."""
+    handle, job, out = _JobHandle(), S._JobRuns(slot_ms), []
+    job.init(handle)
+    for at in range(0, len(events), at_once):
+        rows = [Row(us=us, event_id=i, kind=kind, periodic=periodic) for us, i, kind, periodic in events[at:at + at_once]]
+        assert list(job.handleInputRows((5,), iter(rows), None)) == []
+    for due in sorted(handle.timers):
+        expired = type("T", (), {"getExpiryTimeInMs": lambda self, due=due: due})()
+        out += [(r.run_id, r.status, r.started) for r in job.handleExpiredTimer((5,), None, expired)]
+    return out, handle
+
+
+@pytest.mark.parametrize("inline,runs,part", [(256, 256, 10_000), (5, 3, 4), (0, 0, 1), (40, 2, 7)])
+def test_job_slots_equal_one_list(monkeypatch, inline, runs, part):
+    """However many events and runs stand in the one value, the changes are the same."""
+    for name, value in (("INLINE_EVENTS", inline), ("INLINE_RUNS", runs), ("PART_EVENTS", part)):
+        monkeypatch.setattr(S, name, value)
+    random.seed(inline)
+    kinds = random.choices(["submitted", "executed", "error", "missed", "removed"], [7, 2, 1, 1, 3], k=400)
+    events = [(i // 2 * 100, i, kind, random.random() < 0.3) for i, kind in enumerate(kinds)]
+    shuffled = random.sample(events, len(events))
+    assert job_slots(shuffled, 60)[0] == plain_runs(events)[0]
+
+
+def test_a_small_job_reads_and_writes_once_a_slot():
+    events = [(i * 1000, i, "submitted", False) for i in range(40)]
+    out, handle = job_slots(events, 20)
+    assert len(out) == 40 and handle.every_call() <= 2 * 40 + 2 * 2 + 40
+    assert not any(m.value for m in handle.maps.values())
