@@ -10,6 +10,8 @@ import string
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,15 +27,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes the shuffle files of an execution when it ends, not when
+    the driver happens to collect its garbage.  For executions nobody repeats."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and go on from
     the files, so that later reads do not replay the plan and a lost executor
-    only re-reads."""
+    only re-reads.  Shuffle files of the plan are gone afterwards."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def lent(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """As ``written``, for the time of the block: its rows leave the disk at the end."""
+    frame, path = _written(df, name)
+    try:
+        yield frame
+    finally:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(path)
 
 
 def text_batches(spark: SparkSession) -> None:

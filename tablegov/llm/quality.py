@@ -15,7 +15,10 @@ an even share of all words is dealt over several shards by the word before it.
 Its bigram counts are then added up over these and handed back to each of them.
 Probabilities of the other words come by joins on the word.
 
-The perplexity of every document is computed over its whole text.  The
+The perplexity of every document is computed over its whole text.  Documents are
+scored in ``ROUNDS``, by the hash of their text, because their n-grams take several
+times the disk that they do: a round's n-grams leave it before the next one, and
+the tables of a shard are made again in each.  ``docs`` is read once a round.  The
 threshold of a language is a high quantile over all its trusted documents of the
 half that is never fitted; a language without any takes the quantile over all
 languages.  Documents above it are rejected.
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.llm.common import text_batches, written
+from tablegov.llm.common import lent, shuffles_freed, text_batches, written
 
 QUANTILE = 0.999
 # Words with a number of two bytes; the others travel as hashes.
@@ -50,6 +54,7 @@ SHARD_GRAMS = 1 << 20
 CHUNK_WORDS = 1 << 18
 CHUNK_DOCS = 60_000
 KNOWN_WORDS = 200_000
+ROUNDS = 4
 
 _BOS, _EOS, _FIRST_WORD = 0, 1, 2
 _RARE = 0xFFFF
@@ -147,7 +152,11 @@ def _parcels(texts: DataFrame, shared, kind: int) -> DataFrame:
         whole = doc[2:] == doc[:-2]
         grams = [x[whole] for x in (w[:-2], w[1:-1], w[2:], doc[2:])]
         shard = dealing.shard(grams[0], grams[1])
-        order = np.argsort(shard, kind="stable")
+        if kind == _FITTED:  # their documents and order do not matter and would take room
+            grams[3] = np.zeros_like(grams[3])
+            order = np.lexsort((grams[2], grams[0], grams[1], shard))
+        else:
+            order = np.argsort(shard, kind="stable")
         grams = [x[order] for x in grams]
         found, starts = np.unique(shard[order], return_index=True)
         rows = []
@@ -178,6 +187,17 @@ def _parcels(texts: DataFrame, shared, kind: int) -> DataFrame:
     return texts.select("h", F.col("t").cast("binary").alias("t")).mapInArrow(run, _PARCEL)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The values of ``keys`` in order, the place of one of each, each key's value and how often it is there."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts, at = np.flatnonzero(new), np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[starts], order[starts], at, np.diff(np.append(starts, len(keys)))
+
+
 class _Counts:
     """The distinct trigrams of a shard's fitted rows with their words and counts, and the bigrams
     they end with: in how many trigrams, or after the start mark, which has no other word before it,
@@ -186,10 +206,10 @@ class _Counts:
     def __init__(self, rows: list[tuple]) -> None:
         grams = [_unpack(*r)[:3] for r in rows] or [(np.empty(0, np.int64),) * 3]
         w1, w2, w3 = (np.concatenate(x) for x in zip(*grams))
-        self.tri, first, self.n = np.unique(mix(mix(w1, w2), w3), return_index=True, return_counts=True)
+        self.tri, first, _, self.n = _distinct(mix(mix(w1, w2), w3))
         w1, w2, w3 = w1[first], w2[first], w3[first]
         self.context, ends = mix(w1, w2), mix(w2, w3)
-        self.bi, first, self.pair, types = np.unique(ends, return_index=True, return_inverse=True, return_counts=True)
+        self.bi, first, self.pair, types = _distinct(ends)
         self.w2, self.w3 = w2[first], w3[first]
         whole = np.bincount(self.pair, self.n, len(self.bi)).astype(np.int64)
         self.types = np.where(self.w2 == _BOS, whole, types)
@@ -226,7 +246,7 @@ def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
 def _discounted(key: np.ndarray, n: np.ndarray, d: tuple[float, ...]):
     """Per row its discounted share of the context ``key`` and its context's place; the
     contexts in order and the weights they leave to the next lower order."""
-    contexts, at = np.unique(key, return_inverse=True)
+    contexts, _, at, _ = _distinct(key)
     total = np.bincount(at, n, len(contexts))
     off = np.array([0.0, *d])[np.minimum(n, 3)]
     return (n - off) / total[at], at, contexts, np.bincount(at, off, len(contexts)) / total
@@ -236,7 +256,8 @@ def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``keys`` in the ordered ``known``, and which of them are there."""
     if not len(known):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    order, at = np.argsort(keys), np.empty(len(keys), np.int64)
+    at[order] = np.minimum(np.searchsorted(known, keys[order]), len(known) - 1)  # in order, the search stays in the cache
     return at, known[at] == keys
 
 
@@ -366,17 +387,25 @@ def fit(trusted: DataFrame, text_col: str = "text", shards: int | None = None) -
     context = spark.sparkContext
     text_batches(spark)
     texts = trusted.select(F.lit(0).cast("bigint").alias("h"), F.col(text_col).alias("t"))
-    words = written(_spell(texts), "kn")
-    total = words.agg(F.sum("n")).first()[0] or 0
+    with lent(_spell(texts), "kn") as words, shuffles_freed(spark):
+        total = words.agg(F.sum("n")).first()[0] or 0
+        top = words.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
     shards = shards or max(2 * context.defaultParallelism, -(-total // SHARD_GRAMS))
-    top = words.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
     spread = np.ones(_FIRST_WORD + len(top), np.int64)
     spread[_FIRST_WORD:] = [-(-r["n"] * shards // total) for r in top]
     dealing = Dealing({r["w"]: i for i, r in enumerate(top, _FIRST_WORD)}, spread, shards)
     shared = context.broadcast(dealing)
     fitted = written(_parcels(texts, shared, _FITTED), "kn")
-    counted = written(_count(fitted, shared), "kn")
+    with lent(_count(fitted, shared), "kn") as counted:
+        known, extra, weights = _estimated(counted, dealing)
+    parcels = fitted.unionByName(extra, allowMissingColumns=True)
+    return Model(parcels, known.where("w < 0"), dealing, weights)
+
 
+def _estimated(counted: DataFrame, dealing: Dealing) -> tuple[DataFrame, DataFrame, Weights]:
+    """From the counts of all shards the probabilities (``w``, ``p``) of the known words, what the
+    shards need of other shards, and the small figures."""
+    spark, spread, shards = counted.sparkSession, dealing.spread, dealing.shards
     # Bigrams of spread words, in total; there are fewer spread words than shards.
     hot = np.flatnonzero(spread > 1)
     places = spark.createDataFrame([(int(w), int(spread[w])) for w in hot], "a bigint, many int")
@@ -393,7 +422,7 @@ def fit(trusted: DataFrame, text_col: str = "text", shards: int | None = None) -
     many, of, left = ones.agg(F.count("*"), F.sum("n"), F.sum(off)).first()
     # Words, the end (counted among them) and the unknown word; nothing is known without documents.
     base = left / of / (many + 1) if many else 0.5
-    known = written(ones.select(F.col("a").alias("w"), ((n - off) / F.lit(of) + F.lit(base)).alias("p")), "kn")
+    known = ones.select(F.col("a").alias("w"), ((n - off) / F.lit(of) + F.lit(base)).alias("p"))
     unigram = np.full(len(spread), base)
     for r in known.where("w >= 0").collect():  # numbered words
         unigram[r["w"]] = r["p"]
@@ -404,8 +433,7 @@ def fit(trusted: DataFrame, text_col: str = "text", shards: int | None = None) -
         spread_pairs.where("b < 0").select("shard", F.col("b").alias("w"))).distinct()
     rare = rare.join(known, "w").select("shard", F.lit(_WORD).alias("kind"), F.col("w").alias("a"), F.col("p").alias("x"))
     extra = written(rare.unionByName(spread_pairs.withColumn("kind", F.lit(_SPREAD)), allowMissingColumns=True), "kn")
-    parcels = fitted.unionByName(extra, allowMissingColumns=True)
-    return Model(parcels, known.where("w < 0"), dealing, Weights(_discounts(counts3), _discounts(counts2), unigram, base))
+    return known, extra, Weights(_discounts(counts3), _discounts(counts2), unigram, base)
 
 
 def _scored(parcels: DataFrame, shared, shared_weights) -> DataFrame:
@@ -453,16 +481,8 @@ def _scored(parcels: DataFrame, shared, shared_weights) -> DataFrame:
         run, "chunk bigint, doc array<int>, s array<double>, rare_doc array<int>, rare array<bigint>, h array<bigint>, size array<bigint>")
 
 
-def perplexities(docs: DataFrame, model: Model, text_col: str = "text", out_cols: tuple[str, str] = (
-        "n_tokens", "perplexity")) -> DataFrame:
-    """``docs`` with its number of words and its perplexity in place of the
-    column ``text_col``; give a copy of the text to keep it."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared, weights = (spark.sparkContext.broadcast(x) for x in (model.dealing, model.weights))
-    kept = [c for c in docs.columns if c != text_col]
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    sums = written(_scored(model.parcels.unionByName(_parcels(texts, shared, _SCORED)), shared, weights), "kn")
+def _rated(sums: DataFrame, model: Model, out_cols: tuple[str, str]) -> DataFrame:
+    """``h`` and ``out_cols`` of the documents of one round."""
     rare = sums.where("size(rare) > 0").select("chunk", F.explode(F.arrays_zip("rare_doc", "rare")).alias("r")).select(
         "chunk", F.col("r.rare_doc").alias("doc"), F.col("r.rare").alias("w")).join(model.words, "w", "left")
     rare = rare.groupBy("chunk", "doc").agg(F.sum(F.log10(F.coalesce("p", F.lit(model.weights.base)))).alias("s"))
@@ -473,8 +493,25 @@ def perplexities(docs: DataFrame, model: Model, text_col: str = "text", out_cols
     rated = plain.join(rare.withColumnRenamed("s", "more"), ["chunk", "doc"], "left").select(
         "h", "size", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"))
     # Equal texts have one figure.
-    rated = rated.groupBy("h").agg(F.max("size").alias(out_cols[0]), F.max(
+    return rated.groupBy("h").agg(F.max("size").alias(out_cols[0]), F.max(
         F.pow(F.lit(10.0), -F.col("s") / (F.col("size") + 1))).alias(out_cols[1]))
+
+
+def perplexities(docs: DataFrame, model: Model, text_col: str = "text", out_cols: tuple[str, str] = (
+        "n_tokens", "perplexity")) -> DataFrame:
+    """``docs`` with its number of words and its perplexity in place of the
+    column ``text_col``; give a copy of the text to keep it."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    shared, weights = (spark.sparkContext.broadcast(x) for x in (model.dealing, model.weights))
+    kept = [c for c in docs.columns if c != text_col]
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rated = []
+    for at in range(ROUNDS):
+        own = _parcels(texts.where(F.pmod("h", F.lit(ROUNDS)) == at), shared, _SCORED)
+        with lent(_scored(model.parcels.unionByName(own), shared, weights), "kn") as sums:
+            rated.append(written(_rated(sums, model, out_cols), "kn"))
+    rated = reduce(DataFrame.union, rated)
     return docs.select(*kept, F.xxhash64(text_col).alias("__text")).join(
         rated.withColumnRenamed("h", "__text"), "__text").select(*kept, *out_cols)
 

@@ -4,9 +4,12 @@ rows and extra columns, against brute force; and on an empty frame."""
 import hashlib
 import html
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from tablegov.llm import (
     bpe, decontaminate, fingerprint, gru_lm, html_text, lm_score, perspectives, quality, sharding, simhash, training_order,
 )
+from tablegov.llm.common import written
 
 LONG = " ".join(f"word{i % 700}. Next" for i in range(9_000))
 TEXTS = [
@@ -352,6 +356,49 @@ def test_kneser_ney_over_shards(spark, monkeypatch, frequent, shards):
     assert np.allclose(got, brute_kneser_ney(train, other) * 2, rtol=1e-6)
 
 
+def test_kneser_ney_in_rounds(spark, monkeypatch):
+    """No round sends the n-grams of all documents, and its sums have left the disk at its end."""
+    rng = np.random.default_rng(9)
+    train = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 60) for _ in range(30)]
+    other = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 25) % 90) for _ in range(40)]
+    model = quality.fit(spark.createDataFrame([(t,) for t in train], "text string"), shards=3)
+    sent, sums, scored = [], [], quality._scored
+    lent = quality.lent
+
+    def counted(parcels, *shared):
+        sent.append(parcels.where(F.col("kind") == quality._DOCS).agg(F.sum("n")).first()[0] or 0)
+        return scored(parcels, *shared)
+
+    @contextmanager
+    def watched(df, name):
+        with lent(df, name) as frame:
+            sums.append((frame, frame.inputFiles(), frame.count()))
+            yield frame
+
+    monkeypatch.setattr(quality, "_scored", counted)
+    monkeypatch.setattr(quality, "lent", watched)
+    rows = spark.createDataFrame(list(enumerate(other)), "i int, text string")
+    got = [r["perplexity"] for r in quality.perplexities(rows, model).orderBy("i").collect()]
+    assert np.allclose(got, brute_kneser_ney(train, other), rtol=1e-6)
+    assert sum(sent) == len(other) and len(sent) == quality.ROUNDS and max(sent) < 0.6 * len(other)
+    assert any(n for _, _, n in sums)
+    assert not any(os.path.exists(f.removeprefix("file://")) for _, files, _ in sums for f in files)
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+    before = shuffled()
+    frame = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):  # they go in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and frame.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_quality_fits_every_trusted_document(spark):
     """The model counts all documents of its half, however many there are."""
     def half(i):
