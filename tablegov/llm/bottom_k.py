@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id`` (the
     smallest id that links reach) and ``kept`` (whether that is the row's own)."""
     sketched = written(sketches(docs, id_col, text_col, k, set_of), "sketches")
-    label = components(links(docs, sketched, text_col, k, block, set_of, solve))
+    label = components(written(links(docs, sketched, text_col, k, block, set_of, solve), "links"))
     first = sketched.groupBy("node").agg(F.min("id").alias("first_id"))
     named = written(first.join(label, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), "first_id"), "bottom-k-labels")
