@@ -21,6 +21,8 @@ from tablegov.session import ensure_checkpoint_dir
 
 # Texts are long: an Arrow batch of this many keeps a Python worker small.
 TEXTS_PER_BATCH = 512
+# Packed rows are larger still: their batches end at this size.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,18 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark removes the shuffle files of an execution when it ends, not when
-    the driver happens to collect its garbage.  For executions nobody repeats."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def shuffles_freed(spark: SparkSession):
+    """Inside, Spark removes the shuffle files of an execution when it ends, not when
+    the driver happens to collect its garbage.  For executions nobody repeats."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession):
+    """Inside, an Arrow batch for Python ends at ``BATCH_BYTES``, which Spark and its worker both hold."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and go on from
     the files, so that later reads do not replay the plan and a lost executor

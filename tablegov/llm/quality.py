@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegov.llm.common import lent, shuffles_freed, text_batches, written
+from tablegov.llm.common import lent, shuffles_freed, small_batches, text_batches, written
 
 QUANTILE = 0.999
 # Words with a number of two bytes; the others travel as hashes.
@@ -79,11 +79,12 @@ def _hash(word: bytes) -> int:
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64 bits from two numbers."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-    x += b.astype(np.uint64)
+    x += b.view(np.uint64)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(29)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _spot(word: np.ndarray) -> np.ndarray:
@@ -187,30 +188,51 @@ def _parcels(texts: DataFrame, shared, kind: int) -> DataFrame:
     return texts.select("h", F.col("t").cast("binary").alias("t")).mapInArrow(run, _PARCEL)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The values of ``keys`` in order, the place of one of each, each key's value and how often it is there."""
+def _distinct(keys: np.ndarray, places: bool = True) -> tuple[np.ndarray, ...]:
+    """The values of ``keys`` in order, the place of one of each, each key's value (with ``places``) and
+    how often it is there."""
     order = np.argsort(keys)
-    ordered = keys[order]
+    keys = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    starts, at = np.flatnonzero(new), np.empty(len(keys), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return ordered[starts], order[starts], at, np.diff(np.append(starts, len(keys)))
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    starts, at = np.flatnonzero(new), None
+    values = keys[starts]
+    del keys
+    first = order[starts]
+    if places:
+        at = np.empty(len(order), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32)
+        at -= 1
+    return values, first, at, np.diff(starts, append=len(order))
 
 
 class _Counts:
     """The distinct trigrams of a shard's fitted rows with their words and counts, and the bigrams
     they end with: in how many trigrams, or after the start mark, which has no other word before it,
-    how often."""
+    how often.
+
+    A shard's n-grams are most of what a Python worker holds.  So ``rows`` are taken out of their
+    list one by one, and an array goes as soon as the next one is made from it."""
 
     def __init__(self, rows: list[tuple]) -> None:
-        grams = [_unpack(*r)[:3] for r in rows] or [(np.empty(0, np.int64),) * 3]
-        w1, w2, w3 = (np.concatenate(x) for x in zip(*grams))
-        self.tri, first, _, self.n = _distinct(mix(mix(w1, w2), w3))
-        w1, w2, w3 = w1[first], w2[first], w3[first]
-        self.context, ends = mix(w1, w2), mix(w2, w3)
-        self.bi, first, self.pair, types = _distinct(ends)
-        self.w2, self.w3 = w2[first], w3[first]
+        w1, w2, w3 = (np.empty(sum(r[0] for r in rows), np.int64) for _ in range(3))
+        end = 0
+        while rows:
+            row = rows.pop()
+            start, end = end, end + row[0]
+            w1[start:end], w2[start:end], w3[start:end], _ = _unpack(*row)
+        self.tri, first, _, self.n = _distinct(mix(mix(w1, w2), w3), places=False)
+        self.n = self.n.astype(np.int32)
+        w1 = w1[first]
+        w2 = w2[first]
+        w3 = w3[first]
+        self.context = mix(w1, w2)
+        del w1, first
+        self.bi, first, self.pair, types = _distinct(mix(w2, w3))
+        self.w2 = w2[first]
+        del w2
+        self.w3 = w3[first]
+        del w3, first
         whole = np.bincount(self.pair, self.n, len(self.bi)).astype(np.int64)
         self.types = np.where(self.w2 == _BOS, whole, types)
 
@@ -249,7 +271,10 @@ def _discounted(key: np.ndarray, n: np.ndarray, d: tuple[float, ...]):
     contexts, _, at, _ = _distinct(key)
     total = np.bincount(at, n, len(contexts))
     off = np.array([0.0, *d])[np.minimum(n, 3)]
-    return (n - off) / total[at], at, contexts, np.bincount(at, off, len(contexts)) / total
+    gamma = np.bincount(at, off, len(contexts)) / total
+    alpha = np.subtract(n, off, out=off)
+    alpha /= total[at]
+    return alpha, at, contexts, gamma
 
 
 def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +303,8 @@ class Weights:
 
 
 class _Tables:
-    """log10 probabilities of a shard's known trigrams and bigrams and the weights of their contexts."""
+    """log10 probabilities of a shard's known trigrams and bigrams and the weights of their contexts.
+    ``counts`` is used up: its arrays go with their last use."""
 
     def __init__(self, counts: _Counts, words: list[tuple], spread: list[tuple], dealing: Dealing, weights: Weights) -> None:
         self.weights = weights
@@ -287,20 +313,35 @@ class _Tables:
         rare, rare_p = rare[order], rare_p[order]
         own = dealing.over(counts.w2) == 1
         parts = [(counts.w2[own], counts.w3[own], counts.types[own]), *spread]
+        del counts.w2, counts.w3, counts.types, own
         w2, w3, n = (np.concatenate(x) for x in zip(*parts))
-        alpha, at, middles, gamma = _discounted(w2, n.astype(np.int64), weights.discounts2)
+        del parts
+        p2, at, self.middles, gamma = _discounted(w2, n.astype(np.int64), weights.discounts2)
+        key = mix(w2, w3)
+        del w2, n
         p1 = np.full(len(w3), weights.base)
         p1[w3 >= 0] = weights.unigram[w3[w3 >= 0]]
         p1[w3 < 0] = _looked_up(rare, rare_p, w3[w3 < 0], weights.base)
-        key = mix(w2, w3)
+        del w3, rare, rare_p
+        p1 *= gamma[at]
+        p2 += p1
+        del at, p1
+        self.middle_log = np.log10(gamma, out=gamma)
         order = np.argsort(key)
-        p2 = (alpha + gamma[at] * p1)[order]
-        self.bi, self.bi_log = key[order], np.log10(p2)
-        self.middles, self.middle_log = middles, np.log10(gamma)
-        alpha, at, self.contexts, gamma = _discounted(counts.context, counts.n, weights.discounts3)
-        self.tri = counts.tri
-        below = p2[_find(self.bi, counts.bi)[0]][counts.pair] if len(p2) else np.empty(0)
-        self.tri_log, self.context_log = np.log10(alpha + gamma[at] * below), np.log10(gamma)
+        self.bi, p2 = key[order], p2[order]
+        del key, order
+        below = p2[_find(self.bi, counts.bi)[0]] if len(p2) else np.empty(0)
+        del counts.bi
+        self.bi_log = np.log10(p2, out=p2)
+        self.tri, context, n, pair = counts.tri, counts.context, counts.n, counts.pair
+        del counts.tri, counts.context, counts.n, counts.pair
+        p3, at, self.contexts, gamma = _discounted(context, n, weights.discounts3)
+        del context, n
+        below = below[pair]
+        del pair
+        below *= gamma[at]
+        p3 += below
+        self.tri_log, self.context_log = np.log10(p3, out=p3), np.log10(gamma, out=gamma)
 
     def log10(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each trigram; where the second is true, that of its last word has to be added."""
@@ -396,7 +437,7 @@ def fit(trusted: DataFrame, text_col: str = "text", shards: int | None = None) -
     dealing = Dealing({r["w"]: i for i, r in enumerate(top, _FIRST_WORD)}, spread, shards)
     shared = context.broadcast(dealing)
     fitted = written(_parcels(texts, shared, _FITTED), "kn")
-    with lent(_count(fitted, shared), "kn") as counted:
+    with small_batches(spark), lent(_count(fitted, shared), "kn") as counted:
         known, extra, weights = _estimated(counted, dealing)
     parcels = fitted.unionByName(extra, allowMissingColumns=True)
     return Model(parcels, known.where("w < 0"), dealing, weights)
@@ -457,15 +498,16 @@ def _scored(parcels: DataFrame, shared, shared_weights) -> DataFrame:
             if shard != now:
                 now, tables, fitted, words, spread = shard, None, [], [], []
             rows = []
-            if kind == _WORD:
-                words.append((part.column("a").to_numpy(), part.column("x").to_numpy()))
+            if kind == _WORD:  # copies, because a view keeps its whole batch
+                words.append(tuple(part.column(c).to_numpy().copy() for c in ("a", "x")))
             elif kind == _SPREAD:
-                spread.append(tuple(part.column(c).to_numpy() for c in ("a", "b", "x")))
+                spread.append(tuple(part.column(c).to_numpy().copy() for c in ("a", "b", "x")))
             elif kind == _FITTED:
                 fitted += _bytes(part)
             elif kind == _SCORED:
                 if tables is None:
-                    tables, fitted = _Tables(_Counts(fitted), words, spread, dealing, weights), []
+                    tables = _Tables(_Counts(fitted), words, spread, dealing, weights)
+                    words, spread = [], []
                 rows = scored(part, tables)
             else:
                 for chunk, (n, _, data) in zip(part.column("chunk").to_pylist(), _bytes(part)):
@@ -509,7 +551,7 @@ def perplexities(docs: DataFrame, model: Model, text_col: str = "text", out_cols
     rated = []
     for at in range(ROUNDS):
         own = _parcels(texts.where(F.pmod("h", F.lit(ROUNDS)) == at), shared, _SCORED)
-        with lent(_scored(model.parcels.unionByName(own), shared, weights), "kn") as sums:
+        with small_batches(spark), lent(_scored(model.parcels.unionByName(own), shared, weights), "kn") as sums:
             rated.append(written(_rated(sums, model, out_cols), "kn"))
     rated = reduce(DataFrame.union, rated)
     return docs.select(*kept, F.xxhash64(text_col).alias("__text")).join(

@@ -7,19 +7,22 @@ import math
 import os
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from tablegov.llm import (
-    bpe, decontaminate, fingerprint, gru_lm, html_text, lm_score, perspectives, quality, sharding, simhash, training_order,
+    bpe, common, decontaminate, fingerprint, gru_lm, html_text, lm_score, perspectives, quality, sharding, simhash,
+    training_order,
 )
 from tablegov.llm.common import written
 
@@ -385,6 +388,42 @@ def test_kneser_ney_in_rounds(spark, monkeypatch):
     assert not any(os.path.exists(f.removeprefix("file://")) for _, files, _ in sums for f in files)
 
 
+def test_kneser_ney_shard_fits_a_worker():
+    """A shard's counts and tables take at most three times their n-grams at any moment; arrays that
+    are not let go took more than four times as much."""
+    rng = np.random.default_rng(3)
+    many, each = 20, 10_000
+    def words():
+        w = rng.zipf(1.25, each) % 100_000
+        return np.where(w < 60_000, w + 2, w - (1 << 62))
+    rows = [quality._pack((words(), words(), words()), np.zeros(each, np.int64)) for _ in range(many)]
+    dealing = quality.Dealing({}, np.ones(60_002, np.int64), 1)
+    weights = quality.Weights((0.5, 0.75, 0.75), (0.5, 0.75, 0.75), np.full(60_002, 1e-5), 1e-7)
+    tracemalloc.start()
+    try:
+        before, peaks = tracemalloc.get_traced_memory()[0], []
+        counts = quality._Counts(rows)
+        peaks.append(tracemalloc.get_traced_memory()[1] - before)
+        tracemalloc.reset_peak()
+        tables = quality._Tables(counts, [], [], dealing, weights)
+        peaks.append(tracemalloc.get_traced_memory()[1] - before)
+    finally:
+        tracemalloc.stop()
+    assert max(peaks) < 3 * 24 * many * each and len(tables.tri_log) == len(tables.tri) > many * each / 2
+
+
+def test_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 100_000)
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+    frame, key = spark.range(0, 200, 1, 1).select(F.expr("repeat('x', 10000)")), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with common.small_batches(spark):
+        got = [r["n"] for r in frame.mapInArrow(sizes, "n bigint").collect()]
+    assert max(got) < 300_000 and sum(got) >= 2_000_000 and spark.conf.get(key) == before
+
+
 def test_written_leaves_no_shuffle_files(spark):
     def shuffled():
         files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
