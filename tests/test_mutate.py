@@ -229,3 +229,22 @@ def test_describe_tables_joins_comments_first(spark, rows, monkeypatch):
     # The comments are joined below the namespaces.
     lines = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert "Inner" in lines[0] and "LeftOuter" in lines[1]
+
+
+def test_spread_join_repeats_few_rows(spark, rows, monkeypatch):
+    """A value of many pairs is dealt over a grid, so its rows are repeated by the root of the
+    cells only, and rows that follow each other have few values."""
+    tables = spark.range(600).select(F.col("id").alias("t"), F.lit(1).alias("n"))
+    spaces = spark.range(200).select(F.format_string("space %d", "id").alias("s"), F.lit(1).alias("n"))
+    monkeypatch.setattr(R, "PAIRS", 1200)
+    shuffled, repartition = [], type(tables).repartition
+    monkeypatch.setattr(type(tables), "repartition", lambda self, *to: shuffled.append(self) or repartition(self, *to))
+    got = R.spread_join(tables, spaces, "n")
+    pairs = got.collect()
+    assert got.columns == ["n", "t", "s"] and rows(got) == rows(tables.join(spaces, "n"))
+    assert len(shuffled) == 2 and sum(df.count() for df in shuffled) < 8_000
+    last, far = {}, 0
+    for at, row in enumerate(pairs):
+        far += at - last.get(row["s"], -1_000) > 64
+        last[row["s"]] = at
+    assert far < len(pairs) / 10
